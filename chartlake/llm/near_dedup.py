@@ -1,11 +1,13 @@
 """MinHash near-dedup: banded MinHash candidates, odd sketches, exact confirmation on full shingle sets.
 
-Copies (same word sequence) are folded first. For each distinct text 128 MinHash samples make 32 bands of 4
-(a pair at similarity 0.75 shares no band with probability 5e-6) and are folded into a 512-bit odd sketch:
-sample i flips the bit that hash(i, minimum) names, so the XOR of two sketches counts the samples that differ.
-Within a bucket only pairs of different components whose sketches are close enough become candidates, best first,
-and each is confirmed on its full sets. Rounds go on, with ever more partners each, until no untested candidate
-between different components is left; so nothing is capped and pairs inside a component are never spelled out.
+Copies (same word sequence) are folded first. For each distinct text 128 MinHash values make 32 bands of 4 (a pair at
+similarity 0.75 shares no band with probability 5e-6), and its bottom-k MinHash sample (the 1024 smallest shingle
+hashes) is folded into a 1024-bit odd sketch: each sampled hash flips one bit, so the XOR of two sketches counts the
+hashes that only one sample holds. Where both samples are whole sets this count is at most the sets' difference, so
+the test loses nothing; beyond that it allows 4.5 deviations. Within a bucket only pairs of different components whose
+sketches are close enough become candidates, best first, and each is confirmed on its full sets. Rounds go on, with
+ever more partners each, until no untested candidate between different components is left; so nothing is capped and
+pairs inside a component are never spelled out.
 
 Nulls, empty texts and texts of white space alone have no shingles and are linked with nothing. Repeated rows are
 copies of each other. Rows without an id are never a component's id. An empty table gives an empty result; columns
@@ -16,14 +18,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import SMALL_IDS, checkpointed, components, if_small, keys64, mix64, shingle_set, word_hashes
 
-BANDS, ROWS, BITS, WORDS = 32, 4, 512, 5
+BANDS, ROWS, SAMPLE, BITS, WORDS = 32, 4, 1024, 1024, 5
 LANES = BITS // 64
 
 
@@ -35,18 +37,25 @@ def minima(shingles: np.ndarray, samples: int = BANDS * ROWS) -> np.ndarray:
     return best
 
 
-def odd_sketch(best: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Parity bitmap of the samples as 64-bit lanes."""
-    flips = mix64(best + keys64(len(best), 22)) % np.uint64(bits)
-    parity = (np.bincount(flips.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+def odd_sketch(grams: np.ndarray) -> np.ndarray:
+    """Parity bitmap, as 64-bit lanes, of the bottom-k sample of a sorted set of hashes."""
+    flips = mix64(grams[:SAMPLE]) % np.uint64(BITS)
+    parity = (np.bincount(flips.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
     return np.packbits(parity).view(np.uint64)
 
 
-def max_flips(similarity: float, samples: int = BANDS * ROWS, bits: int = BITS, sigmas: float = 4.5) -> int:
-    """Largest XOR population count that a pair of the given similarity reaches, up to `sigmas` deviations."""
-    differ = samples * (1 - similarity) + sigmas * (samples * similarity * (1 - similarity)) ** 0.5
-    expected = bits / 2 * (1 - (1 - 2 / bits) ** (2 * differ))
-    return int(min(bits, expected + sigmas * (expected / 4) ** 0.5)) + 1
+def most_flips(n: Column, m: Column, percent: int, sigmas: float = 4.5) -> Column:
+    """Largest XOR population count that sets of n and m shingles reach at the given similarity.
+
+    The sampled share f of the union is whole for small sets; there the difference itself is the bound.
+    """
+    k, l = F.least(n, F.lit(SAMPLE)), F.least(m, F.lit(SAMPLE))
+    f = F.least(k / n, l / m)
+    shared = (n + m) * (percent / (100 + percent))
+    both = f * shared - sigmas * F.sqrt(f * (1 - f) * shared)
+    differ = k + l - 2 * both
+    odd = 0.5 * (1 - F.exp(-2 * differ / BITS))
+    return F.least(differ, BITS * odd + sigmas * F.sqrt(BITS * odd * (1 - odd))) + 1e-6
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -73,7 +82,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 best = minima(grams)
                 rows = (best.reshape(BANDS, ROWS) * keys64(ROWS, 23)[None, :]).sum(axis=1, dtype=np.uint64)
                 bands.append(_signed(mix64(rows + keys64(BANDS, 24))))
-                sketches.append(_signed(odd_sketch(best)))
+                sketches.append(_signed(odd_sketch(grams)))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
                 ["id", "n_shingles", "key", "bands", "sketch"],
@@ -118,24 +127,27 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wo
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row: the transitive closure of links of `percent` or more."""
     signed = checkpointed(signatures(docs, id_col, text_col, words))
-    texts = signed.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    texts = signed.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     texts = checkpointed(texts)
-    limit = max_flips(percent / 100)
     slots = texts.select("rep", F.explode("bands").alias("band"))
     shared = slots.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").select("band", "pivot")
     members = checkpointed(slots.join(shared, "band"))
     lanes = [F.col("sketch")[i].alias(f"s{i}") for i in range(LANES)]
-    sketches = checkpointed(texts.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", *lanes))
+    sketches = checkpointed(texts.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n", *lanes))
 
     def side(name: str, prefix: str) -> DataFrame:
-        return sketches.select(F.col("rep").alias(name), *[F.col(f"s{i}").alias(f"{prefix}{i}") for i in range(LANES)])
+        return sketches.select(F.col("rep").alias(name), F.col("n").alias(f"{prefix}n"), *[F.col(f"s{i}").alias(f"{prefix}{i}") for i in range(LANES)])
+
+    def flips(p: str, q: str) -> Column:
+        first, *rest = (F.bit_count(F.col(f"{p}{i}").bitwiseXOR(F.col(f"{q}{i}"))) for i in range(LANES))
+        return sum(rest, first)
 
-    def flips(p: str, q: str):
-        return sum((F.bit_count(F.col(f"{p}{i}").bitwiseXOR(F.col(f"{q}{i}"))) for i in range(1, LANES)), F.bit_count(F.col(f"{p}0").bitwiseXOR(F.col(f"{q}0"))))
+    near = flips("p", "q") <= most_flips(F.col("pn"), F.col("qn"), percent)
+    apart = flips("p", "q") / (F.col("pn") + F.col("qn"))
 
     # First every text against the closest pivot of its buckets.
     stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(side("a", "p"), "a").join(side("b", "q"), "b").select("a", "b", flips("p", "q").alias("d")).where(F.col("d") <= limit)
+    stars = stars.join(side("a", "p"), "a").join(side("b", "q"), "b").where(near).select("a", "b", apart.alias("d"))
     pairs = checkpointed(stars.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
     labels = sketches.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
     tested, partners = None, 1
@@ -154,11 +166,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("k")).where("k > 1")
         mixed = checkpointed(mixed.select("band", F.col("top.label").alias("main")))
         left = placed.join(mixed, "band").where("label <> main").join(sketches, "rep")
-        left = left.select("band", F.col("rep").alias("x"), F.col("label").alias("lx"), *[F.col(f"s{i}").alias(f"p{i}") for i in range(LANES)])
+        left = left.select("band", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("n").alias("pn"), *[F.col(f"s{i}").alias(f"p{i}") for i in range(LANES)])
         right = placed.join(mixed, "band", "left_semi").join(sketches, "rep")
-        right = right.select("band", F.col("rep").alias("y"), F.col("label").alias("ly"), *[F.col(f"s{i}").alias(f"q{i}") for i in range(LANES)])
-        close = left.join(right, "band").where((F.col("lx") != F.col("ly")) & (flips("p", "q") <= limit))
-        close = close.select("x", "ly", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), flips("p", "q").alias("d")).distinct()
+        right = right.select("band", F.col("rep").alias("y"), F.col("label").alias("ly"), F.col("n").alias("qn"), *[F.col(f"s{i}").alias(f"q{i}") for i in range(LANES)])
+        close = left.join(right, "band").where((F.col("lx") != F.col("ly")) & near)
+        close = close.select("x", "ly", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), apart.alias("d")).distinct()
         close = close.join(tested, ["a", "b"], "left_anti")
         if partners == 1:
             chosen = close.groupBy("x", "ly").agg(F.min(F.struct("d", "a", "b")).alias("best")).select("best.a", "best.b")
