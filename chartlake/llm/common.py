@@ -72,37 +72,39 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return sorted_rows.withColumn(name, F.col("__row") + offset).drop("__part", "__row")
 
 
-def _edge_mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def merged_labels(links: DataFrame) -> DataFrame:
+    """(label, root) for the labels that links (u, v) join to a smaller one; root is the smallest label of a component.
 
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (u, v) by alternating large-star and small-star steps.
-
-    Returns (node, component) with the smallest node as component, for nodes that have an edge. Every step is
-    grouped minima and joins, so no component ever sits in one task; each round ends in a checkpoint.
+    Every label hooks onto its smallest linked label, pointers are halved until they reach roots, and links are
+    renamed by them, until none joins two roots. Each step is a grouped minimum or a join on one side's unique key,
+    so a label with very many links never sits in one task; each round ends in a checkpoint.
     """
-    u, v = F.greatest("u", "v"), F.least("u", "v")
-    now = checkpointed(edges.where("u <> v").select(u.alias("u"), v.alias("v")).distinct())
-    mark = _edge_mark(now)
-    while mark[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        # a node that is its own minimum keeps pointing down
-        large = large.unionByName(least.where("u > m").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select("u", F.col("m").alias("v")))
-        now = checkpointed(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        mark, before = _edge_mark(now), mark
-        if mark == before:
-            break
-    root = now.groupBy("u").agg(F.min("v").alias("component"))
-    return root.select(F.col("u").alias("node"), "component").unionByName(
-        root.select(F.col("component").alias("node"), "component").distinct()
-    )
+    links = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    found = None
+    while True:
+        hooks = checkpointed(links.groupBy(F.col("u").alias("label")).agg(F.min("v").alias("root")))
+        if found is None and not hooks.head(1):
+            return hooks
+        while True:
+            upper = hooks.select(F.col("label").alias("__mid"), F.col("root").alias("__up"))
+            stepped = hooks.join(upper, F.col("root") == F.col("__mid"), "left")
+            hooks = checkpointed(stepped.select("label", F.coalesce("__up", "root").alias("root"), F.col("__up").isNotNull().alias("moved")))
+            if not hooks.where("moved").head(1):
+                hooks = hooks.drop("moved")
+                break
+            hooks = hooks.drop("moved")
+        if found is None:
+            found = hooks
+        else:
+            later = hooks.select(F.col("label").alias("__mid"), F.col("root").alias("__up"))
+            old = found.join(later, F.col("root") == F.col("__mid"), "left").select("label", F.coalesce("__up", "root").alias("root"))
+            found = old.unionByName(hooks)
+        for end in ("u", "v"):
+            renamed = hooks.select(F.col("label").alias(end), F.col("root").alias("__root"))
+            links = links.join(renamed, end, "left").withColumn(end, F.coalesce("__root", end)).drop("__root")
+        links = checkpointed(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        if not links.head(1):
+            return found
 
 
 # Vectorised hashing of words and shingles (numpy, 64 bits).

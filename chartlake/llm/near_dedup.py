@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import SMALL_IDS, checkpointed, components, if_small, keys64, mix64, shingle_set, word_hashes
+from .common import SMALL_IDS, checkpointed, if_small, keys64, merged_labels, mix64, shingle_set, word_hashes
 
 BANDS, ROWS, SAMPLE, BITS, WORDS = 32, 4, 1024, 1024, 5
 LANES = BITS // 64
@@ -110,7 +110,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Adds `linked` to (a, b): the exact test on both full sets."""
+    """(lx, ly, linked) for pairs (a, b, lx, ly): the exact test on both full sets."""
     needed = checkpointed(pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct())
     count = needed.count()
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
@@ -121,7 +121,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wo
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     shared = F.size(F.array_intersect("ga", "gb"))
     test = shared * 100 >= (F.size("ga") + F.size("gb") - shared) * percent
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", test.alias("linked"))
+    return pairs.join(left, "a").join(right, "b").select("lx", "ly", test.alias("linked"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75) -> DataFrame:
@@ -149,37 +149,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     stars = stars.join(side("a", "p"), "a").join(side("b", "q"), "b").where(near).select("a", "b", apart.alias("d"))
     pairs = checkpointed(stars.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
-    labels = sketches.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
-    tested, partners = None, 1
-    while pairs.head(1):
+    labels = sketches.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
+
+    def merge(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Labels after the links among the pairs, which come with the labels of their ends as lx and ly."""
         result = checkpointed(_confirmed(pairs, docs, id_col, text_col, words, percent))
-        tested = result.select("a", "b") if tested is None else tested.union(result.select("a", "b"))
-        links = result.where("linked")
-        if links.head(1):
-            own = labels.select(F.col("node"), F.col("component"))
-            joined = links.join(own.toDF("a", "u"), "a").join(own.toDF("b", "v"), "b").select("u", "v")
-            merged = components(joined).toDF("component", "lower")
-            labels = checkpointed(labels.join(merged, "component", "left").select("node", F.coalesce("lower", "component").alias("component")))
-        # Buckets that still hold several components: all but the largest one against the whole bucket.
-        placed = members.select("band", "rep").join(labels.toDF("rep", "label"), "rep")
-        sizes = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("k")).where("k > 1")
-        mixed = checkpointed(mixed.select("band", F.col("top.label").alias("main")))
-        left = placed.join(mixed, "band").where("label <> main").join(sketches, "rep")
-        left = left.select("band", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("n").alias("pn"), *[F.col(f"s{i}").alias(f"p{i}") for i in range(LANES)])
-        right = placed.join(mixed, "band", "left_semi").join(sketches, "rep")
-        right = right.select("band", F.col("rep").alias("y"), F.col("label").alias("ly"), F.col("n").alias("qn"), *[F.col(f"s{i}").alias(f"q{i}") for i in range(LANES)])
-        close = left.join(right, "band").where((F.col("lx") != F.col("ly")) & near)
-        close = close.select("x", "ly", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), apart.alias("d")).distinct()
-        close = close.join(tested, ["a", "b"], "left_anti")
-        if partners == 1:
-            chosen = close.groupBy("x", "ly").agg(F.min(F.struct("d", "a", "b")).alias("best")).select("best.a", "best.b")
-        else:
-            order = Window.partitionBy("x", "ly").orderBy("d", "a", "b")
-            chosen = close.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= partners).select("a", "b")
-        pairs = checkpointed(chosen.distinct())
-        partners *= 8
-    keyed = texts.select("key", "rep").join(labels.toDF("rep", "label"), "rep", "left")
+        moved = merged_labels(result.where("linked").select(F.col("lx").alias("u"), F.col("ly").alias("v")))
+        return checkpointed(labels.join(moved, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+
+    labels = merge(labels, pairs.select("a", "b", F.col("a").alias("lx"), F.col("b").alias("ly")))
+    # Buckets that still hold several components: texts of all but the largest one against the whole bucket.
+    placed = members.select("band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep")
+    sizes = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("k")).where("k > 1")
+    placed = checkpointed(placed.join(several.select("band", F.col("top.label").alias("main")), "band"))
+    left = placed.where("label <> main").select("band", F.col("rep").alias("x"), F.col("label").alias("lx")).join(side("x", "p"), "x")
+    right = placed.select("band", F.col("rep").alias("y"), F.col("label").alias("ly")).join(side("y", "q"), "y")
+    close = left.join(right, "band").where((F.col("lx") != F.col("ly")) & near)
+    close = close.groupBy("x", "y", "lx", "ly").agg(F.min(apart).alias("d"))
+    partners = 1
+    while True:
+        order = Window.partitionBy("x", "ly").orderBy("d", "y")
+        close = checkpointed(close.withColumn("__r", F.row_number().over(order)))
+        if not close.head(1):
+            break
+        chosen = close.where(F.col("__r") <= partners).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("lx", "ly").alias("lx"), F.greatest("lx", "ly").alias("ly"))
+        labels = merge(labels, checkpointed(chosen.distinct()))
+        for end, name in (("x", "lx"), ("y", "ly")):
+            close = close.drop(name).join(labels.toDF(end, name), end)
+        close = close.where((F.col("__r") > partners) & (F.col("lx") != F.col("ly"))).drop("__r")
+        partners *= 16
+    keyed = texts.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     keyed = keyed.select("key", F.coalesce("label", "rep").alias("component"))
     own = F.coalesce("component", "id")
     return signed.join(keyed, "key", "left").select(
