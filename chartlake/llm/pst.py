@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import checkpointed, keys64, mix64
 
 DEPTH, MIN_PROB, GAIN, DISCOUNT = 3, 4e-6, 12.0, 0.5
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 16_000_000
 END = b"\n"  # cannot be part of a word
 
 
@@ -136,9 +136,9 @@ class Sequences:
         lists = np.frombuffer(_unpack(body), np.int32)
         self.sizes = lists[:n_docs].astype(np.int64)
         self.places = lists[n_docs:]
-        self.numbers = number_of[self.places]
-        self.doc = np.repeat(np.arange(n_docs), self.sizes)
-        self.inside = np.arange(len(self.places)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.numbers = number_of.astype(np.int32)[self.places]
+        self.doc = np.repeat(np.arange(n_docs, dtype=np.int32), self.sizes)
+        self.inside = np.arange(len(self.places), dtype=np.int32) - np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
 
     def reach(self, depth: int, spots: np.ndarray) -> np.ndarray:
         """Those spots that have `depth` tokens before them, all frequent, the outermost being checked."""
