@@ -8,7 +8,8 @@ these ratios, over the N_FEATURES with the largest weighted difference. Scoring
 Fitting takes at most MAX_TRAIN labelled rows, those with the smallest hash of their id; which labels count is the
 caller's choice. Null and empty texts get the score of a text without features. Repeated labels of an id count as
 toxic if one does; null labels and labels without a document are ignored. With labels of one kind only, or none, the
-score is their smoothed share. An empty table gives an empty result; other columns are kept as they are.
+score is their smoothed share. An empty table gives an empty result; other columns are kept as they are,
+but one with the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from .common import keys64
 
-SLOT_BITS, GRAMS, N_FEATURES, MAX_TRAIN = 20, (4, 5), 2048, 6000
+SLOT_BITS, GRAMS, N_FEATURES, MAX_TRAIN = 20, (4, 5), 512, 6000
 
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += np.uint64(32)
@@ -116,6 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with the score."""
+    docs = docs.drop(score_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
