@@ -7,8 +7,8 @@ payload, and an ID3v1 tag. parse() takes any such stream as it comes: it skips t
 tables, verifies the CRC-16 of protected frames, and gives the exact duration in samples and the offset of each frame.
 
 A null text is stored like an empty one; a null media value gives a null result. Damaged bytes are skipped and
-counted, never an error. Equal bytes give equal files. Repeated rows and other columns are kept as they are; the
-names of the added columns must be free (AnalysisException otherwise).
+counted, never an error. Equal bytes give equal files. Repeated rows and other columns are kept as they are;
+columns named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -221,7 +221,7 @@ def store_audio(df: DataFrame, text_col: str = "text", media_col: str = "media")
                 rest = [i for i in range(part.num_columns) if i != k]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in rest], pa.array(media, pa.binary())], [*[part.schema.names[i] for i in rest], media_col])
 
-    rows = df.withColumn("__raw", F.col(text_col).cast("binary")).drop(text_col)
+    rows = df.withColumn("__raw", F.col(text_col).cast("binary")).drop(text_col, media_col)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema if f.name != "__raw"] + [T.StructField(media_col, T.BinaryType())])
     return rows.mapInArrow(run, schema)
 
@@ -263,7 +263,7 @@ def read_audio(df: DataFrame, media_col: str = "media") -> DataFrame:
                 new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *[f.name for f in AUDIO]])
 
-    return _with_columns(df, run, AUDIO)
+    return _with_columns(df.drop(*[f.name for f in AUDIO if f.name != media_col]), run, AUDIO)
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:

@@ -1,4 +1,7 @@
-"""Shared helpers: text normalisation, lineage cuts, ranks and connected components."""
+"""Shared helpers: text normalisation, lineage cuts, ranks, merged labels and hashes.
+
+Column names that begin with two underscores are reserved for the operators of this subpackage.
+"""
 
 from __future__ import annotations
 

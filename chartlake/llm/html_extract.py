@@ -3,8 +3,8 @@
 Markup is cut into blocks of text. First pass: blocks in containers that hold no article text (menus, headers,
 footers, sidebars, adverts, notices, forms, comments, ...) are boilerplate; of the others, link density, length and
 stop-word density decide, and short or doubtful ones stay open. Second pass: an open block takes the label of the
-nearest decided neighbours; where these disagree at equal distance, or there are none, it is content inside an
-<article> or <main> element and boilerplate outside. Neighbours are sought inside the same element first.
+nearest decided neighbours; where these disagree at equal distance a heading goes with what follows, and anything else,
+or where there are none, is content inside an <article> or <main> element and boilerplate outside. Neighbours are sought inside the same element first.
 
 Character references are decoded, white space inside a block becomes one space, blocks join by \\n; nothing is cut.
 Null, empty or text-less pages give an empty text. Broken markup never fails: unclosed elements end with their
@@ -28,6 +28,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noframes noembed xmp template".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "caption", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
@@ -56,10 +57,10 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 class Block:
-    __slots__ = ("text", "linked", "region", "label")
+    __slots__ = ("text", "linked", "region", "label", "heading")
 
-    def __init__(self, text: str, linked: int, region: int, label: int | None):
-        self.text, self.linked, self.region, self.label = text, linked, region, label
+    def __init__(self, text: str, linked: int, region: int, label: int | None, heading: bool):
+        self.text, self.linked, self.region, self.label, self.heading = text, linked, region, label, heading
 
 
 def _is_marked(attributes: str) -> bool:
@@ -85,7 +86,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, linked, region, 0 if ruled else None))
+            out.append(Block(text, linked, region, 0 if ruled else None, any(x[0] in HEADINGS for x in stack)))
         parts.clear()
         linked = 0
 
@@ -216,7 +217,7 @@ def classify(blocks: list[Block]) -> None:
         if b.label is None:
             near = [x for x in (before[i], after[i]) if x]
             if not near or len(near) == 2 and near[0][0] == near[1][0] and near[0][1] != near[1][1]:
-                b.label = int(b.region > 0)
+                b.label = near[1][1] if b.heading and len(near) == 2 else int(b.region > 0)
             else:
                 b.label = min(near)[1]
 
@@ -228,7 +229,8 @@ def main_text(page: str | None) -> str:
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
-    """pages without the html column and with the main text."""
+    """pages without the html column and with the main text, in place of any column of that name."""
+    pages = pages.drop(*[c for c in pages.columns if c.lower() == text_col.lower() and c != html_col])
 
     def run(batches):
         for batch in batches:

@@ -10,7 +10,7 @@ shingle, its whole sequence, and is verified on shingles of that length.
 
 The template list is the caller's and limited to MAX_SHINGLES, which bounds what is written into the plan. Null and
 empty texts match nothing. Repeated rows each get a result; an empty table or template list gives empty matches.
-Other columns are kept as they are, the added name must be free.
+Other columns are kept as they are, one of the added name is replaced.
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ def scan_licenses(df: DataFrame, text_col: str = "text", templates: Mapping[str,
     def literal(values) -> Column:
         return F.array(*[F.lit(v) for v in values]).cast("array<bigint>")
 
-    out, found = df.withColumn("__words", words_of(F.col(text_col))), []
+    out, found = df.withColumn("__words", words_of(F.col(text_col))).drop(out_col), []
     temporary = ["__words"]
     for size in sorted({r["size"] for r in rows}):
         own = [r for r in rows if r["size"] == size]

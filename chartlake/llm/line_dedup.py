@@ -7,7 +7,8 @@ do not count. Lines are compared without white space at their ends; what stays i
 
 A null text stays null and an empty one empty. Ids name documents: rows that repeat an id are the same place, so a
 repeated row is not a later place of itself; null ids are one document before all others. An empty table gives an
-empty result. Columns of any name beside id and text are kept as they are.
+empty result. Other columns are kept as they are, but n_lines and
+n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ def repeated_places(docs: DataFrame, id_col: str, text_col: str, size: int = LIN
     return later.groupBy("__id").agg(covered.alias("__lines"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = LINES, drop_emptied: bool = False) -> DataFrame:
-    """docs with later places removed from the text, plus n_lines and n_removed (0 for null texts).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = LINES, drop_emptied: bool = False, counts: bool = True) -> DataFrame:
+    """docs with later places removed from the text, plus, with counts, n_lines and n_removed (0 for null texts).
 
     drop_emptied leaves out documents of which no line with content stays but which had some.
     """
@@ -62,5 +63,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = joined.withColumn("__new", F.when(marked, kept).otherwise(docs[text_col])).withColumn("__removed", F.when(marked, F.col("__count") - F.size(stay)).otherwise(0))
     if drop_emptied:
         joined = joined.where((F.col("__removed") == 0) | (F.length(F.regexp_replace("__new", r"[\x20\x09-\x0D]+", "")) > 0))
-    columns = [F.col("__new").alias(c) if c == text_col else docs[c] for c in docs.columns]
-    return joined.select(*columns, F.col("__count").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"))
+    added = {"n_lines": "__count", "n_removed": "__removed"} if counts else {}
+    columns = [F.col("__new").alias(c) if c == text_col else docs[c] for c in docs.columns if c.lower() not in added or c == text_col]
+    return joined.select(*columns, *[F.col(c).cast("long").alias(n) for n, c in added.items()])

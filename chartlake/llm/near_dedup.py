@@ -183,13 +183,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = keyed.select("key", F.coalesce("label", "rep").alias("component"))
     own = F.coalesce("component", "id")
     return signed.join(keyed, "key", "left").select(
-        F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.col("key").isNull()).alias("kept")
+        F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, own.isNull()).alias("kept")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75) -> DataFrame:
-    """docs without the rows whose id is not their component's; all columns stay as they are."""
+    """docs without the rows whose id is not their component's; rows without id stay, all columns are as they were."""
     found = near_duplicates(docs, id_col, text_col, words, percent)
-    copies = checkpointed(found.where("not kept").select(F.col(id_col).alias("__copy_id")).distinct())
+    copies = checkpointed(found.where(F.col(id_col).isNotNull() & ~F.col("kept")).select(F.col(id_col).alias("__copy_id")).distinct())
     copies = if_small(copies, copies.count(), SMALL_IDS)
     return docs.join(copies, docs[id_col].eqNullSafe(F.col("__copy_id")), "left_anti")

@@ -7,7 +7,7 @@ of the rules that match the one of highest rank wins.
 
 The rule list is the caller's and is limited to MAX_RULES, which bounds what executors get. A null URL, or one without
 "://", has an empty host and path and matches no host rule. Repeated rows each get their verdict. Empty tables give
-empty results; the added column names must be free, other columns are kept.
+empty results; other columns are kept, those named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -81,8 +81,9 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules: Sequence[Rule] = RUL
     """df with host, path, rule (name of the rule that decided, or null) and verdict."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are sent to executors")
-    url = F.col(url_col)
-    named = df.withColumn("host", host_of(url)).withColumn("path", path_of(url))
+    url = F.col("__url")
+    named = df.withColumn("__url", F.col(url_col)).drop(*[c for c in ("host", "path", "rule", "verdict") if c != url_col])
+    named = named.withColumn("host", host_of(url)).withColumn("path", path_of(url)).drop("__url")
     literal = sorted({t for rule in rules for t in rule.tokens})
     seen = named.select(F.explode(F.array_intersect(url_tokens(F.col("host"), F.col("path")), F.array(*[F.lit(t) for t in literal]).cast("array<string>"))).alias("t"))
     counts = {r["t"]: r["n"] for r in seen.groupBy("t").agg(F.count("*").alias("n")).collect()}  # a row for each rule token at most

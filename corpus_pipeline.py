@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later occurrences of three-line windows; a document that loses all its text goes."""
-    out = line_dedup.dedup_lines(docs, drop_emptied=True)
-    return out.drop("n_lines", "n_removed").withColumn("n_chars", F.length("text").cast("long"))
+    out = line_dedup.dedup_lines(docs, drop_emptied=True, counts=False)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
