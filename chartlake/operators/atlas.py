@@ -1,6 +1,6 @@
 """Charts, atlases, transitions between charts and paths through them.
 
-A charts table has (chart_id, origin, basis), basis as rows; it is the small side of every join here. A transitions
+A charts table has (chart_id, origin, basis), basis as rows; its size is checked before executors get it. A transitions
 table has (src, tgt, matrix, bias). Points are located by the least projection residual (ties: lowest chart id).
 """
 
@@ -38,11 +38,32 @@ def residual(v: Column, origin: Column, basis: Column) -> Column:
 
 
 def locate(points: DataFrame, charts: DataFrame, id_col: str = "vec_id", vec: str = "vector", keep: int = 1) -> DataFrame:
-    """(id, chart_id, residual, rank): the `keep` charts with the least residual of each point."""
-    pairs = points.select(id_col, vec).crossJoin(F.broadcast(charts))
-    scored = pairs.select(id_col, "chart_id", residual(F.col(vec), F.col("origin"), F.col("basis")).alias("residual"))
-    order = Window.partitionBy(id_col).orderBy("residual", "chart_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    """(id, chart_id, residual, rank): the `keep` charts with the least residual of each point. No shuffle."""
+    side = search.small_side(charts.select("chart_id", "origin", "basis"))
+    held = sorted(((r["chart_id"], np.array(r["origin"], float), np.array(r["basis"], float)) for r in side), key=lambda r: r[0])
+    sent = points.sparkSession.sparkContext.broadcast(held)
+    rows = points.where(F.col(vec).isNotNull()).select(id_col, vec)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                if not sent.value or not part.num_rows:
+                    continue
+                x = np.array(part.column(1).to_pylist(), float)
+                gaps = []
+                for _, origin, basis in sent.value:
+                    d = x - origin
+                    gaps.append(np.linalg.norm(d - (d @ basis.T) @ basis, axis=1))
+                # rounded, so that equal residuals are ties for the lowest chart
+                order = np.argsort(np.round(np.array(gaps), 12), axis=0, kind="stable")[:keep]
+                ids = part.column(0).to_pylist()
+                found = [(ids[i], sent.value[c][0], float(gaps[c][i]), k + 1) for i in range(len(x)) for k, c in enumerate(order[:, i])]
+                columns = list(zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], part.schema.field(0).type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int32())], [id_col, "chart_id", "residual", "rank"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"{id_col} {kind}, chart_id int, residual double, rank int")
 
 
 def bounds(points: DataFrame, group: str, dim: int, vec: str = "vector") -> DataFrame:

@@ -13,10 +13,20 @@ def validated(points: DataFrame, dim: int | None = None, vec: str = "vector") ->
     return points.withColumn(vec, F.when(ok, F.col(vec)).otherwise(F.raise_error(F.lit("bad vector dimension"))))
 
 
-def with_new_ids(points: DataFrame, new: DataFrame, modality: str = "modality", id_col: str = "point_id") -> DataFrame:
-    """new with ids that continue the largest id of the table, in one sequence over all modalities."""
+def with_new_ids(points: DataFrame, new: DataFrame, id_col: str = "point_id") -> DataFrame:
+    """new with ids that continue the largest id of the table without gaps, in one sequence over all modalities.
+
+    Each partition numbers its rows from the sum of the sizes before it; one count per partition reaches the driver.
+    """
     top = points.agg(F.coalesce(F.max(id_col), F.lit(-1))).first()[0]
-    return new.withColumn(id_col, F.monotonically_increasing_id() + F.lit(top + 1))
+    mark = F.monotonically_increasing_id()
+    rows = new.withColumn("__part", F.shiftright(mark, 33)).withColumn("__row", mark.bitwiseAND(F.lit((1 << 33) - 1)))
+    offsets, total = [], top + 1
+    for part, n in sorted(tuple(r) for r in rows.groupBy("__part").count().collect()):
+        offsets += [F.lit(part).cast("long"), F.lit(total).cast("long")]
+        total += n
+    start = F.create_map(*offsets)[F.col("__part")] if offsets else F.lit(total)
+    return rows.withColumn(id_col, F.col("__row") + start).drop("__part", "__row")
 
 
 def latest(points: DataFrame, order: list[Column], id_col: str = "vec_id") -> DataFrame:
