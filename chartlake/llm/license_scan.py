@@ -54,9 +54,11 @@ def permuted(grams: Column, band: int) -> Column:
 
 def halved(values: Column, scale: int) -> Column:
     """Minima of windows twice as long as the given ones of 2**scale shingles; both start at every half of their length."""
-    gap, step = (1, 1) if scale == 0 else (2, 2)
-    places = F.sequence(F.lit(0), F.size(values) - 1 - gap, F.lit(step))
-    least = F.transform(places, lambda i: F.least(F.get(values, i), F.get(values, i + gap)))
+    if scale == 0:
+        least, gap = F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values)), lambda a, b: F.least(a, b)), 1
+    else:
+        places, gap = F.sequence(F.lit(0), F.size(values) - 3, F.lit(2)), 2
+        least = F.transform(places, lambda i: F.least(F.get(values, i), F.get(values, i + 2)))
     return F.when(F.size(values) > gap, least).otherwise(F.array().cast("array<bigint>"))
 
 
