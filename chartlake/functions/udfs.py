@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -10,82 +12,93 @@ from pyspark.sql import functions as F
 from . import geometry as G
 
 
-def _vectorised(kernel, returns: str):
+def _vectorised(kernel, returns: str, arity: int = 2):
+    """A UDF that calls the kernel once per Arrow batch and row length, on (rows, n) arrays; null rows give null."""
+
     def run(*columns: pd.Series) -> pd.Series:
-        return pd.Series([None if any(x is None for x in row) else kernel(*row) for row in zip(*columns, strict=True)])
+        alike: dict[tuple, list[int]] = {}
+        for i, row in enumerate(zip(*columns, strict=True)):
+            if all(x is not None for x in row):
+                alike.setdefault(tuple(map(len, row)), []).append(i)
+        out: list = [None] * len(columns[0])
+        for at in alike.values():
+            found = kernel(*(np.array(c.iloc[at].tolist(), float) for c in columns))
+            for i, value in zip(at, found.reshape(len(at), -1).tolist() if returns.startswith("array") else found.tolist(), strict=True):
+                out[i] = value
+        return pd.Series(out, dtype=object if returns.startswith("array") else float)
+
+    if arity == 1:
+
+        @F.pandas_udf(returns)
+        def one(a: pd.Series) -> pd.Series:
+            return run(a)
 
-    if returns == "double":
+        return one
+    if arity == 3:
 
-        @F.pandas_udf("double")
-        def one(a: pd.Series, b: pd.Series) -> pd.Series:
-            return run(a, b)
+        @F.pandas_udf(returns)
+        def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+            return run(a, b, c)
 
-        return one
+        return three
 
     @F.pandas_udf(returns)
-    def other(a: pd.Series, b: pd.Series) -> pd.Series:
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
         return run(a, b)
 
-    return other
+    return two
 
 
 def geodesic_distance(metric: str, a: Column, b: Column) -> Column:
-    g = G.METRICS[metric]
-    return _vectorised(lambda x, y: G.geodesic_distance(g, np.array(x), np.array(y)), "double")(a, b)
+    return _vectorised(partial(G.geodesic_distance, G.METRICS[metric]), "double")(a, b)
 
 
 def curvature_corrected(metric: str, a: Column, b: Column) -> Column:
-    g = G.METRICS[metric]
-    return _vectorised(lambda x, y: G.curvature_corrected(g, np.array(x), np.array(y)), "double")(a, b)
+    return _vectorised(partial(G.curvature_corrected, G.METRICS[metric]), "double")(a, b)
 
 
 def exp_map(metric: str, point: Column, velocity: Column) -> Column:
-    g = G.METRICS[metric]
-    return _vectorised(lambda x, v: G.exp_map(g, np.array(x), np.array(v)).tolist(), "array<double>")(point, velocity)
+    return _vectorised(partial(G.exp_map, G.METRICS[metric]), "array<double>")(point, velocity)
 
 
 def log_map(metric: str, a: Column, b: Column) -> Column:
     g = G.METRICS[metric]
-    return _vectorised(lambda x, y: G.log_map(g, np.array(x), np.array(y))[0].tolist(), "array<double>")(a, b)
+    return _vectorised(lambda x, y: G.log_map(g, x, y)[0], "array<double>")(a, b)
 
 
 def christoffel(metric: str, point: Column) -> Column:
     """Flattened row by row."""
-    g = G.METRICS[metric]
-    return _vectorised(lambda x, _: G.christoffel(g, np.array(x)).ravel().tolist(), "array<double>")(point, point)
+    return _vectorised(partial(G.christoffel, G.METRICS[metric]), "array<double>", 1)(point)
 
 
 def scalar_curvature(metric: str, point: Column) -> Column:
-    g = G.METRICS[metric]
-    return _vectorised(lambda x, _: G.scalar_curvature(g, np.array(x)), "double")(point, point)
+    return _vectorised(partial(G.scalar_curvature, G.METRICS[metric]), "double", 1)(point)
 
 
 def sinkhorn(p: Column, q: Column, reg: float = 0.1) -> Column:
     """Optimal transport cost under |i - j| / n between the entries."""
 
-    def cost(x, y) -> float:
-        at = np.arange(len(x))
-        return G.sinkhorn(np.array(x, float), np.array(y, float), np.abs(at[:, None] - at[None, :]) / len(x), reg)
+    def cost(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        at = np.arange(x.shape[-1])
+        return G.sinkhorn(x, y, np.abs(at[:, None] - at[None, :]) / len(at), reg)
 
     return _vectorised(cost, "double")(p, q)
 
 
 def wasserstein(p: Column, q: Column) -> Column:
-    return _vectorised(lambda x, y: G.wasserstein2(np.array(x, float), np.array(y, float)), "double")(p, q)
+    return _vectorised(G.wasserstein2, "double")(p, q)
 
 
 def log_euclidean(a: Column, b: Column, dim: int) -> Column:
     """Distance of two SPD matrices given as flattened rows."""
-    return _vectorised(lambda x, y: G.log_euclidean(np.array(x).reshape(dim, dim), np.array(y).reshape(dim, dim)), "double")(a, b)
+
+    def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.array([G.log_euclidean(m.reshape(dim, dim), n.reshape(dim, dim)) for m, n in zip(x, y, strict=True)])
+
+    return _vectorised(distance, "double")(a, b)
 
 
 def transported(metric: str, a: Column, b: Column, vector: Column, steps: int = 4) -> Column:
     """vector carried along the straight coordinate line from a to b."""
     g = G.METRICS[metric]
-
-    @F.pandas_udf("array<double>")
-    def run(a: pd.Series, b: pd.Series, v: pd.Series) -> pd.Series:
-        rows = zip(a, b, v, strict=True)
-        return pd.Series([None if any(x is None for x in row) else G.parallel_transport(g, np.linspace(row[0], row[1], steps + 1), np.array(row[2])).tolist() for row in rows])
-
-    return run(a, b, vector)
+    return _vectorised(lambda x, y, v: G.parallel_transport(g, np.linspace(x, y, steps + 1), v), "array<double>", 3)(a, b, vector)

@@ -231,6 +231,14 @@ def overlap_points(edges: DataFrame, labels: DataFrame, id_col: str = "vec_id",
     return crossing.select("chart_a", "chart_b", F.col("i").alias(id_col)).distinct()
 
 
+def chart_ties(two: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """(i, j, w) with i < j from located points that keep two charts: each adds exp(-(second - first residual))."""
+    near = two.groupBy(id_col).agg(*[F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c}{r}") for r in (1, 2) for c in ("chart_id", "residual")])
+    near = near.where("chart_id2 is not null")
+    a, b = F.col("chart_id1"), F.col("chart_id2")
+    return near.groupBy(F.least(a, b).alias("i"), F.greatest(a, b).alias("j")).agg(F.sum(F.exp(F.col("residual1") - F.col("residual2"))).alias("w"))
+
+
 def communities(edges: list[tuple], resolution: float = 1.0, rounds: int = 20) -> dict:
     """Louvain: local moves by modularity gain and aggregation, on a graph of bounded size held by the driver.
 

@@ -176,34 +176,47 @@ def order_by_distance(spark: SparkSession, sf: str) -> DataFrame:
     return _out(mql.Engine(spark, {"points": points(spark, sf)}).execute(q), "vec_id", "label", "distance")
 
 
-@_register(f"{_P}, a AS (SELECT vec_id, list_transform(v, lambda x: abs(x)) AS w FROM p) SELECT x.vec_id AS a, y.vec_id AS b, round(2 * acos(least(1, list_sum(list_transform(range(1, 65), lambda i: sqrt(x.w[i] * y.w[i]))) / sqrt(list_sum(x.w) * list_sum(y.w)))), 5) AS distance FROM a x, a y WHERE x.vec_id < 5 AND x.vec_id < y.vec_id")
-def fisher_rao_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = points(spark, sf).select("vec_id", F.transform("vector", F.abs).alias("w"))
-    few = F.broadcast(rows.where("vec_id < 5").select(F.col("vec_id").alias("a"), F.col("w").alias("wa")))  # five rows
-    pairs = rows.select(F.col("vec_id").alias("b"), "w").join(few, F.col("a") < F.col("b"))
-    return pairs.select("a", "b", F.round(V.fisher_rao(F.col("wa"), F.col("w")), 5).alias("distance"))
+_FISHER = "2 * acos(least(1, list_sum(list_transform(range(1, 65), lambda i: sqrt(x.w[i] * y.w[i]))) / sqrt(list_sum(x.w) * list_sum(y.w))))"
 
 
-def _pair_distances(spark: SparkSession, sf: str, below: int) -> DataFrame:
-    rows = points(spark, sf).where(F.col("vec_id") < below)
-    left = F.broadcast(rows.select(F.col("vec_id").alias("i"), F.col("vector").alias("x")))  # `below` rows at most
-    return rows.select(F.col("vec_id").alias("j"), "vector").join(left, F.col("i") < F.col("j")).select("i", "j", V.euclidean(F.col("x"), F.col("vector")).alias("distance"))
+@_register(f"{_P}, a AS (SELECT vec_id, list_transform(v, lambda x: abs(x)) AS w FROM p), d AS (SELECT x.vec_id AS query_id, y.vec_id, {_FISHER} AS d FROM a x, a y WHERE x.vec_id % 20 = 0 AND x.vec_id <> y.vec_id) SELECT query_id, vec_id, round(d, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM d) WHERE r <= 5")
+def knn_fisher_rao(spark: SparkSession, sf: str) -> DataFrame:
+    rows = points(spark, sf).select("vec_id", F.transform("vector", F.abs).alias("vector"))
+    found = search.knn_batch(rows, _queries_of(rows), 5, "fisher_rao", drop_self=True)
+    return found.select("query_id", "vec_id", F.round("distance", 5).alias("distance"))
 
 
-@_register(f"{_P} SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.v, b.v), 6) AS distance FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE b.vec_id < 50")
+@_register(f"{_P} SELECT x.vec_id, round({_FISHER.replace('x.w', 'w').replace('y.w', 'u')}, 5) AS distance FROM (SELECT a.vec_id, list_transform(a.v, lambda c: abs(c)) AS w, list_transform(b.v, lambda c: abs(c)) AS u FROM p a JOIN p b ON b.vec_id = a.vec_id + 1) x")
+def fisher_rao_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Fisher-Rao distance of every row to the next."""
+    rows = _following(points(spark, sf).select("vec_id", F.transform("vector", F.abs).alias("vector")))
+    return rows.select(F.col("i").alias("vec_id"), F.round(V.fisher_rao(F.col("a"), F.col("b")), 5).alias("distance"))
+
+
+def _following(rows: DataFrame, reach: int = 1) -> DataFrame:
+    """(i, j, a, b): every row with the `reach` rows whose ids come next, by an equi-join."""
+    left = rows.select(F.col("vec_id").alias("i"), F.col("vector").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("n"))
+    return left.withColumn("j", F.col("i") + F.col("n")).join(rows.select(F.col("vec_id").alias("j"), F.col("vector").alias("b")), "j").select("i", "j", "a", "b")
+
+
+@_register(f"{_P} SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.v, b.v), 6) AS distance FROM p a, p b WHERE a.vec_id % 20 = 0")
 def distance_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(_pair_distances(spark, sf, 50), "i", "j", "distance")
+    p = points(spark, sf)
+    return search.batch_distances(p, _queries_of(p)).select(F.col("query_id").alias("i"), F.col("vec_id").alias("j"), F.round("distance", 6).alias("distance"))
 
 
-@_register(f"{_P}, m AS (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.v, b.v) AS d FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE b.vec_id < 50) SELECT count(*) AS n FROM m x JOIN m y ON x.j = y.i JOIN m z ON z.i = x.i AND z.j = y.j WHERE z.d > x.d + y.d + 1e-9")
+@_register(f"{_P} SELECT count(*) AS n FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 JOIN p c ON c.vec_id = b.vec_id + 1 WHERE list_distance(a.v, c.v) > list_distance(a.v, b.v) + list_distance(b.v, c.v) + 1e-9")
 def triangle_check(spark: SparkSession, sf: str) -> DataFrame:
-    return paths.triangle_violations(_pair_distances(spark, sf, 50)).agg(F.count("*").alias("n"))
+    """Over the triangles of every three rows in a row."""
+    sides = _following(points(spark, sf), 2).select("i", "j", V.euclidean(F.col("a"), F.col("b")).alias("distance"))
+    return paths.triangle_violations(sides).agg(F.count("*").alias("n"))
 
 
 @_register()
 def sinkhorn_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = points(spark, sf).where("vec_id < 20").select("vec_id", F.transform(_local(), F.abs).alias("w"))
-    return rows.alias("a").join(rows.alias("b"), F.col("a.vec_id") < F.col("b.vec_id")).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), udfs.sinkhorn(F.col("a.w"), F.col("b.w")).alias("cost"), udfs.wasserstein(F.col("a.w"), F.col("b.w")).alias("w2"))
+    """Optimal transport cost and W2 of every row to the next."""
+    rows = _following(points(spark, sf).select("vec_id", F.transform(_local(), F.abs).alias("vector")))
+    return rows.select(F.col("i").alias("a"), F.col("j").alias("b"), udfs.sinkhorn(F.col("a"), F.col("b")).alias("cost"), udfs.wasserstein(F.col("a"), F.col("b")).alias("w2"))
 
 
 @_register()
@@ -216,7 +229,7 @@ def log_euclidean_pairs(spark: SparkSession, sf: str) -> DataFrame:
 # Charts and anchors (C, S13-S15, T).
 
 
-@_register(f"{_P} SELECT vec_id, list_transform(v[1:8], lambda x: round(x, 6)) AS local FROM p")
+@_register(f"{_P} SELECT vec_id, list_transform(v[1:8], lambda x: round(x, 6) + 0) AS local FROM p")
 def default_chart_project(spark: SparkSession, sf: str) -> DataFrame:
     return points(spark, sf).select("vec_id", F.transform(_local(), lambda x: F.round(x, 6)).alias("local"))
 
@@ -379,17 +392,27 @@ def overlap_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return o.groupBy("chart_a", "chart_b").agg(F.count("*").alias("n"), F.round(lo - 0.05 * (hi - lo), 6).alias("lo"), F.round(hi + 0.05 * (hi - lo), 6).alias("hi"))
 
 
+REGIONS = 40  # charts of the chart graph, whatever the number of points
+
+
+def _chart_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, list[tuple], list[tuple]]:
+    """Located points, charts of k-means regions, and their graph: every point ties its two closest charts."""
+    regions = atlas.kmeans_labels(points(spark, sf), REGIONS)
+    charts = atlas.pca_atlas(regions, "cluster", DIM, AMBIENT)
+    two = atlas.locate(points(spark, sf), spark.createDataFrame(charts, atlas.CHARTS), keep=2)
+    return two, charts, [tuple(r) for r in atlas.chart_ties(two).collect()]
+
+
 @_register()
 def graph_communities(spark: SparkSession, sf: str) -> DataFrame:
-    """Louvain over the anchors' graph (a bounded sample), small communities merged by centroid."""
-    anchors = points(spark, sf).where("vec_id % 5 = 0").orderBy("vec_id").limit(2000)
-    edges = [tuple(r) for r in atlas.knn_graph(anchors, 5).where("i < j").collect()]
-    member = atlas.tuned_communities(edges, 6)
-    vectors = {r["vec_id"]: np.array(r["vector"]) for r in anchors.collect()}
-    return spark.createDataFrame([(int(v), int(c)) for v, c in sorted(atlas.merge_small(vectors, member, 3).items())], "vec_id long, community int")
+    """Louvain over the chart graph, small communities merged by centroid; every point has its chart's community."""
+    two, charts, edges = _chart_graph(spark, sf)
+    member = atlas.merge_small({c[0]: np.array(c[1]) for c in charts}, atlas.tuned_communities(edges, 6), 3)
+    rows = [(c[0], int(member.get(c[0], c[0]))) for c in charts]
+    return two.where("rank = 1").join(F.broadcast(spark.createDataFrame(rows, "chart_id int, community int")), "chart_id").select("vec_id", "chart_id", "community")
 
 
-_AFFINE = f"list_transform(range(1, 9), lambda i: round(v[i % 8 + 1] + {_list(SHIFT)}[i], 6))"
+_AFFINE = f"list_transform(range(1, 9), lambda i: round(v[i % 8 + 1] + {_list(SHIFT)}[i], 6) + 0)"
 
 
 @_register(f"{_P} SELECT vec_id, {_AFFINE} AS moved FROM p")
@@ -431,7 +454,7 @@ def transport_cost_heatmap(spark: SparkSession, sf: str) -> DataFrame:
     return _out(atlas.transport_costs(local, spark.createDataFrame(_steps(), atlas.TRANSITIONS)), "src", "tgt", "cost", rounded="cost")
 
 
-@_register("SELECT * FROM (VALUES (0, 1, 2, 0.0), (1, 2, 3, 0.0), (0, 1, 3, 0.0), (0, 2, 3, 0.0)) t(a, b, c, error)")
+@_register("SELECT * FROM (VALUES (0, 1, 2, 0.0::DOUBLE), (1, 2, 3, 0.0::DOUBLE), (0, 1, 3, 0.0::DOUBLE), (0, 2, 3, 0.0::DOUBLE)) t(a, b, c, error)")
 def cocycle_check(spark: SparkSession, sf: str) -> DataFrame:
     """Composed transitions satisfy the cocycle condition, so every error is 0."""
     steps = _steps()
@@ -497,15 +520,15 @@ def spd_report(spark: SparkSession, sf: str) -> DataFrame:
 
 # Paths and transport (E, P).
 
-_ENDS = f"{_P}, e AS (SELECT a.vec_id AS path_id, a.v[1:8] AS a, b.v[1:8] AS b FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id < 40), w AS (SELECT path_id, s AS step, list_transform(range(1, 9), lambda i: a[i] + (b[i] - a[i]) * (s / 20.0::DOUBLE) ** {{power}}) AS x, a, b FROM e, range(0, 21) t(s))"
+_ENDS = f"{_P}, e AS (SELECT a.vec_id AS path_id, a.v[1:8] AS a, b.v[1:8] AS b FROM p a JOIN p b ON b.vec_id = a.vec_id + 1), w AS (SELECT path_id, s AS step, list_transform(range(1, 9), lambda i: a[i] + (b[i] - a[i]) * (s / 20.0::DOUBLE) ** {{power}}) AS x, a, b FROM e, range(0, 21) t(s))"
 
 
 def _ends(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf).where("vec_id <= 40").select("vec_id", _local().alias("x"))
-    return p.alias("l").join(p.alias("r"), F.col("r.vec_id") == F.col("l.vec_id") + 1).where("l.vec_id < 40").select(F.col("l.vec_id").alias("path_id"), F.col("l.x").alias("a"), F.col("r.x").alias("b"))
+    rows = _following(points(spark, sf).select("vec_id", _local().alias("vector")))
+    return rows.select(F.col("i").alias("path_id"), "a", "b")
 
 
-@_register(_ENDS.format(power=1) + " SELECT path_id, step::INT AS step, list_transform(x, lambda c: round(c, 6)) AS point, round(list_distance(a, b) * step / 20, 6) AS arc_length FROM w")
+@_register(_ENDS.format(power=1) + " SELECT path_id, step::INT AS step, list_transform(x, lambda c: round(c, 6) + 0) AS point, round(list_distance(a, b) * step / 20, 6) AS arc_length FROM w")
 def geodesic_path_flat(spark: SparkSession, sf: str) -> DataFrame:
     rows = paths.straight_paths(_ends(spark, sf))
     return rows.select("path_id", "step", F.transform("point", lambda c: F.round(c, 6)).alias("point"), F.round("arc_length", 6).alias("arc_length"))
@@ -537,13 +560,13 @@ def path_curvature(spark: SparkSession, sf: str) -> DataFrame:
 @_register(f"""{_BENT}, s AS (SELECT path_id, step, x0, x, list_distance(x, x0) AS l FROM z WHERE x0 IS NOT NULL),
 c AS (SELECT *, sum(l) OVER (PARTITION BY path_id ORDER BY step) AS upto, sum(l) OVER (PARTITION BY path_id) AS total FROM s),
 k AS (SELECT path_id, n AS step, x0, x, least(1, greatest(0, (n * total / 10 - (upto - l)) / l)) AS t, row_number() OVER (PARTITION BY path_id, n ORDER BY c.step) AS r FROM c, range(0, 11) g(n) WHERE n * total / 10 <= upto + 1e-9 * total / 10)
-SELECT path_id, step::INT AS step, list_transform(range(1, 9), lambda i: round(x0[i] + (x[i] - x0[i]) * t, 5)) AS point FROM k WHERE r = 1""")
+SELECT path_id, step::INT AS step, list_transform(range(1, 9), lambda i: round(x0[i] + (x[i] - x0[i]) * t, 5) + 0) AS point FROM k WHERE r = 1""")
 def resample_path(spark: SparkSession, sf: str) -> DataFrame:
     rows = paths.resample(_bent(spark, sf), 10)
     return rows.select("path_id", "step", F.transform("point", lambda c: F.round(c, 5)).alias("point"))
 
 
-@_register(f"{_P} SELECT vec_id, list_transform(range(1, 9), lambda i: round(v[i] + 0.5 * qv[i], 6)) AS exp_point, list_transform(range(1, 9), lambda i: round((qv[i] - v[i]) / {_list(DIAGONAL)}[i], 6)) AS log_vector FROM p, q")
+@_register(f"{_P} SELECT vec_id, list_transform(range(1, 9), lambda i: round(v[i] + 0.5 * qv[i], 6) + 0) AS exp_point, list_transform(range(1, 9), lambda i: round((qv[i] - v[i]) / {_list(DIAGONAL)}[i], 6) + 0) AS log_vector FROM p, q")
 def retraction(spark: SparkSession, sf: str) -> DataFrame:
     q = V.literal(query_vector(spark, sf)[:DIM])
     out, back = paths.retract(_local(), V.scaled(q, F.lit(0.5))), paths.inverse_retract(_local(), q, V.literal(DIAGONAL[:DIM]))
@@ -553,8 +576,7 @@ def retraction(spark: SparkSession, sf: str) -> DataFrame:
 def _sphere_points(spark: SparkSession, sf: str) -> DataFrame:
     """(id, a, b): pairs of (polar angle, azimuth) away from the poles, from the first coordinates."""
     x = [F.get("vector", F.lit(i)) for i in range(4)]
-    rows = points(spark, sf).where("vec_id < 40")
-    return rows.select("vec_id", F.array(1.2 + x[0], x[1]).alias("a"), F.array(1.6 + x[2], 0.8 + x[3]).alias("b"))
+    return points(spark, sf).select("vec_id", F.array(1.2 + x[0], x[1]).alias("a"), F.array(1.6 + x[2], 0.8 + x[3]).alias("b"))
 
 
 @_register()
@@ -583,7 +605,7 @@ def scalar_curvature_sphere(spark: SparkSession, sf: str) -> DataFrame:
 @_register()
 def log_map_half_plane(spark: SparkSession, sf: str) -> DataFrame:
     x = [F.get("vector", F.lit(i)) for i in range(4)]
-    rows = points(spark, sf).where("vec_id < 20").select("vec_id", F.array(x[0], 1.0 + F.abs(x[1])).alias("a"), F.array(x[2], 1.0 + F.abs(x[3])).alias("b"))
+    rows = points(spark, sf).select("vec_id", F.array(x[0], 1.0 + F.abs(x[1])).alias("a"), F.array(x[2], 1.0 + F.abs(x[3])).alias("b"))
     return rows.select("vec_id", udfs.log_map("half_plane", F.col("a"), F.col("b")).alias("velocity"))
 
 
@@ -600,13 +622,13 @@ def curvature_field(spark: SparkSession, sf: str) -> DataFrame:
     return grid.select("x", "y", udfs.scalar_curvature("wells", F.array("x", "y")).alias("scalar"))
 
 
-@_register(f"{_P} SELECT vec_id, list_concat(v[1:8], [0.0, 0.0]) AS vector FROM (SELECT vec_id, list_transform(v, lambda x: round(x, 6)) AS v FROM p)")
+@_register(f"{_P} SELECT vec_id, list_concat(v[1:8], [0.0, 0.0]) AS vector FROM (SELECT vec_id, list_transform(v, lambda x: round(x, 6) + 0) AS v FROM p)")
 def schema_transport_pad(spark: SparkSession, sf: str) -> DataFrame:
     moved = paths.schema_transport(_local(), DIM, DIM + 2)
     return points(spark, sf).select("vec_id", F.transform(moved, lambda x: F.round(x, 6)).alias("vector"))
 
 
-@_register(f"{_P} SELECT vec_id, list_transform(v[1:5], lambda x: round(x, 6)) AS vector FROM p")
+@_register(f"{_P} SELECT vec_id, list_transform(v[1:5], lambda x: round(x, 6) + 0) AS vector FROM p")
 def schema_transport_truncate(spark: SparkSession, sf: str) -> DataFrame:
     moved = paths.schema_transport(_local(), DIM, 5)
     return points(spark, sf).select("vec_id", F.transform(moved, lambda x: F.round(x, 6)).alias("vector"))
@@ -653,7 +675,7 @@ def get_batch(spark: SparkSession, sf: str) -> DataFrame:
     return store.get_batch(table(spark, sf, "embeddings").select("vec_id", "label"), [3, 1, 2, -5])
 
 
-@_register(f"{_P} SELECT vec_id, label, list_transform(v, lambda x: round(x, 6)) AS vector FROM p")
+@_register(f"{_P} SELECT vec_id, label, list_transform(v, lambda x: round(x, 6) + 0) AS vector FROM p")
 def export_import_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="export-")
     path, schema = f"{shared}/export-{uuid.uuid4().hex}", "vec_id long, label int, vector array<double>"
@@ -684,9 +706,11 @@ def nn_distance_stats(spark: SparkSession, sf: str) -> DataFrame:
 _RADII_SQL = ", ".join(f"({r})" for r in RADII)
 
 
-@_register(f"{_P}, d AS (SELECT list_distance(a.v, b.v) AS d FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE b.vec_id < 200), c AS (SELECT r, avg((d < r)::INT) AS c FROM d, (VALUES {_RADII_SQL}) t(r) GROUP BY r) SELECT round(regr_slope(ln(c), ln(r::DOUBLE)), 4) AS dim FROM c WHERE c > 0")
+@_register(f"{_P}, d AS (SELECT list_distance(a.v, b.v) AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), c AS (SELECT r, avg((d < r)::INT) AS c FROM d, (VALUES {_RADII_SQL}) t(r) GROUP BY r) SELECT round(regr_slope(ln(c), ln(r::DOUBLE)), 4) AS dim FROM c WHERE c > 0")
 def correlation_dimension(spark: SparkSession, sf: str) -> DataFrame:
-    return learning.correlation_dimension(_pair_distances(spark, sf, 200), list(RADII)).select(F.round("dim", 4).alias("dim"))
+    p = points(spark, sf)
+    distances = search.batch_distances(p, _queries_of(p)).where("query_id <> vec_id")
+    return learning.correlation_dimension(distances, list(RADII)).select(F.round("dim", 4).alias("dim"))
 
 
 @_register("WITH n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), s AS (SELECT k AS patch FROM n, range(0, 100000) t(k) WHERE k * 15 + 30 <= n) SELECT patch::INT AS patch, vec_id AS idx FROM embeddings JOIN s ON vec_id >= patch * 15 AND vec_id < patch * 15 + 30")
@@ -733,9 +757,12 @@ def intrinsic_dim_pca(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register()
 def diffusion_map(spark: SparkSession, sf: str) -> DataFrame:
-    anchors = points(spark, sf).where("vec_id % 5 = 0").orderBy("vec_id").limit(1000)
-    edges = [tuple(r) for r in atlas.knn_graph(anchors, 6).where("i < j").collect()]
-    return spark.createDataFrame([(int(v), c) for v, c in sorted(learning.spectral_map(edges).items())], "vec_id long, coordinates array<double>")
+    """Diffusion coordinates of the chart graph; a point lies between its two closest charts."""
+    two, _, edges = _chart_graph(spark, sf)
+    placed = spark.createDataFrame([(int(c), x) for c, x in learning.spectral_map(edges).items()], "chart_id int, coordinates array<double>")
+    rows = two.join(F.broadcast(placed), "chart_id").withColumn("w", F.exp(-F.col("residual")))
+    axes = [(F.sum(F.col("w") * F.col("coordinates")[i]) / F.sum("w")) for i in range(2)]
+    return rows.groupBy("vec_id").agg(F.array(*axes).alias("coordinates"))
 
 
 @_register()

@@ -261,3 +261,47 @@ def test_learning(spark):
     assert got == [(k, i) for k in range(7) for i in range(6 * k, 6 * k + 10)]
     assert learning.gap_dimension([5.0, 4.0, 0.1, 0.09]) == 2
     assert learning.quality_score(1, 0, [2.0, 2.0], [1.0]) == pytest.approx(1)
+
+
+def test_kernels_take_batches():
+    rng = np.random.default_rng(3)
+    a, b = rng.uniform(0.8, 1.4, (6, 2)), rng.uniform(0.9, 1.6, (6, 2))
+    p, q = rng.random((6, 5)), rng.random((6, 5))
+    for g in (G.sphere, G.half_plane, G.wells):
+        for kernel in (G.geodesic_distance, G.curvature_corrected, G.exp_map):
+            np.testing.assert_allclose(kernel(g, a, b - a if kernel is G.exp_map else b), [kernel(g, x, y - x if kernel is G.exp_map else y) for x, y in zip(a, b, strict=True)], rtol=1e-7)
+        np.testing.assert_allclose(G.scalar_curvature(g, a), [G.scalar_curvature(g, x) for x in a], rtol=1e-6)
+    np.testing.assert_allclose(G.wasserstein2(p, q), [G.wasserstein2(x, y) for x, y in zip(p, q, strict=True)])
+
+
+def test_batch_udfs_keep_nulls_and_lengths(spark):
+    from chartlake.functions import udfs
+
+    rows = spark.createDataFrame([(0, [1.0, 0.2], [1.1, 0.4]), (1, None, [1.0, 0.0]), (2, [1.0, 0.2], [1.0, 0.2])], "id int, a array<double>, b array<double>")
+    got = {r["id"]: (r["d"], r["e"]) for r in rows.select("id", udfs.geodesic_distance("sphere", F.col("a"), F.col("b")).alias("d"), udfs.log_map("sphere", F.col("a"), F.col("b")).alias("e")).collect()}
+    assert got[1] == (None, None) and got[2] == (0.0, [0.0, 0.0]) and got[0][0] > 0
+    mixed = spark.createDataFrame([([1.0, 3.0], [1.0, 3.0]), ([1.0, 1.0, 2.0], [2.0, 1.0, 1.0])], "p array<double>, q array<double>")
+    near, far = sorted(r[0] for r in mixed.select(udfs.sinkhorn(F.col("p"), F.col("q"), 0.02)).collect())
+    assert near == pytest.approx(0, abs=1e-3) and far == pytest.approx(1 / 6, abs=0.01)
+
+
+def test_batch_distances_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(size=(40, 3)))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "vec_id long, vector array<double>")
+    queries = rows.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(search, "BLOCK", 3)
+    got = {(r["query_id"], r["vec_id"]): r["distance"] for r in search.batch_distances(rows, queries).collect()}
+    assert len(got) == 8 * 40
+    assert all(d == pytest.approx(float(np.linalg.norm(x[i] - x[j]))) for (i, j), d in got.items())
+    share = np.sqrt(x / x.sum(1, keepdims=True))
+    for r in search.knn_batch(rows, queries, 2, "fisher_rao", drop_self=True).where("rank = 1").collect():
+        d = 2 * np.arccos(np.clip(share @ share[r["query_id"]], -1, 1))
+        d[r["query_id"]] = 9
+        assert r["vec_id"] == int(d.argmin()) and r["distance"] == pytest.approx(d.min(), abs=1e-6)
+    assert search.batch_distances(rows, queries.limit(0)).count() == 0
+
+
+def test_chart_ties(spark):
+    two = spark.createDataFrame([(1, 0, 0.5, 1), (1, 3, 0.5, 2), (2, 3, 0.1, 1), (2, 0, 1.1, 2), (3, 4, 0.0, 1)], "vec_id int, chart_id int, residual double, rank int")
+    assert [(r["i"], r["j"], round(r["w"], 6)) for r in atlas.chart_ties(two).collect()] == [(0, 3, round(1 + float(np.exp(-1.0)), 6))]
