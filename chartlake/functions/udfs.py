@@ -102,3 +102,8 @@ def transported(metric: str, a: Column, b: Column, vector: Column, steps: int =
     """vector carried along the straight coordinate line from a to b."""
     g = G.METRICS[metric]
     return _vectorised(lambda x, y, v: G.parallel_transport(g, np.linspace(x, y, steps + 1), v), "array<double>", 3)(a, b, vector)
+
+
+def exp_orthonormal(metric: str, point: Column, velocity: Column) -> Column:
+    """exp_map of a velocity given in a frame that is orthonormal at the point."""
+    return _vectorised(partial(G.exp_orthonormal, G.METRICS[metric]), "array<double>")(point, velocity)

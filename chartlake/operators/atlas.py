@@ -87,7 +87,7 @@ def find_chart(points: DataFrame, boxes: DataFrame, centroids: DataFrame, group:
     """(id, chart, contained): the containing box of least volume, else the nearest centroid (ties: lowest chart)."""
     table = boxes.join(centroids, group)
     local = F.slice(F.col(vec), 1, dim)
-    pairs = points.select(id_col, vec).crossJoin(F.broadcast(table))
+    pairs = points.select(id_col, vec).crossJoin(search.checked(table))
     out = pairs.select(id_col, F.col(group).alias("chart"), (~inside(local, F.col("lo"), F.col("hi"))).alias("outside"), "volume", V.euclidean(local, F.col("centroid")).alias("gap"))
     size = F.when(F.col("outside"), F.col("gap")).otherwise(F.col("volume"))
     best = out.groupBy(id_col).agg(F.min(F.struct("outside", size.alias("size"), "chart")).alias("b"))
@@ -390,6 +390,6 @@ def cocycle_errors(transitions: DataFrame) -> DataFrame:
 
 def transport_costs(points: DataFrame, transitions: DataFrame, vec: str = "vector") -> DataFrame:
     """(src, tgt, cost): mean length of T v - v over all points."""
-    moved = points.select(vec).crossJoin(F.broadcast(transitions))
+    moved = points.select(vec).crossJoin(search.checked(transitions))
     gap = V.euclidean(V.affine(F.col("matrix"), F.col("bias"), F.col(vec)), F.col(vec))
     return moved.groupBy("src", "tgt").agg(F.avg(gap).alias("cost"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from . import search
 
 
 def gaussian(r: Column, sigma: Column) -> Column:
@@ -32,7 +33,7 @@ def rbf_metric(points: DataFrame, anchors: DataFrame, near: int = 5, id_col: str
 
     Weights are weight * exp(-(r / sigma)^2 / 2); where they sum to less than 1e-30 the metric is the identity.
     """
-    pairs = points.select(id_col, vec).crossJoin(F.broadcast(anchors)).withColumn("r", V.euclidean(F.col(vec), F.col("coords")))
+    pairs = points.select(id_col, vec).crossJoin(search.checked(anchors)).withColumn("r", V.euclidean(F.col(vec), F.col("coords")))
     order = Window.partitionBy(id_col).orderBy("r", "anchor_no")
     close = pairs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= near)
     close = close.withColumn("w", F.col("weight") * gaussian(F.col("r"), F.col("sigma")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import udfs
 from ..functions import vectors as V
-from ..operators import atlas, learning, metrics, paths, search, store
+from ..operators import atlas, learning, metrics, paths, search, store, tangent
 from ..sources import files
 from . import mql
 
@@ -272,7 +272,7 @@ _BOX = f"{_P}, m AS (SELECT label, i, min(v[i]) AS lo, max(v[i]) AS hi, avg(v[i]
 @_register(f"{_BOX} SELECT chart, count(*) AS n_inside FROM x WHERE inside GROUP BY chart")
 def chart_bbox_contains(spark: SparkSession, sf: str) -> DataFrame:
     boxes = atlas.bounds(points(spark, sf), "label", 3)
-    pairs = points(spark, sf).select("vector").crossJoin(F.broadcast(boxes))  # one box per label
+    pairs = points(spark, sf).select("vector").crossJoin(search.checked(boxes))
     return pairs.where(atlas.inside(_local(3), F.col("lo"), F.col("hi"))).groupBy(F.col("label").alias("chart")).agg(F.count("*").alias("n_inside"))
 
 
@@ -780,3 +780,66 @@ def windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
 
     rows = streams.windowed_counts(table(spark, sf, "events"))
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# Tangent spaces, boxes and samples (T, S12, S19, E5).
+
+
+def _spaces(spark: SparkSession, sf: str) -> list[tuple]:
+    assigned = points(spark, sf).select(F.col("label").cast("long").alias("anchor_id"), "vector")
+    return tangent.tangent_spaces(assigned, {c[0]: c[1] for c in label_charts(spark, sf)}, AMBIENT, DIM)
+
+
+@_register()
+def tangent_spaces(spark: SparkSession, sf: str) -> DataFrame:
+    """One space per label, at its mean."""
+    return spark.createDataFrame(_spaces(spark, sf), tangent.SPACES)
+
+
+@_register()
+def tangent_carried(spark: SparkSession, sf: str) -> DataFrame:
+    """Every point's coordinates in its label's space, carried to the next label's space."""
+    spaces = _spaces(spark, sf)
+    turns = [(a[0], a[1], a[2], G.tangent_rotation(np.array(a[2]), np.array(b[2])).tolist()) for a, b in zip(spaces, spaces[1:] + spaces[:1], strict=True)]
+    side = F.broadcast(spark.createDataFrame(turns, "label int, base array<double>, basis array<array<double>>, turn array<array<double>>"))
+    local = tangent.log_at(F.col("vector"), F.col("base"), F.col("basis"), AMBIENT)
+    return points(spark, sf).join(side, "label").select("vec_id", V.matvec(F.col("turn"), local).alias("moved"))
+
+
+_SHORT = "greatest(0.5, 1 - list_distance(v, o) ** 2 / (24.0 * 65))"
+
+
+@_register(f"{_CHARTS} SELECT vec_id, list_transform(range(1, 9), lambda i: round((v[i] - o[i]) * {_SHORT}, 6) + 0) AS local FROM p JOIN c ON chart_id = label")
+def tangent_log(spark: SparkSession, sf: str) -> DataFrame:
+    charts = spark.createDataFrame(label_charts(spark, sf), atlas.CHARTS).withColumnRenamed("chart_id", "label")
+    local = tangent.log_at(F.col("vector"), F.col("origin"), F.col("basis"), AMBIENT)
+    return points(spark, sf).join(F.broadcast(charts), "label").select("vec_id", F.transform(local, lambda x: F.round(x, 6)).alias("local"))
+
+
+@_register(f"{_P} SELECT vec_id, round(list_distance(v, qv), 6) AS distance FROM p, q WHERE list_distance(v, qv) <= 1.25")
+def ball_pruned_by_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    found = tangent.pruned_ball(p, atlas.bounds(p, "label", AMBIENT), query_vector(spark, sf), 1.25, "label")
+    return _out(found, "vec_id", "distance")
+
+
+@_register(f"{_P} SELECT vec_id, CASE WHEN list_distance(v, qv) <= 1e-15 THEN 1.0::DOUBLE ELSE round({_CONFORMAL} / list_distance(v, qv), 6) END AS ratio FROM p, q")
+def distance_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    """Distance under the conformal metric over the straight one, to the query."""
+    q = V.literal(query_vector(spark, sf))
+    straight = V.euclidean(F.col("vector"), q)
+    return points(spark, sf).select("vec_id", F.when(straight <= 1e-15, 1.0).otherwise(F.round(V.conformal(F.col("vector"), q) / straight, 6)).alias("ratio"))
+
+
+@_register()
+def geodesic_ball_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Five points of the ball of radius 0.3 around every point of the sphere."""
+    return tangent.ball_samples(_sphere_points(spark, sf).withColumnRenamed("a", "point"), "sphere", 0.3, 5, 2)
+
+
+@_register()
+def atlas_quality(spark: SparkSession, sf: str) -> DataFrame:
+    charts = atlas.pca_atlas(points(spark, sf), "label", DIM, AMBIENT)
+    registry = tangent.Registry(charts, atlas.auto_transitions(charts))
+    found = tangent.quality(atlas.locate(points(spark, sf), registry.tables(spark)["charts"]), chart_overlap_points(spark, sf), registry, 0.9)
+    return spark.createDataFrame([(found["points"], float(found["coverage"]), float(found["overlap"]), found["charts"], found["transitions"], len(found["isolated"]))], "points long, coverage double, overlap double, charts int, transitions int, isolated int")
