@@ -22,7 +22,9 @@ ROTATION = tuple(tuple(1.0 if j == (i + 1) % DIM else 0.0 for j in range(DIM)) f
 SHIFT = tuple(0.01 * i for i in range(DIM))
 EDGES = tuple((i, (3 * i + 1) % 10) for i in range(10) if i != (3 * i + 1) % 10)
 RADII = (1.1, 1.2, 1.3, 1.4)
-ANCHOR_STEP = 50
+#: Anchors are every 50th row, or fewer: at most about 1000 for any number of rows.
+ANCHOR_STEP, MOST_ANCHORS = 50, 1000
+_STEP_SQL = f"greatest({ANCHOR_STEP}, (SELECT count(*) FROM embeddings) // {MOST_ANCHORS})"
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -283,11 +285,16 @@ def find_chart_smallest_bbox(spark: SparkSession, sf: str) -> DataFrame:
     return atlas.find_chart(p, atlas.bounds(p, "label", 3), centres, "label", 3)
 
 
+def _sampled(rows: DataFrame) -> DataFrame:
+    """The rows that serve as anchors; vec_id counts up, so their number is bounded."""
+    return rows.where(F.col("vec_id") % F.lit(max(ANCHOR_STEP, rows.count() // MOST_ANCHORS)) == 0)
+
+
 def _anchors(spark: SparkSession, sf: str) -> DataFrame:
-    return points(spark, sf).where(f"vec_id % {ANCHOR_STEP} = 0").select(F.col("vec_id").alias("anchor_id"), F.col("vector").alias("base"))
+    return _sampled(points(spark, sf)).select(F.col("vec_id").alias("anchor_id"), F.col("vector").alias("base"))
 
 
-_ANCHORS = f"{_P}, a AS (SELECT vec_id AS anchor_id, v AS base FROM p WHERE vec_id % {ANCHOR_STEP} = 0), s AS (SELECT vec_id, v, anchor_id, base, list_distance(v, base) AS ad FROM p, a), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ad, anchor_id) AS k FROM s) WHERE k = 1)"
+_ANCHORS = f"{_P}, a AS (SELECT vec_id AS anchor_id, v AS base FROM p WHERE vec_id % {_STEP_SQL} = 0), s AS (SELECT vec_id, v, anchor_id, base, list_distance(v, base) AS ad FROM p, a), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ad, anchor_id) AS k FROM s) WHERE k = 1)"
 
 
 @_register(f"{_ANCHORS} SELECT vec_id, anchor_id, round(ad, 6) AS anchor_distance FROM n")
@@ -465,13 +472,13 @@ def cocycle_check(spark: SparkSession, sf: str) -> DataFrame:
 
 # Metrics (M).
 
-_RBF = f"{_P}, a AS (SELECT vec_id AS anchor_no, v[1:8] AS coords, list_transform(v[1:8], lambda x: 1 + x * x) AS g FROM p WHERE vec_id % {ANCHOR_STEP} = 0), c AS (SELECT vec_id, g, exp(-0.5 * (r / 0.5) ** 2) AS w FROM (SELECT p.vec_id, g, list_distance(v[1:8], coords) AS r, row_number() OVER (PARTITION BY p.vec_id ORDER BY list_distance(v[1:8], coords), anchor_no) AS k FROM p, a) WHERE k <= 5), m AS (SELECT vec_id, i, sum(w * g[i]) / sum(w) AS x FROM c, range(1, 9) t(i) GROUP BY vec_id, i)"
+_RBF = f"{_P}, a AS (SELECT vec_id AS anchor_no, v[1:8] AS coords, list_transform(v[1:8], lambda x: 1 + x * x) AS g FROM p WHERE vec_id % {_STEP_SQL} = 0), c AS (SELECT vec_id, g, exp(-0.5 * (r / 0.5) ** 2) AS w FROM (SELECT p.vec_id, g, list_distance(v[1:8], coords) AS r, row_number() OVER (PARTITION BY p.vec_id ORDER BY list_distance(v[1:8], coords), anchor_no) AS k FROM p, a) WHERE k <= 5), m AS (SELECT vec_id, i, sum(w * g[i]) / sum(w) AS x FROM c, range(1, 9) t(i) GROUP BY vec_id, i)"
 
 
 @_register(f"{_RBF} SELECT vec_id, list(round(x, 6) ORDER BY i) AS g FROM m GROUP BY vec_id")
 def rbf_metric_eval(spark: SparkSession, sf: str) -> DataFrame:
     local = points(spark, sf).select("vec_id", _local().alias("vector"))
-    anchors = local.where(f"vec_id % {ANCHOR_STEP} = 0").select(F.col("vec_id").alias("anchor_no"), F.col("vector").alias("coords"), F.transform("vector", lambda x: 1.0 + x * x).alias("g"), F.lit(1.0).alias("weight"), F.lit(0.5).alias("sigma"))
+    anchors = _sampled(local).select(F.col("vec_id").alias("anchor_no"), F.col("vector").alias("coords"), F.transform("vector", lambda x: 1.0 + x * x).alias("g"), F.lit(1.0).alias("weight"), F.lit(0.5).alias("sigma"))
     return metrics.rbf_metric(local, anchors).select("vec_id", F.transform("g", lambda x: F.round(x, 6)).alias("g"))
 
 
