@@ -1,17 +1,18 @@
 """LM scoring by a probabilistic suffix tree.
 
 A text is a sequence of words, then one end; the symbols are the training words, the end and one unknown word. The
-tree's states are contexts of up to DEPTH preceding words that (1) occur together with a next symbol in at least
-MIN_PROB of all training tokens and (2) pass a divergence test: the Kullback-Leibler divergence of their next-symbol
-distribution from that of the longest retained suffix, times their count, is at least GAIN nats. Distributions are
-smoothed: what absolute discounting takes from the counts of a state goes to its suffix state's distribution, at the
-root to the unknown word. Each token is scored in the state of the longest suffix of its context.
-
-Corpus statistics cover all training texts: counts of all words, and of all word sequences that can reach MIN_PROB
-(level by level, as every part of a frequent sequence is frequent), are summed by shuffles; only sequences above
-MIN_PROB come to the driver, at most 1 / MIN_PROB of each length. Texts are read once: they become chunks of bounded
-size with their own vocabulary, each chunk asks for its words' counts, and answers are joined to the chunk. So a
-frequent word costs one row per chunk, not per text.
+tree's states are contexts of up to DEPTH preceding words that (1) occur together with a next symbol at least MIN_COUNT
+times in the training texts, however large they are, and (2) pass a divergence test: the Kullback-Leibler divergence of
+their next-symbol distribution from that of the longest retained suffix, times their count, is at least GAIN nats.
+Distributions are smoothed: what absolute discounting takes from the counts of a state goes to its suffix state's
+distribution, at the root to the unknown word. Each token is scored in the state of the longest suffix of its context.
+
+Corpus statistics cover all training texts and grow with them; none comes to the driver and none is broadcast. Texts are
+read once: they become chunks of bounded size with their own vocabulary. Level by level, as every part of a repeated
+sequence is repeated, each chunk asks for the counts of its distinct sequences, then for the states among its distinct
+contexts; questions are 64-bit keys, dealt in buckets of the key's range, and answers go back to the chunk. So a frequent
+word or sequence costs one key per chunk. Words are counted as such; two sequences
+of one key would be taken for one (2^-64 a pair).
 
 Null and empty texts have the end as their only token. Null ids are training rows. Repeated rows each get a row.
 Without training texts every token is unknown, which is then certain. Empty tables give empty results; other columns
@@ -20,6 +21,7 @@ are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import math
 
 import numpy as np
@@ -29,9 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, keys64, mix64
+from .common import checkpointed, keys64, mix64, word_hashes
 
-DEPTH, MIN_PROB, GAIN, DISCOUNT = 3, 4e-6, 12.0, 0.5
+DEPTH, MIN_COUNT, GAIN, DISCOUNT = 3, 2, 12.0, 0.5
+#: No share of the training tokens is asked of a sequence, as that would ask for more in larger corpora.
+MIN_PROB = 0.0
+#: A bucket of keys is answered in one task; there are as many as chunks, but not fewer than this.
+BUCKETS = 64
 CHUNK_BYTES = 16_000_000
 END = b"\n"  # cannot be part of a word
 
@@ -96,88 +102,250 @@ def _vocabulary(packed: bytes) -> list[bytes]:
     return [END, *(raw.split(b"\n") if raw else [])]
 
 
-def chunk_words(chunks: DataFrame) -> DataFrame:
-    """(word, chunk, place, n): each chunk's words with their count in its training texts."""
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte, as their high bytes are mostly 0."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                chunk = batch.column(0)[i].as_py()
-                words = _vocabulary(batch.column(1)[i].as_py())
-                counts = np.frombuffer(_unpack(batch.column(2)[i].as_py()), np.int64)
-                for at in range(0, len(words), 50_000):
-                    part = words[at : at + 50_000]
-                    n = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(np.full(n, chunk, np.int64)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(counts[at : at + n])], ["word", "chunk", "place", "n"])
 
-    return chunks.select("chunk", "words", "train").mapInArrow(run, "word binary, chunk long, place int, n long")
+def _unpack_keys(data: bytes) -> np.ndarray:
+    parts = np.frombuffer(_unpack(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(parts.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _mixed(*parts: np.ndarray) -> np.ndarray:
-    """64-bit hashes of tuples of small integers."""
-    total = np.zeros(len(parts[0]), np.uint64)
-    for part, factor in zip(parts, keys64(DEPTH + 2, 41), strict=False):
-        total = mix64(total + (part.astype(np.uint64) + np.uint64(1)) * factor)
-    return total
+def _word_keys(raw: bytes) -> np.ndarray:
+    """Keys of the words of a vocabulary, the first being the end."""
+    return np.concatenate([keys64(1, 43), word_hashes(raw)])
 
 
-def _member(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key whether it is among the sorted ones, and where."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return sorted_keys[at] == keys, at
+def _packed(values: np.ndarray) -> bytes:
+    return _pack(np.ascontiguousarray(values).tobytes())
 
 
-class Sequences:
-    """The tokens of a chunk as numbers of frequent words (-1: not frequent), with each token's place in its text."""
+def _array(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(_unpack(data), kind)
 
-    def __init__(self, body: bytes, n_docs: int, number_of: np.ndarray):
-        lists = np.frombuffer(_unpack(body), np.int32)
-        self.sizes = lists[:n_docs].astype(np.int64)
-        self.places = lists[n_docs:]
-        self.numbers = number_of.astype(np.int32)[self.places]
-        self.doc = np.repeat(np.arange(n_docs, dtype=np.int32), self.sizes)
-        self.inside = np.arange(len(self.places), dtype=np.int32) - np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
 
-    def reach(self, depth: int, spots: np.ndarray) -> np.ndarray:
-        """Those spots that have `depth` tokens before them, all frequent, the outermost being checked."""
-        spots = spots[self.inside[spots] >= depth]
-        return spots[self.numbers[spots - depth] >= 0]
+class Level:
+    """The distinct sequences of depth + 1 repeated words in a chunk, by the spots at which they end."""
 
-    def columns(self, spots: np.ndarray, first: int, last: int) -> list[np.ndarray]:
-        return [self.numbers[spots - j] for j in range(first, last - 1, -1)]
+    def __init__(self, spots: np.ndarray, keys: np.ndarray):
+        coded = pa.array(keys).dictionary_encode()
+        names = coded.dictionary.to_numpy()
+        order = np.argsort(names)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.spots, self.keys = spots, names[order]
+        self.place = place[coded.indices.to_numpy()]  # among the sorted keys
 
 
-def _sequence_counts(chunks: DataFrame, numbers, depth: int, known: list[np.ndarray], least: int) -> list[tuple]:
-    """(numbers..., count) of sequences of depth + 1 frequent words in training texts that occur at least `least` times.
+class ChunkText:
+    """The tokens of a chunk with what was answered so far.
 
-    known holds, by depth, the hashes of the frequent sequences that are shorter; both parts must be among them.
+    at[d] has, by token, the place of the sequence of depth d that ends there, or -1 if it is not repeated; counts[d] the
+    counts by place. Places of depth 0 are those of the vocabulary, of others the order of the keys.
     """
-    held = chunks.sparkSession.sparkContext.broadcast(known)
-    names = [f"w{j}" for j in range(depth + 1)]
 
-    def run(batches):
+    def __init__(self, row: dict, counts: np.ndarray, cut: float, total: int, unknown: float):
+        lists = np.frombuffer(_unpack(row["body"]), np.int32)
+        n_docs = len(row["held"])
+        self.sizes = lists[:n_docs].astype(np.int64)
+        self.places = lists[n_docs:]
+        self.doc = np.repeat(np.arange(n_docs, dtype=np.int32), self.sizes)
+        self.inside = np.arange(len(self.places), dtype=np.int32) - np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
+        self.train = ~np.array(row["held"], bool)[self.doc]
+        self.names = _word_keys(_unpack(row["words"]))
+        by_key, counts = counts, np.empty(len(self.names), np.int64)
+        counts[np.argsort(self.names, kind="stable")] = by_key
+        self.counts, self.keys = [counts], [self.names]
+        self.at = [np.where(counts[self.places] >= MIN_COUNT, self.places, np.int32(-1))]
+        self.ends = self.names[self.places]  # key of the sequence of the current depth that ends at a token
+        self.probs = np.where(counts > 0, (counts - cut) / max(total, 1), unknown)[self.places]
+
+    def next_level(self) -> Level:
+        """The sequences one deeper whose two parts are repeated."""
+        depth, last = len(self.at), self.at[-1]
+        spots = np.flatnonzero((self.inside >= depth) & (last >= 0))
+        spots = spots[last[spots - 1] >= 0]
+        first = self.names[self.places[spots - depth]]
+        keys = mix64(self.ends[spots] + mix64(first * keys64(DEPTH + 2, 41)[depth]))
+        self.ends = np.zeros(len(self.ends), np.uint64)
+        self.ends[spots] = keys
+        return Level(spots, keys)
+
+    def counted(self, level: Level, counts: np.ndarray) -> None:
+        at = np.full(len(self.places), -1, np.int32)
+        here = counts[level.place] >= MIN_COUNT
+        at[level.spots[here]] = level.place[here]
+        self.at.append(at), self.counts.append(counts), self.keys.append(level.keys)
+
+    def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The spots that follow a repeated context of `depth` words, and its place at depth - 1."""
+        spots = np.flatnonzero(self.inside >= depth)
+        context = self.at[depth - 1][spots - 1]
+        return spots[context >= 0], context[context >= 0]
+
+    def stated(self, depth: int, left: np.ndarray) -> None:
+        """Probabilities in the states of a depth; left has the mass by context, or NaN if it is no state."""
+        spots, context = self.contexts(depth)
+        state = ~np.isnan(left[context])
+        spots, context = spots[state], context[state]
+        self.probs[spots] *= left[context]
+        place = self.at[depth][spots]
+        spots, context, place = spots[place >= 0], context[place >= 0], place[place >= 0]
+        self.probs[spots] += (self.counts[depth][place] - DISCOUNT) / self.counts[depth - 1][context]
+
+
+def _in_buckets(keys: np.ndarray, n_buckets: int):
+    """(bucket, slice) of sorted keys by equal parts of their range."""
+    width = np.uint64(2**64 // n_buckets)
+    inner = np.arange(1, n_buckets, dtype=np.uint64) * width
+    ends = [0, *np.searchsorted(keys, inner).tolist(), len(keys)]
+    return [(b, slice(lo, hi)) for b, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)) if hi > lo]
+
+
+ASKED = "kind string, depth int, bucket int, chunk long, keys binary, numbers binary"
+ANSWERED = "kind string, depth int, bucket int, chunk long, data binary"
+
+
+def word_answers(chunks: DataFrame, n_buckets: int) -> DataFrame:
+    """The counts of each chunk's words in all training texts; n, v, n1 and n2 of a bucket's first row add up its words:
+    tokens, kinds, and kinds that occur once and twice."""
+    schema = "bucket int, chunk long, words binary, n binary"
+
+    def ask(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
-                number_of = np.fromiter((numbers.value.get(w, -1) for w in _vocabulary(row["words"])), np.int64)
-                text = Sequences(row["body"], len(row["held"]), number_of)
-                train = ~np.array(row["held"], bool)[text.doc]
-                spots = np.flatnonzero(train & (text.numbers >= 0))
-                for d in range(1, depth + 1):
-                    spots = text.reach(d, spots)
-                    if d < depth:  # the sequence that ends here, without its first word, is frequent
-                        spots = spots[_member(_mixed(*text.columns(spots, d, 0)), held.value[d])[0]]
-                if depth > 1:  # so is the one without its last word
-                    spots = spots[_member(_mixed(*text.columns(spots, depth, 1)), held.value[depth - 1])[0]]
-                columns = text.columns(spots, depth, 0)
-                _, first, counts = np.unique(_mixed(*columns), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*[pa.array(c[first].astype(np.int32)) for c in columns], pa.array(counts.astype(np.int64))], [*names, "n"])
-
-    rows = chunks.select("held", "body", "words").mapInArrow(run, ", ".join(f"{n} int" for n in names) + ", n long")
-    got = rows.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    return list(zip(*[got.column(n).to_pylist() for n in (*names, "n")], strict=True))
+            for chunk, words, train in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names, keys, counts = _vocabulary(words), _word_keys(_unpack(words)), _array(train, np.int64)
+                names[0] = b""  # the end, as words are written with an end between them
+                order = np.argsort(keys, kind="stable")
+                for b, part in _in_buckets(keys[order], n_buckets):
+                    rows = order[part]
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk]), pa.array([_pack(END.join([names[i] for i in rows]))], pa.binary()), pa.array([_packed(counts[rows])], pa.binary())], ["bucket", "chunk", "words", "n"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        lists = [_unpack(x).split(END) for x in table.column("words").to_pylist()]
+        coded = pa.array([w for ws in lists for w in ws], pa.binary()).dictionary_encode()
+        codes, sums = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(sums, codes, np.concatenate([_array(x, np.int64) for x in table.column("n").to_pylist()]))
+        ends, rows = np.cumsum([len(ws) for ws in lists])[:-1], len(lists)
+        stats = [int(x) for x in (sums.sum(), (sums > 0).sum(), (sums == 1).sum(), (sums == 2).sum())]
+        columns = [pa.array(["count"] * rows), pa.array([0] * rows, pa.int32()), table.column("bucket"), table.column("chunk"), pa.array([_packed(x) for x in np.split(sums[codes], ends)], pa.binary())]
+        columns += [pa.array([x, *[0] * (rows - 1)], pa.int64()) for x in stats]
+        return pa.Table.from_arrays(columns, names=["kind", "depth", "bucket", "chunk", "data", "n", "v", "n1", "n2"])
+
+    asked = chunks.select("chunk", "words", "train").mapInArrow(ask, schema)
+    return checkpointed(asked.groupBy("bucket").applyInArrow(answer, f"{ANSWERED}, n long, v long, n1 long, n2 long"))
+
+
+def _count_answers(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """By asked key the count in all chunks (0: below MIN_COUNT), negative for one of the chunks that ask."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order][:1]) != 0)
+    sums = np.add.reduceat(n[order], first)
+    sums[sums < MIN_COUNT] = 0
+    out = np.empty(len(keys), np.int64)
+    signed = np.repeat(sums, np.diff(first, append=len(keys)))
+    signed[first] *= -1
+    out[order] = signed
+    return out
+
+
+def _state_answers(keys: np.ndarray, asked: np.ndarray, gain: float) -> np.ndarray:
+    """By asked context the mass a state leaves to its suffix, NaN for no state.
+
+    asked has, by key, its count and sums over the sequences it begins: n log(n / below), n, below and 1.
+    """
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order][:1]) != 0)
+    total = asked[0][order][first]
+    logs, n, below, kinds = (np.add.reduceat(x[order], first) for x in asked[1:])
+    rest, rest_below = np.maximum(0.0, 1 - n / total), np.maximum(1e-12, 1 - below)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        divergence = logs - n * np.log(total) + np.where(rest > 0, total * rest * np.log(rest / rest_below), 0.0)
+    left = np.where((kinds > 0) & (divergence >= gain), 1 - (n - DISCOUNT * kinds) / total, np.nan)
+    out = np.empty(len(keys))
+    out[order] = np.repeat(left, np.diff(first, append=len(keys)))
+    return out
+
+
+def _answer(asked: DataFrame, gain: float) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        keys = [_unpack_keys(x) for x in table.column("keys").to_pylist()]
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        numbers, every = table.column("numbers").to_pylist(), np.concatenate(keys)
+        if table.column("kind")[0].as_py() == "count":
+            out = _count_answers(every, np.concatenate([_array(x, np.int64) for x in numbers]))
+        else:
+            out = _state_answers(every, np.concatenate([_array(x, float).reshape(5, -1) for x in numbers], axis=1), gain)
+        data = pa.array([_packed(x) for x in np.split(out, ends)], pa.binary())
+        return table.select(["kind", "depth", "bucket", "chunk"]).append_column("data", data)
+
+    return checkpointed(asked.groupBy("kind", "depth", "bucket").applyInArrow(run, ANSWERED))
+
+
+@contextlib.contextmanager
+def _shuffles_removed(spark):
+    """Spark removes the shuffles of each step in here as soon as its checkpoint is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _with_answers(chunk: pa.Table, answers: pa.Table) -> tuple[dict, dict]:
+    """The packed chunk, and the answers by kind and depth in the order of the keys."""
+    row = {n: chunk.column(n)[0].as_py() for n in ("held", "body", "words")}
+    parts: dict = {}
+    for a in sorted(answers.to_pylist(), key=lambda a: (a["kind"], a["depth"], a["bucket"])):
+        parts.setdefault((a["kind"], a["depth"]), []).append(_array(a["data"], float if a["kind"] == "state" else np.int64))
+    got = {k: np.concatenate(v) for k, v in parts.items()}
+    return row, got
+
+
+def _text(row: dict, got: dict, levels: int, states: int, cut: float, total: int, unknown: float) -> ChunkText:
+    """The text with `levels` levels of counts and the probabilities of `states` levels of states."""
+    text = ChunkText(row, got["count", 0], cut, total, unknown)
+    for depth in range(1, levels + 1):
+        level = text.next_level()
+        text.counted(level, np.abs(got.get(("count", depth), np.zeros(0, np.int64))))
+    for depth in range(1, states + 1):
+        left = np.full(len(text.keys[depth - 1]), np.nan)
+        asked = _asked_contexts(text, depth)
+        left[asked] = got.get(("state", depth), np.zeros(0))
+        text.stated(depth, left)
+    return text
+
+
+def _asked_contexts(text: ChunkText, depth: int) -> np.ndarray:
+    """Places of the contexts that a chunk asks for, by their keys."""
+    asked = np.flatnonzero(np.bincount(text.contexts(depth)[1], minlength=len(text.keys[depth - 1])))
+    return asked[np.argsort(text.keys[depth - 1][asked])] if depth == 1 else asked
+
+
+def _questions(text: ChunkText, got: dict, depth: int):
+    """(kind, depth, keys, numbers by key) that a chunk asks after `depth` levels of counts."""
+    if depth:
+        asked = _asked_contexts(text, depth)
+        numbers = np.zeros((5, len(text.keys[depth - 1])))
+        numbers[0] = text.counts[depth - 1]
+        place = text.at[depth]
+        spots = np.flatnonzero(place >= 0)
+        mine = got.get(("count", depth), np.zeros(0, np.int64)) < 0
+        one = np.full(len(mine), -1, np.int64)
+        one[place[spots]] = spots  # some spot of each sequence
+        one = one[mine]
+        n, below = text.counts[depth][place[one]], text.probs[one]
+        context = text.at[depth - 1][one - 1]
+        for k, x in enumerate((n * np.log(n / below), n, below, np.ones(len(one))), 1):
+            numbers[k] = np.bincount(context, weights=x, minlength=numbers.shape[1])
+        yield "state", depth, text.keys[depth - 1][asked], numbers[:, asked]
+    if depth < DEPTH:
+        level = text.next_level()
+        yield "count", depth + 1, level.keys, np.bincount(level.place, weights=text.train[level.spots], minlength=len(level.keys)).astype(np.int64)
 
 
 class SuffixTree:
@@ -209,80 +377,53 @@ class SuffixTree:
         left, shares = self.states[context]
         return shares.get(symbol, 0.0) + left * self.prob(context[1:], symbol)
 
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """By depth: sorted hashes of contexts and their left mass, of sequences and their share."""
-        out = []
-        for depth in range(1, DEPTH + 1):
-            own = [(c, *v) for c, v in self.states.items() if len(c) == depth]
-            pairs = [((*c, x), share) for c, _, shares in own for x, share in shares.items()]
-            both = []
-            for rows in ([(c, left) for c, left, _ in own], pairs):
-                width = len(rows[0][0]) if rows else 1
-                keys = _mixed(*np.array([r[0] for r in rows], np.int64).reshape(-1, width).T)
-                order = np.argsort(keys)
-                both += [keys[order], np.array([r[1] for r in rows])[order]]
-            out.append(tuple(both))
-        return out
-
-
-def train_tree(chunks: DataFrame, words: DataFrame, tokens: int, root_of, min_prob: float = MIN_PROB, gain: float = GAIN) -> tuple[SuffixTree, dict[bytes, int]]:
-    """The tree and the numbers of the frequent words. root_of gives the root's probability of a word by its count."""
-    least = max(2, math.ceil(min_prob * tokens))
-    frequent = words.where(F.col("n") >= least).orderBy(F.desc("n"), "word").toArrow()  # at most 1 / min_prob rows
-    numbers = {w: i for i, w in enumerate(frequent.column("word").to_pylist())}
-    unigrams = dict(enumerate(frequent.column("n").to_pylist()))
-    sent, counts, known = chunks.sparkSession.sparkContext.broadcast(numbers), {}, [np.empty(0, np.uint64)]
-    for depth in range(1, DEPTH + 1):
-        level = {tuple(r[:-1]): r[-1] for r in _sequence_counts(chunks, sent, depth, known, least)}
-        if not level:
-            break
-        counts |= level
-        known.append(np.sort(_mixed(*np.array(list(level), np.int64).T)))
-    return SuffixTree(counts, unigrams, {i: root_of(n) for i, n in unigrams.items()}, gain), numbers
-
-
-def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+
+def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, gain: float = GAIN) -> DataFrame:
     """One row per text: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark = docs.sparkSession
-    chunks = checkpointed(to_chunks(docs, id_col, text_col, held_out, chunk_bytes))
-    asked = chunk_words(chunks)
-    words = checkpointed(asked.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
-    once, twice = (F.sum((F.col("n") == k).cast("long")) for k in (1, 2))
-    got = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), once.alias("n1"), twice.alias("n2")).first()
-    total, kinds = got["n"] or 0, got["v"]
+    with _shuffles_removed(spark):
+        chunks = checkpointed(to_chunks(docs, id_col, text_col, held_out, chunk_bytes))
+        n_buckets = max(BUCKETS, chunks.count())
+        words = word_answers(chunks, n_buckets)
+    got = words.agg(*[F.sum(x).alias(x) for x in ("n", "v", "n1", "n2")]).first()
+    total, kinds = got["n"] or 0, got["v"] or 0
     cut = ((got["n1"] or 0) + 1) / ((got["n1"] or 0) + 2 * (got["n2"] or 0) + 2)  # absolute discount at the root
     unknown = cut * kinds / total if total else 1.0
-    tree, numbers = train_tree(chunks, words, total, lambda n: (n - cut) / total)
-    sent = spark.sparkContext.broadcast((tree.tables(), numbers))
     norm = math.log10(total + kinds + 1)
-    answers = asked.select("word", "chunk", "place").join(words, "word").select("chunk", "place", "n")
+    body = chunks.select("chunk", "ids", "held", "body", "words")
+
+    answers = words.select("kind", "depth", "bucket", "chunk", "data")
+
+    def ask(depth: int):
+        def run(answered: pa.Table, chunk: pa.Table) -> pa.Table:
+            row, known = _with_answers(chunk, answered)
+            text = _text(row, known, depth, max(0, depth - 1), cut, total, unknown)
+            number = chunk.column("chunk")[0].as_py()
+            rows = [(kind, d, b, number, _pack_keys(keys[part]), _packed(numbers[..., part])) for kind, d, keys, numbers in _questions(text, known, depth) for b, part in _in_buckets(keys, n_buckets)]
+            kinds_of = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds_of)], names=[x.split()[0] for x in ASKED.split(", ")])
+
+        return run
+
+    with _shuffles_removed(spark):
+        for depth in range(DEPTH + 1):
+            asked = answers.groupBy("chunk").cogroup(body.drop("ids").groupBy("chunk")).applyInArrow(ask(depth), ASKED)
+            answers = answers.unionByName(_answer(asked, gain))
+
     id_type = chunks.schema["ids"].dataType.elementType
     fields = (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
     schema = T.StructType([T.StructField("id", id_type), *[T.StructField(n, t) for n, t in fields]])
 
     def finish(answered: pa.Table, chunk: pa.Table) -> pa.Table:
-        tables, number_in = sent.value
         ids = chunk.column("ids").combine_chunks().flatten()
         held = chunk.column("held").combine_chunks().flatten()
-        names = _vocabulary(chunk.column("words")[0].as_py())
-        n = np.zeros(len(names), np.int64)
-        n[answered.column("place").to_numpy()] = answered.column("n").to_numpy()
-        text = Sequences(chunk.column("body")[0].as_py(), len(ids), np.fromiter((number_in.get(w, -1) for w in names), np.int64, len(names)))
+        row, known = _with_answers(chunk, answered)
+        text = _text(row, known, DEPTH, DEPTH, cut, total, unknown)
+        n = text.counts[0]
         base = np.log10(n + 1.0) - norm
-        probs = np.where(n > 0, (n - cut) / max(total, 1), unknown)[text.places]
-        spots = np.arange(len(text.places))
-        for depth, (contexts, left, sequences, shares) in enumerate(tables, 1):
-            spots = text.reach(depth, spots)  # a context with an infrequent word is no state
-            state, at = _member(_mixed(*text.columns(spots, depth, 1)), contexts)
-            here = spots[state]
-            probs[here] *= left[at[state]]
-            seen = here[text.numbers[here] >= 0]
-            found, at = _member(_mixed(*text.columns(seen, depth, 0)), sequences)
-            probs[seen[found]] += shares[at[found]]
-        sums = [np.bincount(text.doc, weights=x, minlength=len(ids)) for x in ((n > 0)[text.places], base[text.places], np.log10(probs))]
+        sums = [np.bincount(text.doc, weights=x, minlength=len(ids)) for x in ((n > 0)[text.places], base[text.places], np.log10(text.probs))]
         columns = [ids, held, pa.array(text.sizes), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(ids), total, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
         return pa.Table.from_arrays(columns, names=[f.name for f in schema])
 
-    body = chunks.select("chunk", "ids", "held", "body", "words")
     out = answers.groupBy("chunk").cogroup(body.groupBy("chunk")).applyInArrow(finish, schema)
     return out.withColumnRenamed("id", id_col)

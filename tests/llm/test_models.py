@@ -178,3 +178,16 @@ def test_queries_are_registered(spark, sf):
 def test_op10_on_data(spark, sf):
     rows = queries.op10_near_dedup(spark, sf).collect()
     assert all(r["component_id"] <= r["doc_id"] for r in rows)
+
+
+def test_lm_keeps_sequences_that_occur_twice(make_docs):
+    """What is repeated among 600 000 training tokens does not depend on the number of other tokens."""
+    train = [i for i in range(4000) if not held(i)][:3000]
+    asked = next(i for i in range(4000) if held(i))
+    other = " ".join(f"f{i}" for i in range(200))
+    scores = []
+    for n in (300, 3000):
+        rows = [(i, "a1 a2 a3 a4" if k < 2 else other, "s") for k, i in enumerate(train[:n])]
+        got = pst.score_corpus(make_docs([*rows, (asked, "a1 a2 a3 a4", "s")]), held_column()).collect()
+        scores.append(next(r["score"] - r["base_score"] for r in got if r["doc_id"] == asked))
+    assert scores[1] > scores[0]
