@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import udfs
 from ..functions import vectors as V
-from ..operators import atlas, learning, metrics, paths, search, store, tangent
+from ..operators import atlas, learning, metrics, paths, search, spectral, store, tangent
 from ..sources import files
 from . import mql
 
@@ -399,24 +399,12 @@ def overlap_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return o.groupBy("chart_a", "chart_b").agg(F.count("*").alias("n"), F.round(lo - 0.05 * (hi - lo), 6).alias("lo"), F.round(hi + 0.05 * (hi - lo), 6).alias("hi"))
 
 
-REGIONS = 40  # charts of the chart graph, whatever the number of points
-
-
-def _chart_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, list[tuple], list[tuple]]:
-    """Located points, charts of k-means regions, and their graph: every point ties its two closest charts."""
-    regions = atlas.kmeans_labels(points(spark, sf), REGIONS)
-    charts = atlas.pca_atlas(regions, "cluster", DIM, AMBIENT)
-    two = atlas.locate(points(spark, sf), spark.createDataFrame(charts, atlas.CHARTS), keep=2)
-    return two, charts, [tuple(r) for r in atlas.chart_ties(two).collect()]
-
-
 @_register()
 def graph_communities(spark: SparkSession, sf: str) -> DataFrame:
-    """Louvain over the chart graph, small communities merged by centroid; every point has its chart's community."""
-    two, charts, edges = _chart_graph(spark, sf)
-    member = atlas.merge_small({c[0]: np.array(c[1]) for c in charts}, atlas.tuned_communities(edges, 6), 3)
-    rows = [(c[0], int(member.get(c[0], c[0]))) for c in charts]
-    return two.where("rank = 1").join(F.broadcast(spark.createDataFrame(rows, "chart_id int, community int")), "chart_id").select("vec_id", "chart_id", "community")
+    """Louvain over the points' k-NN graph (chart_id); community has those of under 3 points merged by centroid."""
+    p = points(spark, sf)
+    found = spectral.merge_small(p, spectral.louvain(atlas.knn_graph(p, 5)), 3)
+    return found.select(F.col("id").alias("vec_id"), F.col("community").alias("chart_id"), F.col("merged").alias("community"))
 
 
 _AFFINE = f"list_transform(range(1, 9), lambda i: round(v[i % 8 + 1] + {_list(SHIFT)}[i], 6) + 0)"
@@ -764,12 +752,8 @@ def intrinsic_dim_pca(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register()
 def diffusion_map(spark: SparkSession, sf: str) -> DataFrame:
-    """Diffusion coordinates of the chart graph; a point lies between its two closest charts."""
-    two, _, edges = _chart_graph(spark, sf)
-    placed = spark.createDataFrame([(int(c), x) for c, x in learning.spectral_map(edges).items()], "chart_id int, coordinates array<double>")
-    rows = two.join(F.broadcast(placed), "chart_id").withColumn("w", F.exp(-F.col("residual")))
-    axes = [(F.sum(F.col("w") * F.col("coordinates")[i]) / F.sum("w")) for i in range(2)]
-    return rows.groupBy("vec_id").agg(F.array(*axes).alias("coordinates"))
+    """Diffusion coordinates of every point in the k-NN graph."""
+    return spectral.diffusion_coordinates(atlas.knn_graph(points(spark, sf), 5)).select(F.col("id").alias("vec_id"), "coordinates")
 
 
 @_register()
