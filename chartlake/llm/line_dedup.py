@@ -5,10 +5,11 @@ all places in the corpus that hold the same window, the first (smallest id, then
 place marks its lines, marks of overlapping windows merge, and marked lines are removed. Windows of blank lines only
 do not count. Lines are compared without white space at their ends; what stays is unchanged and joined by \\n.
 
-A null text stays null and an empty one empty. Ids name documents: rows that repeat an id are the same place, so a
-repeated row is not a later place of itself; null ids are one document before all others. An empty table gives an
-empty result. Other columns are kept as they are, but n_lines and
-n_removed are replaced.
+A null text stays null and an empty one empty. A document is an id with a text (by its 64-bit hash): rows that repeat
+both are the same place, so a repeated row is not a later place of itself, while different texts of one id, or without
+id, are places of their own and never share marks. Null ids come before all others, texts of one id in the order of
+their hashes. An empty table gives an empty result. Other columns are kept as they are, but n_lines and n_removed are
+replaced.
 """
 
 from __future__ import annotations
@@ -37,14 +38,15 @@ def window_keys(text: Column, size: int = LINES) -> Column:
 
 
 def repeated_places(docs: DataFrame, id_col: str, text_col: str, size: int = LINES) -> DataFrame:
-    """(__id, __lines): for each document with later places, the 0-based lines that they cover."""
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    places = texts.select("__id", F.posexplode(window_keys(F.col("__text"), size)).alias("__at", "__key")).where("__key is not null")
-    first = places.groupBy("__key").agg(F.count("*").alias("__n"), F.min(F.struct("__id", "__at")).alias("__first"))
+    """(__id, __hash, __lines): for each document with later places, the 0-based lines that they cover."""
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("__text"))
+    places = texts.select("__id", "__hash", F.posexplode(window_keys(F.col("__text"), size)).alias("__at", "__key")).where("__key is not null")
+    place = F.struct("__id", "__hash", "__at")
+    first = places.groupBy("__key").agg(F.count("*").alias("__n"), F.min(place).alias("__first"))
     first = checkpointed(first.where("__n > 1").drop("__n"))
-    later = places.join(first, "__key").where(~F.struct("__id", "__at").eqNullSafe(F.col("__first")))
+    later = places.join(first, "__key").where(~place.eqNullSafe(F.col("__first")))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("__at"), lambda at: F.sequence(at, at + size - 1)))))
-    return later.groupBy("__id").agg(covered.alias("__lines"))
+    return later.groupBy("__id", "__hash").agg(covered.alias("__lines"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = LINES, drop_emptied: bool = False, counts: bool = True) -> DataFrame:
@@ -52,9 +54,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     drop_emptied leaves out documents of which no line with content stays but which had some.
     """
-    marks = repeated_places(docs, id_col, text_col, size)
-    marks = marks.select(F.col("__id").alias("__mark_id"), "__lines")
-    joined = docs.join(marks, docs[id_col].eqNullSafe(F.col("__mark_id")), "left")
+    marks = repeated_places(docs, id_col, text_col, size).withColumnsRenamed({"__id": "__mark_id", "__hash": "__mark_hash"})
+    same = docs[id_col].eqNullSafe(F.col("__mark_id")) & (F.xxhash64(docs[text_col]) == F.col("__mark_hash"))
+    joined = docs.join(marks, same, "left")
     lines = F.split(docs[text_col], "\n", -1)
     joined = joined.withColumn("__split", lines).withColumn("__count", F.when(F.col("__split").isNull(), 0).otherwise(F.size("__split")))
     stay = F.array_except(F.sequence(F.lit(0), F.col("__count") - 1), F.col("__lines"))

@@ -9,9 +9,10 @@ sketches are close enough become candidates, best first, and each is confirmed o
 ever more partners each, until no untested candidate between different components is left; so nothing is capped and
 pairs inside a component are never spelled out.
 
-Nulls, empty texts and texts of white space alone have no shingles and are linked with nothing. Repeated rows are
-copies of each other. Rows without an id are never a component's id. An empty table gives an empty result; columns
-other than the id and the text are ignored.
+Nulls, empty texts and texts of white space alone have no shingles and are linked with nothing. What is linked are
+texts: repeated rows are copies of each other, and different texts of one id are judged apart. Texts whose rows all
+lack an id link others, but are never a component's id. An empty table gives an empty result; columns other than the
+id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import SMALL_IDS, checkpointed, if_small, keys64, merged_labels, mix64, shingle_set, word_hashes
+from .common import SMALL_IDS, checkpointed, if_small, keys64, lean, merged_labels, mix64, shingle_set, word_hashes
 
 BANDS, ROWS, SAMPLE, BITS, WORDS = 32, 4, 1024, 1024, 5
 LANES = BITS // 64
@@ -63,80 +64,87 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, n_shingles, key, bands, sketch) of every row; key identifies the word sequence by 128 bits."""
+    """(id, hash, n_shingles, key, bands, sketch) of every row; hash is the text's, key that of its word sequence (128 bits)."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
             counts, keys, bands, sketches = [], [], [], []
-            for text in texts:
+            for text in batch.column(2):
                 hashed = word_hashes((text.as_py() or b"").lower())
                 grams = shingle_set(hashed, words)
                 counts.append(len(grams))
                 if not len(grams):
                     keys.append(None), bands.append([]), sketches.append([])
                     continue
-                place = np.arange(1, len(hashed) + 1, dtype=np.uint64)
-                pair = [mix64(hashed + place * np.uint64(f)).sum(dtype=np.uint64) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-                keys.append(np.array([*pair, len(hashed)], np.uint64).tobytes())
+                keys.append(text_key(hashed))
                 best = minima(grams)
                 rows = (best.reshape(BANDS, ROWS) * keys64(ROWS, 23)[None, :]).sum(axis=1, dtype=np.uint64)
                 bands.append(_signed(mix64(rows + keys64(BANDS, 24))))
                 sketches.append(_signed(odd_sketch(grams)))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                ["id", "n_shingles", "key", "bands", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                ["id", "hash", "n_shingles", "key", "bands", "sketch"],
             )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("binary").alias("text"))
     schema = T.StructType(
-        [rows.schema["id"], T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
+        [rows.schema["id"], rows.schema["hash"], T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
     )
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, grams): the full sorted shingle set of every row."""
+def text_key(hashed: np.ndarray) -> bytes:
+    """Identifies a sequence of word hashes by 128 bits and its length."""
+    place = np.arange(1, len(hashed) + 1, dtype=np.uint64)
+    pair = [mix64(hashed + place * np.uint64(f)).sum(dtype=np.uint64) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+    return np.array([*pair, len(hashed)], np.uint64).tobytes()
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(key, grams) of the texts, the only column: the key and the full sorted shingle set."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [_signed(shingle_set(word_hashes((t.as_py() or b"").lower()), words)) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "grams"])
+                hashed = [word_hashes((t.as_py() or b"").lower()) for t in batch.column(0).slice(at, 256)]
+                sets = [_signed(shingle_set(h, words)) for h in hashed]
+                yield pa.RecordBatch.from_arrays([pa.array([text_key(h) for h in hashed], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "grams"])
+
+    return texts.mapInArrow(lean(run), "key binary, grams array<long>")
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("grams", T.ArrayType(T.LongType()))]))
 
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(lx, ly, linked) for pairs of nodes (a, b, lx, ly): the exact test on both full sets.
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(lx, ly, linked) for pairs (a, b, lx, ly): the exact test on both full sets."""
-    needed = checkpointed(pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct())
-    count = needed.count()
-    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-    chosen = texts.join(if_small(needed, count, SMALL_IDS), F.col("__doc") == F.col("__id"), "left_semi")
-    sets = shingle_sets(chosen, "__doc", "__text", words).groupBy("id").agg(F.first("grams").alias("grams"))
+    reps has (node, rep), rep being the id of a row with the node's text.
+    """
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    needed = checkpointed(ends.join(reps, "node").select(F.col("rep").alias("__id")).distinct())
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("binary").alias("__text"))
+    chosen = texts.join(if_small(needed, needed.count(), SMALL_IDS), F.col("__doc").eqNullSafe(F.col("__id")), "left_semi")
+    sets = shingle_sets(chosen.select("__text"), words).groupBy(F.xxhash64("key").alias("node")).agg(F.first("grams").alias("grams"))
     sets = checkpointed(sets)
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
+    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
+    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
     shared = F.size(F.array_intersect("ga", "gb"))
     test = shared * 100 >= (F.size("ga") + F.size("gb") - shared) * percent
     return pairs.join(left, "a").join(right, "b").select("lx", "ly", test.alias("linked"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) for every row: the transitive closure of links of `percent` or more."""
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(id, hash, n_shingles, component, kept) of every row. Nodes are texts, named by a hash of their key."""
     signed = checkpointed(signatures(docs, id_col, text_col, words))
-    texts = signed.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    texts = checkpointed(texts)
-    slots = texts.select("rep", F.explode("bands").alias("band"))
-    shared = slots.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").select("band", "pivot")
+    texts = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    texts = checkpointed(texts.withColumn("node", F.xxhash64("key")))
+    slots = texts.select("node", F.explode("bands").alias("band"))
+    shared = slots.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").select("band", "pivot")
     members = checkpointed(slots.join(shared, "band"))
     lanes = [F.col("sketch")[i].alias(f"s{i}") for i in range(LANES)]
-    sketches = checkpointed(texts.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n", *lanes))
+    sketches = checkpointed(texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "n", *lanes))
+    reps = sketches.select("node", "rep")
 
     def side(name: str, prefix: str) -> DataFrame:
-        return sketches.select(F.col("rep").alias(name), F.col("n").alias(f"{prefix}n"), *[F.col(f"s{i}").alias(f"{prefix}{i}") for i in range(LANES)])
+        return sketches.select(F.col("node").alias(name), F.col("n").alias(f"{prefix}n"), *[F.col(f"s{i}").alias(f"{prefix}{i}") for i in range(LANES)])
 
     def flips(p: str, q: str) -> Column:
         first, *rest = (F.bit_count(F.col(f"{p}{i}").bitwiseXOR(F.col(f"{q}{i}"))) for i in range(LANES))
@@ -146,25 +154,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = flips("p", "q") / (F.col("pn") + F.col("qn"))
 
     # First every text against the closest pivot of its buckets.
-    stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(side("a", "p"), "a").join(side("b", "q"), "b").where(near).select("a", "b", apart.alias("d"))
     pairs = checkpointed(stars.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
-    labels = sketches.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
+    labels = sketches.select("node", F.col("node").alias("label"))
 
     def merge(labels: DataFrame, pairs: DataFrame) -> DataFrame:
         """Labels after the links among the pairs, which come with the labels of their ends as lx and ly."""
-        result = checkpointed(_confirmed(pairs, docs, id_col, text_col, words, percent))
+        result = checkpointed(_confirmed(pairs, reps, docs, id_col, text_col, words, percent))
         moved = merged_labels(result.where("linked").select(F.col("lx").alias("u"), F.col("ly").alias("v")))
         return checkpointed(labels.join(moved, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
 
     labels = merge(labels, pairs.select("a", "b", F.col("a").alias("lx"), F.col("b").alias("ly")))
     # Buckets that still hold several components: texts of all but the largest one against the whole bucket.
-    placed = members.select("band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep")
+    placed = members.select("band", "node").join(labels, "node")
     sizes = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
     several = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("k")).where("k > 1")
     placed = checkpointed(placed.join(several.select("band", F.col("top.label").alias("main")), "band"))
-    left = placed.where("label <> main").select("band", F.col("rep").alias("x"), F.col("label").alias("lx")).join(side("x", "p"), "x")
-    right = placed.select("band", F.col("rep").alias("y"), F.col("label").alias("ly")).join(side("y", "q"), "y")
+    left = placed.where("label <> main").select("band", F.col("node").alias("x"), F.col("label").alias("lx")).join(side("x", "p"), "x")
+    right = placed.select("band", F.col("node").alias("y"), F.col("label").alias("ly")).join(side("y", "q"), "y")
     close = left.join(right, "band").where((F.col("lx") != F.col("ly")) & near)
     close = close.groupBy("x", "y", "lx", "ly").agg(F.min(apart).alias("d"))
     partners = 1
@@ -179,17 +187,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             close = close.drop(name).join(labels.toDF(end, name), end)
         close = close.where((F.col("__r") > partners) & (F.col("lx") != F.col("ly"))).drop("__r")
         partners *= 16
-    keyed = texts.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    keyed = keyed.select("key", F.coalesce("label", "rep").alias("component"))
+    low = labels.join(reps, "node").groupBy("label").agg(F.min("rep").alias("low"))
+    keyed = texts.select("key", "node", "rep").join(labels.join(low, "label").select("node", "low"), "node", "left")
+    keyed = keyed.select("key", F.coalesce("low", "rep").alias("component"))
     own = F.coalesce("component", "id")
-    return signed.join(keyed, "key", "left").select(
-        F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, own.isNull()).alias("kept")
-    )
+    return signed.join(keyed, "key", "left").select("id", "hash", "n_shingles", own.alias("component"), F.coalesce(F.col("id") == own, own.isNull()).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) for every row: the transitive closure of links of `percent` or more."""
+    found = _components(docs, id_col, text_col, words, percent)
+    return found.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75) -> DataFrame:
     """docs without the rows whose id is not their component's; rows without id stay, all columns are as they were."""
-    found = near_duplicates(docs, id_col, text_col, words, percent)
-    copies = checkpointed(found.where(F.col(id_col).isNotNull() & ~F.col("kept")).select(F.col(id_col).alias("__copy_id")).distinct())
-    copies = if_small(copies, copies.count(), SMALL_IDS)
-    return docs.join(copies, docs[id_col].eqNullSafe(F.col("__copy_id")), "left_anti")
+    found = _components(docs, id_col, text_col, words, percent)
+    copies = found.where(F.col("id").isNotNull() & ~F.col("kept")).select(F.col("id").alias("__copy_id"), F.col("hash").alias("__copy_hash"))
+    copies = checkpointed(copies.distinct())
+    same = docs[id_col].eqNullSafe(F.col("__copy_id")) & (F.xxhash64(docs[text_col]) == F.col("__copy_hash"))
+    return docs.join(if_small(copies, copies.count(), SMALL_IDS), same, "left_anti")

@@ -1,3 +1,5 @@
+import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -22,6 +24,28 @@ def brute_targets(sizes):
         capped |= new
 
 
+def brute_mix(rows, seed="mix-1"):
+    """(size, taken, first position) of each (id, text, source) row; schedules rise, stay level and fall in turn."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    total = defaultdict(int)
+    for n, r in zip(size, rows, strict=True):
+        total[r[2]] += n
+    targets, out = brute_targets(total), [None] * len(rows)
+    names = sorted(x for x in total if x is not None) + [None] * (None in total)
+    for rank, source in enumerate(names):
+        own = [k for k, r in enumerate(rows) if r[2] == source]
+        own.sort(key=lambda k: (hashlib.md5("|".join([seed, "" if rows[k][0] is None else str(rows[k][0])]).encode()).hexdigest(), rows[k][0] or 0, size[k]))
+        target, whole, start = targets[source], math.floor(targets[source] + 0.5), 0
+        w0, slope = ((0.5, 1.0), (1.0, 0.0), (1.5, -1.0))[rank % 3]
+        for k in own:
+            begins = [start + e * total[source] for e in range(3) if size[k] and start + e * total[source] < whole]
+            share = start / target if target else 0
+            time = min(1.0, 2 * share / (w0 + math.sqrt(max(0, w0 * w0 + 2 * slope * share))))
+            out[k] = (size[k], sum(min(size[k], whole - b) for b in begins), time if begins else None)
+            start += size[k]
+    return out
+
+
 def check(df):
     rows = mixing.mix(df).collect()
     size, source = defaultdict(int), {}

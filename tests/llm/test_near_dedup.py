@@ -34,6 +34,26 @@ def brute(rows):
     return sorted((i, len(s), low[find(k)]) for k, (i, s) in enumerate(sets) if i is not None)
 
 
+def brute_kept(rows):
+    """By row whether it stays: its id is the smallest of its component, or it has none."""
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            low[find(k)] = min(low.get(find(k), i), i)
+    return [i is None or low[find(k)] == i or not sets[k] for k, (i, _) in enumerate(rows)]
+
+
 def run(df):
     rows = near_dedup.near_duplicates(df).collect()
     for r in rows:
@@ -45,6 +65,16 @@ def test_awkward(awkward):
     assert run(awkward) == brute([(r["doc_id"], r["text"]) for r in awkward.collect()])
 
 
+def test_ids_that_repeat_or_lack(make_docs):
+    """Texts are nodes: an id's other text is judged apart, and a text without id links its neighbours."""
+    words = prose(31, 200).split()
+    step = [" ".join(f"new{k}" if k < 8 * n else w for k, w in enumerate(words)) for n in range(6)]
+    rows = [(5, step[0], "s"), (None, step[2], "s"), (6, step[4], "s"), (6, prose(32, 50), "s"), (3, prose(33, 60), "s"), (6, prose(32, 50), "s"), (None, prose(34, 30), "s"), (None, prose(34, 30), "s")]
+    assert brute([r[:2] for r in rows]) == run(make_docs(rows)) and (6, 196, 5) in run(make_docs(rows))
+    left = near_dedup.drop_near_duplicates(make_docs(rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == sorted((i or 0, t) for i, t, _ in rows if t != step[4])
+
+
 def test_families_and_chains(make_docs):
     """A family with many edits holds pairs above and below the limit, and chains that only link in steps."""
     rng, rows = random.Random(5), []

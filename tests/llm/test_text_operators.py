@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from chartlake.llm import decontam, license_scan, line_dedup, url_filter
 
@@ -42,6 +43,10 @@ def test_leaks_equal_brute_force(spark, make_docs, block_bytes):
 def test_leaks_awkward(spark, awkward, make_docs):
     bench = spark.createDataFrame([(1, prose(1, 120))], "item_id long, text string")
     none = bench.where("false")
+    for block_bytes in (10**6, 100):
+        some = make_docs([(None, prose(1, 120), "s"), (None, "clean text without id", "s"), (3, prose(1, 120), "s"), (3, "clean text of the same id", "s"), (4, None, "s")])
+        left = decontam.drop_contaminated(some, bench.unionByName(spark.createDataFrame([(2, prose(9, 30)), (3, prose(10, 30))], bench.schema)), block_bytes=block_bytes)
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in left.where("text is not null").collect()) == [(0, "clean text without id"), (3, "clean text of the same id")] and left.count() == 3
     assert decontam.find_leaks(awkward, bench).count() == awkward.count()
     kept = decontam.drop_contaminated(awkward, bench)
     assert {4, 5, 6, 7, 15}.isdisjoint({r["doc_id"] for r in kept.collect()}) and kept.columns == awkward.columns
@@ -50,17 +55,16 @@ def test_leaks_awkward(spark, awkward, make_docs):
 
 
 def test_wu_manber_jumps():
-    patterns = {(b"a", b"b", b"c", b"d"): {"x"}, (b"b", b"c", b"d", b"e"): {"y"}}
-    m = decontam.WuManber(4, patterns)
+    m = decontam.WuManber(4, [b"a", b"b", b"c", b"d", b"e"], {0: "x", 1: "y"})
     text = [b"q"] * 50 + [b"a", b"b", b"c", b"d", b"e"] + [b"q"] * 50
-    assert [s for s, _ in m.find(text)] == [50, 51]
+    assert list(m.find(text)) == [(50, 0), (51, 1)]
     assert m.jump == 3 and m.shift[b"c", b"d"] == 0
 
 
 def brute_lines(rows):
-    """First places win by (id, line); later places go."""
+    """First places win by (id, hash of the text, line); later places go. rows: (id, text, hash of the text)."""
     seen, gone = {}, {}
-    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for i, text, h in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
         if text is None:
             continue
         lines = [x.strip(" \t\n\r\x0b\x0c") for x in text.split("\n")]
@@ -68,15 +72,19 @@ def brute_lines(rows):
             w = tuple(lines[at : at + 3])
             if not any(w):
                 continue
-            if seen.setdefault(w, (i, at)) != (i, at):
-                gone.setdefault(i, set()).update(range(at, at + 3))
+            if seen.setdefault(w, (i, h, at)) != (i, h, at):
+                gone.setdefault((i, h), set()).update(range(at, at + 3))
     out = []
-    for i, text in rows:
+    for i, text, h in rows:
         lines = (text or "").split("\n")
-        out.append((i, None if text is None else "\n".join(x for n, x in enumerate(lines) if n not in gone.get(i, ()))))
+        out.append((i, None if text is None else "\n".join(x for n, x in enumerate(lines) if n not in gone.get((i, h), ()))))
     return out
 
 
+def hashed(df):
+    return [tuple(r) for r in df.select("doc_id", "text", F.xxhash64("text")).collect()]
+
+
 def key(r):
     return (r[0] is None, r[0] or 0, r[1] or "")
 
@@ -85,9 +93,13 @@ def test_lines_equal_brute_force(make_docs, awkward):
     rng = random.Random(4)
     rows = [(i, "\n".join(rng.choice("abcdef ") * rng.randrange(0, 3) for _ in range(rng.randrange(0, 12))), "s") for i in range(120)]
     rows += [(200, " a \nb\nc", "s"), (201, "a\nb\nc\r\nnew", "s"), (202, "\n\n\n\n", "s"), (203, "same\n" * 6, "s")]
-    for df in (make_docs(rows), awkward):
+    # texts without id, of equal ids and exact repeated rows
+    shared = [(None, "a b c x1".replace(" ", "\n"), "s"), (None, "p\nq\nr\ns", "s"), (None, "zz\na\nb\nc", "s"), (9, "k\nl\nm\nn", "s"), (9, "u\nv\nw\nt", "s"), (7, "k\nl\nm", "s"), (7, "k\nl\nm", "s"), (9, "u\nv\nw\nt", "s"), (11, "u\nv\nw", "s")]
+    texts = [r["text"] for r in line_dedup.dedup_lines(make_docs(shared)).collect()]
+    assert {"p\nq\nr\ns", "u\nv\nw\nt", "n"} <= set(texts) and texts.count("k\nl\nm") == 2
+    for df in (make_docs(rows), awkward, make_docs(shared)):
         got = line_dedup.dedup_lines(df)
-        want = brute_lines([(r["doc_id"], r["text"]) for r in df.collect()])
+        want = brute_lines(hashed(df))
         assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted(want, key=key)
         assert set(df.columns) <= set(got.columns)
 
