@@ -1,15 +1,17 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Texts become UTF-8 bytes with A-Z lower-cased and ASCII punctuation as spaces; the features are which byte 4- and
-5-grams occur, hashed into 2**20 slots. On labelled training rows each feature gets its naive Bayes log-count ratio
-(smoothed share among toxic rows over that among others); a logistic regression is fitted on features scaled by
-these ratios, over the N_FEATURES with the largest weighted difference. Scoring looks at whole texts.
+Texts become code points with A-Z lower-cased and runs of ASCII punctuation and white space as one space; the features
+are which 4- and 5-grams of them occur, hashed into 2**20 slots. On labelled training rows each feature gets its naive
+Bayes log-count ratio (smoothed share among toxic rows over that among others); a logistic regression on the features
+scaled by these ratios is fitted over all of them, with an L1 term that makes most weights 0 (follow-the-regularised-
+leader, EPOCHS times over the rows). Scoring looks at whole texts of any length, one at a time.
 
 Fitting takes at most MAX_TRAIN labelled rows, those with the smallest hash of their id; which labels count is the
-caller's choice. Null and empty texts get the score of a text without features. Repeated labels of an id count as
-toxic if one does; null labels and labels without a document are ignored. With labels of one kind only, or none, the
-score is their smoothed share. An empty table gives an empty result; other columns are kept as they are,
-but one with the score's name is replaced.
+caller's choice. The rows' features stay in a checkpoint: each pass is a job of one task that streams them, and the
+driver holds counts, ratios and weights by slot only. Null and empty texts get the score of a text without features.
+Repeated labels of an id count as toxic if one does; null labels and labels without a document are ignored. With labels
+of one kind only the score is their smoothed share, without any labels it is 1/3. An empty table gives an empty result;
+other columns are kept as they are, but one with the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keys64
+from .common import checkpointed, keys64, lean
 
-SLOT_BITS, GRAMS, N_FEATURES, MAX_TRAIN = 20, (4, 5), 512, 6000
+SLOT_BITS, GRAMS, MAX_TRAIN = 20, (4, 5), 6000
+#: L1 is per training row; RATE and the start of 1 in the square root set the steps by slot.
+EPOCHS, L1, L2, RATE, BIAS_RATE = 8, 0.0125, 0.1, 0.3, 0.1
 
-_FOLD = np.arange(256, dtype=np.uint64)
+_FOLD = np.arange(128, dtype=np.uint64)
 _FOLD[65:91] += np.uint64(32)
 for _i in range(128):
     if not chr(_i).isalnum():
@@ -49,7 +53,10 @@ class Model:
 
 def gram_slots(raw: bytes | None) -> np.ndarray:
     """The slot of every n-gram occurrence, a space standing before and after the text."""
-    data = _FOLD[np.frombuffer(b" " + raw + b" ", np.uint8)] if raw else np.empty(0, np.uint64)
+    points = np.frombuffer(f" {raw.decode('utf-8', 'replace')} ".encode("utf-32-le"), np.uint32) if raw else np.empty(0, np.uint32)
+    data = np.where(points < 128, _FOLD[points & 127], points)
+    space = data == 32
+    data = data[~(space & np.concatenate([[False], space[:-1]]))] if len(data) else data
     factors, out = keys64(max(GRAMS) + 1, 31), []
     total, shift = np.zeros(len(data), np.uint64), np.uint64(64 - SLOT_BITS)
     for j in range(max(GRAMS)):
@@ -59,60 +66,109 @@ def gram_slots(raw: bytes | None) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
-def fit(rows: list[tuple[np.ndarray, int]]) -> Model:
-    """rows: the distinct slots of a text and its label."""
-    labels = np.array([y for _, y in rows], np.float64)
-    weights, n_toxic = np.zeros(1 << SLOT_BITS, np.float32), int(labels.sum())
-    if not 0 < n_toxic < len(rows):
-        share = (n_toxic + 1) / (len(rows) + 2)
-        return Model(weights, float(np.log(share / (1 - share))))
-    seen = np.zeros((2, 1 << SLOT_BITS))
-    for slots, y in rows:
-        seen[y][slots] += 1
-    smooth = seen + 1
-    ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
-    gain = np.abs(ratio) * np.abs(seen[1] / n_toxic - seen[0] / (len(rows) - n_toxic))
-    gain[seen.sum(axis=0) < 3] = 0
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:N_FEATURES])
-    chosen = chosen[gain[chosen] > 0]
-    place = np.full(1 << SLOT_BITS, -1)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, (slots, _) in enumerate(rows):
-        at = place[slots]
-        x[i, at[at >= 0]] = 1
-    x *= ratio[chosen].astype(np.float32)
-    w, bias = np.zeros(len(chosen), np.float32), float(np.log(n_toxic / (len(rows) - n_toxic)))
-    first, second, m, v = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for step in range(1, 401):  # Adam on the mean logistic loss with an L2 term
-        p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
-        error = ((p - labels) / len(rows)).astype(np.float32)
-        g, gb = x.T @ error + np.float32(1e-4) * w, float(error.sum())
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        m, v = 0.9 * m + 0.1 * gb, 0.999 * v + 0.001 * gb * gb
-        fast, slow = 1 - 0.9**step, 1 - 0.999**step
-        w = (w - 0.02 * (first / fast) / (np.sqrt(second / slow) + 1e-8)).astype(np.float32)
-        bias -= 0.02 * (m / fast) / ((v / slow) ** 0.5 + 1e-8)
-    weights[chosen] = w * ratio[chosen].astype(np.float32)
-    return Model(weights, bias)
+def log_ratios(seen: np.ndarray) -> np.ndarray:
+    """By slot the log of its smoothed share among toxic rows (seen[1]) over that among others (seen[0])."""
+    smooth = seen + 1.0
+    return np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
+
+
+@dataclass
+class Leader:
+    """The state of follow-the-regularised-leader: sums of shifted gradients and of squared gradients by slot."""
+
+    z: np.ndarray
+    squares: np.ndarray
+    bias: float
+    bias_squares: float
+    l1: float
+
+    def weights(self, slots=slice(None)) -> np.ndarray:
+        z = self.z[slots]
+        return np.where(np.abs(z) > self.l1, (np.sign(z) * self.l1 - z) / ((1 + np.sqrt(self.squares[slots])) / RATE + L2), 0.0)
+
+    def step(self, slots: np.ndarray, y: int, ratio: np.ndarray) -> None:
+        x, w = ratio[slots], self.weights(slots)
+        error = 1 / (1 + np.exp(-np.clip((w * x).sum() + self.bias, -30, 30))) - y
+        g, old = error * x, self.squares[slots]
+        new = old + g * g
+        self.z[slots] += g - (np.sqrt(new) - np.sqrt(old)) / RATE * w
+        self.squares[slots] = new
+        self.bias_squares += error * error
+        self.bias -= BIAS_RATE * error / np.sqrt(1 + self.bias_squares)
+
+
+def _rows(batches):
+    for batch in batches:
+        for slots, y in zip(batch.column(0), batch.column(1), strict=True):
+            yield np.frombuffer(slots.as_py(), np.int32), y.as_py()
+
+
+def _one(rows: DataFrame, make) -> dict:
+    """What make(rows) of a single task gives: arrays by name."""
+
+    def run(batches):
+        made = make(_rows(batches))
+        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x, np.float64).tobytes()], pa.binary()) for x in made.values()], list(made))
+
+    names = ("a", "b", "c")
+    got = rows.mapInArrow(lean(run), ", ".join(f"{n} binary" for n in names)).first()
+    return {n: np.frombuffer(got[n], np.float64) for n in names}
+
+
+def fit(rows: DataFrame, n_rows: int, n_toxic: int) -> Model:
+    """rows: the distinct slots (packed, int32) of a text and its label, in one partition and a fixed order."""
+    size = 1 << SLOT_BITS
+    if not 0 < n_toxic < n_rows:
+        share = (n_toxic + 1) / (n_rows + 2) if n_rows else 1 / 3
+        return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
+
+    def count(held):
+        seen = np.zeros((2, size))
+        for slots, y in held:
+            seen[y][slots] += 1
+        return {"a": seen[0], "b": seen[1], "c": np.zeros(0)}
+
+    counted = _one(rows, count)
+    ratio = log_ratios(np.stack([counted["a"], counted["b"]]))
+    state = Leader(np.zeros(size), np.zeros(size), float(np.log(n_toxic / (n_rows - n_toxic))), 0.0, L1 * n_rows)
+    spark = rows.sparkSession
+    sent_ratio = spark.sparkContext.broadcast(ratio)
+    for _ in range(EPOCHS):
+        sent = spark.sparkContext.broadcast(state)
+
+        def epoch(held, sent=sent):
+            old = sent.value
+            now = Leader(old.z.copy(), old.squares.copy(), old.bias, old.bias_squares, old.l1)
+            for slots, y in held:
+                now.step(slots, y, sent_ratio.value)
+            return {"a": now.z, "b": now.squares, "c": np.array([now.bias, now.bias_squares])}
+
+        got = _one(rows, epoch)
+        sent.destroy()
+        state = Leader(got["a"], got["b"], float(got["c"][0]), float(got["c"][1]), state.l1)
+    sent_ratio.destroy()
+    return Model((state.weights() * ratio).astype(np.float32), state.bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
-    """Fits on at most max_train of the given labelled ids; executors extract the features, one task fits."""
+    """Fits on at most max_train of the given labelled ids."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_train)
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("binary").alias("__raw"))
-    rows = rows.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select("__raw", "__y")  # at most max_train rows
+    rows = rows.join(F.broadcast(known), F.col("__doc") == F.col("__id"))  # at most max_train rows
+    rows = rows.select("__raw", "__y", F.xxhash64("__id", "__raw").alias("__order"))
 
     def run(batches):
         for batch in batches:
-            for raw, y in zip(batch.column(0), batch.column(1), strict=True):
-                slots = np.unique(gram_slots(raw.as_py())).astype(np.int32).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([slots], pa.binary()), pa.array([int(y.as_py() > 0)], pa.int32())], ["slots", "y"])
+            for row in range(batch.num_rows):
+                slots = np.unique(gram_slots(batch.column(0)[row].as_py())).astype(np.int32).tobytes()
+                y = int(batch.column(1)[row].as_py() > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([slots], pa.binary()), pa.array([y], pa.int32()), batch.column(2).slice(row, 1)], ["slots", "y", "order"])
 
-    got = rows.mapInArrow(run, "slots binary, y int").toArrow()
-    held = sorted(zip(got.column("slots").to_pylist(), got.column("y").to_pylist(), strict=True))
-    return fit([(np.frombuffer(s, np.int32), y) for s, y in held])
+    packed = rows.mapInArrow(lean(run), "slots binary, y int, order long")
+    packed = checkpointed(packed.repartition(1).sortWithinPartitions("order", "y", "slots").select("slots", "y"))
+    total = packed.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
+    return fit(packed, total["n"], total["toxic"])
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -128,4 +184,4 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", score_col
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], scores], [*[batch.schema.names[i] for i in rest], score_col])
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema] + [T.StructField(score_col, T.DoubleType())])
-    return docs.withColumn("__raw", F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    return docs.withColumn("__raw", F.col(text_col).cast("binary")).mapInArrow(lean(run), schema)

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -124,6 +125,23 @@ def test_toxicity_held_out(spark, make_docs):
     assert all(0 <= s <= 1 for s in got.values())
 
 
+def test_grams_are_code_points():
+    """Features are over characters: brute force over strings, whatever the script."""
+    texts = ["Ab, c!! d", "naïve  café", "東京タワー、東京", "ок\u00a0ты", "x"]
+    for text in texts:
+        folded = re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ", f" {text} ")
+        folded = "".join(c.lower() if c.isascii() else c for c in folded)
+        grams = {folded[i : i + n] for n in toxicity.GRAMS for i in range(len(folded) - n + 1)}
+        assert len(np.unique(toxicity.gram_slots(text.encode()))) == len(grams)
+    assert set(toxicity.gram_slots("東京タワー".encode())) & set(toxicity.gram_slots("の東京タワーの".encode()))
+
+
+def test_log_ratios_equal_brute_force():
+    seen = np.array([[3, 0, 5, 0], [0, 4, 5, 0]])
+    want = [math.log((seen[1][k] + 1) / 13) - math.log((seen[0][k] + 1) / 12) for k in range(4)]
+    np.testing.assert_allclose(toxicity.log_ratios(seen), want)
+
+
 def test_toxicity_awkward(spark, awkward, make_docs):
     labels = spark.createDataFrame([(4, None, 1), (4, 0, 0), (7, 1, 0), (8, 1, 0), (None, 0, 1), (99, 0, 1), (9, 0, None)], "doc_id long, quality int, toxic int")
     for known in (labels, labels.where("toxic = 1"), labels.where("false")):
@@ -140,30 +158,46 @@ def test_ranked(spark):
 
 
 def test_pipeline_equals_its_operators(spark, tmp_path):
-    """run() against the stages applied one by one in plain Python where the operator has a brute-force version."""
-    from .test_near_dedup import brute
-    from .test_text_operators import brute_leaks, brute_lines
+    """run() against the stages applied one by one in plain Python: the same documents, words taken and positions."""
+    from .test_mixing import brute_mix
+    from .test_near_dedup import brute_kept
+    from .test_text_operators import brute_leaks, brute_lines, hashed
 
     rows, labels = toxic_rows(150)
     base = prose(5000, 90)
     near = base.replace("w1", "w2", 1)
     texts = [(i, t) for i, t, _ in rows] + [(500, base), (501, base), (502, near), (503, prose(77, 40)), (504, "a b\nc d\ne f\n" + prose(78, 30)), (505, "a b\nc d\ne f\n" + prose(79, 30)), (506, None), (507, "")]
-    docs = spark.createDataFrame([(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    # without id, of one id, repeated
+    texts += [(None, prose(80, 30)), (None, prose(77, 40)), (None, base.replace("w3", "w4", 1)), (508, prose(81, 30)), (508, prose(77, 40) + " tail"), (508, near + " tail"), (509, prose(82, 20)), (509, prose(82, 20))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 4}", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     items = [(1, prose(77, 40))]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-
-    first = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()
-    assert not {i for i, _, y in labels if y} & {r["doc_id"] for r in first} and {r["doc_id"] for r in first} >= {i for i, _, y in labels if not y}
-    before = {r["doc_id"]: r["text"] for r in first}
-    lines = [(i, t) for i, t in brute_lines(list(before.items())) if t is None or t.strip() or not (before[i] or "").strip()]
-    kept = {i for i, n, c in brute(lines) if c == i or not n}
-    clean = {i for i, t in lines if i in kept and not (lambda n, h: h and 20 * h >= n)(*brute_leaks(t, items)[:2])}
-    assert set(got) <= clean and {500} <= clean and not {501, 502, 503} & clean
-    sizes = {i: len((t or "").split()) for i, t in lines if i in clean}
-    assert all(got[i]["size"] == sizes[i] for i in got) and sum(r["taken"] for r in got.values()) == pytest.approx(sum(sizes.values()), abs=2)
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    got = sorted(((r["doc_id"] or 0, r["size"], r["taken"], r["position"]) for r in result.collect()), key=str)
+
+    first = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    held = [tuple(r) for r in first.select("doc_id", "text", "source").collect()]
+    assert not {i for i, _, y in labels if y} & {r[0] for r in held} and {r[0] for r in held} >= {i for i, _, y in labels if not y} and len(held) == len(texts) - sum(y for _, _, y in labels)
+    lines = [(i, t, s) for (i, t), (_, old, s) in zip(brute_lines(hashed(first)), held, strict=True) if t is None or t.strip() or not (old or "").strip()]
+    kept = [r for r, ok in zip(lines, brute_kept([r[:2] for r in lines]), strict=True) if ok]
+    clean = [(i, t, s) for i, t, s in kept if not (lambda n, h: h and 20 * h >= n)(*brute_leaks(t, items)[:2])]
+    assert {500, 506, 507, 508, 509} <= {r[0] for r in clean} and not {501, 502, 503} & {r[0] for r in clean} and [t for i, t, _ in clean if i == 508] == [prose(81, 30)]
+    want = sorted(((i or 0, *x) for (i, _, _), x in zip(clean, brute_mix(clean), strict=True) if x[1]), key=str)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    np.testing.assert_allclose([r[3] for r in got], [r[3] for r in want], atol=1e-9)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    """Empty tables give an empty mix, documents without labels and benchmark are all kept."""
+    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long, score double", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, kind in kinds.items():
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    some = spark.createDataFrame([(1, prose(1, 50), None, None, None, 0.5), (2, prose(2, 50), None, "a", None, None)], kinds["documents"])
+    some.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 2}
 
 
 def test_queries_are_registered(spark, sf):
