@@ -7,8 +7,8 @@ scaled by these ratios is fitted over all of them, with an L1 term that makes mo
 leader, EPOCHS times over the rows). Scoring looks at whole texts of any length, one at a time.
 
 Fitting takes at most MAX_TRAIN labelled rows, those with the smallest hash of their id; which labels count is the
-caller's choice. The rows' features stay in a checkpoint: each pass is a job of one task that streams them, and the
-driver holds counts, ratios and weights by slot only. Null and empty texts get the score of a text without features.
+caller's choice. The rows' features stay in a checkpoint; one task streams them for the ratios and one, EPOCHS times,
+for the weights, and these two arrays by slot are all that reaches the driver. Null and empty texts get the score of a text without features.
 Repeated labels of an id count as toxic if one does; null labels and labels without a document are ignored. With labels
 of one kind only the score is their smoothed share, without any labels it is 1/3. An empty table gives an empty result;
 other columns are kept as they are, but one with the score's name is replaced.
@@ -97,22 +97,14 @@ class Leader:
         self.bias -= BIAS_RATE * error / np.sqrt(1 + self.bias_squares)
 
 
-def _rows(batches):
-    for batch in batches:
-        for slots, y in zip(batch.column(0), batch.column(1), strict=True):
-            yield np.frombuffer(slots.as_py(), np.int32), y.as_py()
-
-
-def _one(rows: DataFrame, make) -> dict:
-    """What make(rows) of a single task gives: arrays by name."""
+def _made(rows: DataFrame, make) -> np.ndarray:
+    """The array that make(rows) gives in a single task."""
 
     def run(batches):
-        made = make(_rows(batches))
-        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x, np.float64).tobytes()], pa.binary()) for x in made.values()], list(made))
+        held = ((np.frombuffer(slots.as_py(), np.int32), y.as_py()) for batch in batches for slots, y in zip(batch.column(0), batch.column(1), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([make(held).astype(np.float32).tobytes()], pa.binary())], ["made"])
 
-    names = ("a", "b", "c")
-    got = rows.mapInArrow(lean(run), ", ".join(f"{n} binary" for n in names)).first()
-    return {n: np.frombuffer(got[n], np.float64) for n in names}
+    return np.frombuffer(rows.coalesce(1).mapInArrow(lean(run), "made binary").toArrow().column(0)[0].as_py(), np.float32)
 
 
 def fit(rows: DataFrame, n_rows: int, n_toxic: int) -> Model:
@@ -126,28 +118,24 @@ def fit(rows: DataFrame, n_rows: int, n_toxic: int) -> Model:
         seen = np.zeros((2, size))
         for slots, y in held:
             seen[y][slots] += 1
-        return {"a": seen[0], "b": seen[1], "c": np.zeros(0)}
-
-    counted = _one(rows, count)
-    ratio = log_ratios(np.stack([counted["a"], counted["b"]]))
-    state = Leader(np.zeros(size), np.zeros(size), float(np.log(n_toxic / (n_rows - n_toxic))), 0.0, L1 * n_rows)
-    spark = rows.sparkSession
-    sent_ratio = spark.sparkContext.broadcast(ratio)
-    for _ in range(EPOCHS):
-        sent = spark.sparkContext.broadcast(state)
-
-        def epoch(held, sent=sent):
-            old = sent.value
-            now = Leader(old.z.copy(), old.squares.copy(), old.bias, old.bias_squares, old.l1)
-            for slots, y in held:
-                now.step(slots, y, sent_ratio.value)
-            return {"a": now.z, "b": now.squares, "c": np.array([now.bias, now.bias_squares])}
-
-        got = _one(rows, epoch)
-        sent.destroy()
-        state = Leader(got["a"], got["b"], float(got["c"][0]), float(got["c"][1]), state.l1)
-    sent_ratio.destroy()
-    return Model((state.weights() * ratio).astype(np.float32), state.bias)
+        return log_ratios(seen)
+
+    ratio = _made(rows, count)
+    sent = rows.sparkSession.sparkContext.broadcast(ratio)
+    start, l1 = float(np.log(n_toxic / (n_rows - n_toxic))), L1 * n_rows
+
+    def learn(held):
+        state = Leader(np.zeros(size), np.zeros(size), start, 0.0, l1)
+        for slots, y in held:
+            state.step(slots, y, sent.value)
+        return np.append(state.weights() * sent.value, state.bias)
+
+    again = rows
+    for _ in range(1, EPOCHS):
+        again = again.unionAll(rows)
+    learnt = _made(again, learn)
+    sent.destroy()
+    return Model(learnt[:-1], float(learnt[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
