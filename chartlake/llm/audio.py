@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 # Fixed values of the MPEG audio formats.
 BITRATES = {  # kbit/s by (MPEG-1?, layer) and header index 1..14
     (True, 1): (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -200,7 +202,7 @@ def carried(data: bytes, found: dict) -> tuple[bytes, int, bool]:
 
 
 def _with_columns(df: DataFrame, run, fields: list[T.StructField]) -> DataFrame:
-    return df.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in df.schema] + fields))
+    return df.mapInArrow(lean(run), T.StructType([T.StructField(f.name, f.dataType) for f in df.schema] + fields))
 
 
 ROWS = 64  # rows handled at once, so memory follows the texts and not the batch size
@@ -223,7 +225,7 @@ def store_audio(df: DataFrame, text_col: str = "text", media_col: str = "media")
 
     rows = df.withColumn("__raw", F.col(text_col).cast("binary")).drop(text_col, media_col)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema if f.name != "__raw"] + [T.StructField(media_col, T.BinaryType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 AUDIO = [

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 SHORT, LONG, LINKS, DENSE, SPARSE = 60, 180, 0.4, 0.25, 0.08
 
 # HTML element names.
@@ -242,4 +244,4 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in rest], texts], [*[part.schema.names[i] for i in rest], text_col])
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in pages.schema if f.name != html_col] + [T.StructField(text_col, T.StringType())])
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(lean(run), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower
+from .common import ascii_lower, lean
 
 MAX_RULES = 100_000
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -111,4 +111,4 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules: Sequence[Rule] = RUL
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shown, pa.string()), pa.array(verdicts, pa.string())], [*names, "rule", "verdict"])
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in named.schema] + [T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
-    return named.mapInArrow(run, schema)
+    return named.mapInArrow(lean(run), schema)
