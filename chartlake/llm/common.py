@@ -122,14 +122,40 @@ def lean(run: Callable) -> Callable:
     @functools.wraps(run)
     def go(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
-        if trim:
-            trim(0)
+        give_back()
 
     return go
 
 
+def lean_group(run: Callable) -> Callable:
+    """The same for a function of one group's table, after each group."""
+
+    def go(table):
+        out = run(table)
+        give_back()
+        return out
+
+    return go
+
+
+def lean_cogroup(run: Callable) -> Callable:
+    """The same for a function of two tables of a group."""
+
+    def go(left, right):
+        out = run(left, right)
+        give_back()
+        return out
+
+    return go
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 # Vectorised hashing of words and shingles (numpy, 64 bits).
 
 _SPACE = np.zeros(256, bool)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, keys64, mix64, word_hashes
+from .common import checkpointed, keys64, lean, lean_cogroup, lean_group, mix64, word_hashes
 
 DEPTH, MIN_COUNT, GAIN, DISCOUNT = 3, 2, 12.0, 0.5
 #: No share of the training tokens is asked of a sequence, as that would ask for more in larger corpora.
@@ -39,6 +39,7 @@ MIN_PROB = 0.0
 #: A bucket of keys is answered in one task; there are as many as chunks, but not fewer than this.
 BUCKETS = 64
 CHUNK_BYTES = 16_000_000
+WORDS_AT_ONCE = 300_000
 END = b"\n"  # cannot be part of a word
 
 
@@ -62,17 +63,22 @@ def to_chunks(docs: DataFrame, id_col: str, text_col: str, held_out: Column, chu
 
     def run(batches):
         part, number, kind = TaskContext.get().partitionId(), 0, None
-        ids, held, sizes, lists, size = [], [], [], [], 0
+        ids, held, sizes, lists, words, size = [], [], [], [], [], 0
         vocabulary = {END: 0}
 
+        def numbered():
+            """Words and ends so far become places in the vocabulary."""
+            coded = pa.array(words, pa.binary()).dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            places = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in names), np.int32, len(names))
+            lists.append(places[coded.indices.to_numpy()])
+            words.clear()
+
         def row():
-            body = np.concatenate([np.array(sizes, np.int32), *lists])
-            train = np.zeros(len(vocabulary), np.int64)
-            for out, places in zip(held, lists, strict=True):
-                if not out:
-                    train += np.bincount(places, minlength=len(train)) if len(places) * 4 > len(train) else 0
-                    if len(places) * 4 <= len(train):
-                        np.add.at(train, places, 1)
+            numbered()
+            tokens = np.concatenate(lists)
+            body = np.concatenate([np.array(sizes, np.int32), tokens])
+            train = np.bincount(tokens[np.repeat(~np.array(held, bool), sizes)], minlength=len(vocabulary))
             values = [(part << 24) + number, ids, held, _pack(body.tobytes()), _pack(b"\n".join(w for w in vocabulary if w != END)), _pack(train.tobytes())]
             kinds = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [f.name for f in schema])
@@ -81,20 +87,23 @@ def to_chunks(docs: DataFrame, id_col: str, text_col: str, held_out: Column, chu
             kind = batch.schema.field(0).type
             for i in range(batch.num_rows):
                 raw = batch.column(2)[i].as_py() or b""
-                words = raw.lower().split()
-                places = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words))
+                own = raw.lower().split()
                 ids.append(batch.column(0)[i].as_py()), held.append(batch.column(1)[i].as_py())
-                lists.append(np.append(places, np.int32(0))), sizes.append(len(words) + 1)
+                words += own
+                words.append(END)
+                sizes.append(len(own) + 1)
                 size += len(raw) + 64
+                if len(words) >= WORDS_AT_ONCE:
+                    numbered()
                 if size >= chunk_bytes:
                     yield row()
                     number += 1
-                    ids, held, sizes, lists, size = [], [], [], [], 0
+                    ids, held, sizes, lists, words, size = [], [], [], [], [], 0
                     vocabulary = {END: 0}
         if ids:
             yield row()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _vocabulary(packed: bytes) -> list[bytes]:
@@ -129,13 +138,13 @@ class Level:
     """The distinct sequences of depth + 1 repeated words in a chunk, by the spots at which they end."""
 
     def __init__(self, spots: np.ndarray, keys: np.ndarray):
-        coded = pa.array(keys).dictionary_encode()
-        names = coded.dictionary.to_numpy()
-        order = np.argsort(names)
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        self.spots, self.keys = spots, names[order]
-        self.place = place[coded.indices.to_numpy()]  # among the sorted keys
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        self.spots, self.keys = spots, ordered[new]
+        self.place = np.empty(len(keys), np.int32)  # among the sorted keys
+        self.place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
 
 
 class ChunkText:
@@ -233,8 +242,8 @@ def word_answers(chunks: DataFrame, n_buckets: int) -> DataFrame:
         columns += [pa.array([x, *[0] * (rows - 1)], pa.int64()) for x in stats]
         return pa.Table.from_arrays(columns, names=["kind", "depth", "bucket", "chunk", "data", "n", "v", "n1", "n2"])
 
-    asked = chunks.select("chunk", "words", "train").mapInArrow(ask, schema)
-    return checkpointed(asked.groupBy("bucket").applyInArrow(answer, f"{ANSWERED}, n long, v long, n1 long, n2 long"))
+    asked = chunks.select("chunk", "words", "train").mapInArrow(lean(ask), schema)
+    return checkpointed(asked.groupBy("bucket").applyInArrow(lean_group(answer), f"{ANSWERED}, n long, v long, n1 long, n2 long"))
 
 
 def _count_answers(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -250,21 +259,32 @@ def _count_answers(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _state_answers(keys: np.ndarray, asked: np.ndarray, gain: float) -> np.ndarray:
-    """By asked context the mass a state leaves to its suffix, NaN for no state.
+def _state_answers(asked: list[np.ndarray], given: list[np.ndarray], gain: float) -> list[np.ndarray]:
+    """For each chunk the places of the states among all contexts that it asks for, and the mass that each leaves.
 
-    asked has, by key, its count and sums over the sequences it begins: n log(n / below), n, below and 1.
+    asked has the sorted contexts of each chunk; given the place of the first of them among all that the chunk asks for,
+    then what it adds to some of them: their place here, count, and sums over the sequences that they begin and that
+    the chunk speaks for: n log(n / below), n, below and 1.
     """
+    parts = [x[1:].reshape(6, -1) for x in given]
+    keys = np.concatenate([k[p[0].astype(np.int64)] for k, p in zip(asked, parts, strict=True)])
+    added = np.concatenate(parts, axis=1)[1:]
     order = np.argsort(keys, kind="stable")
     first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order][:1]) != 0)
-    total = asked[0][order][first]
-    logs, n, below, kinds = (np.add.reduceat(x[order], first) for x in asked[1:])
+    if not len(first):
+        return [np.zeros(0)] * len(asked)
+    total = added[0][order][first]
+    logs, n, below, kinds = (np.add.reduceat(x[order], first) for x in added[1:])
     rest, rest_below = np.maximum(0.0, 1 - n / total), np.maximum(1e-12, 1 - below)
     with np.errstate(divide="ignore", invalid="ignore"):
         divergence = logs - n * np.log(total) + np.where(rest > 0, total * rest * np.log(rest / rest_below), 0.0)
-    left = np.where((kinds > 0) & (divergence >= gain), 1 - (n - DISCOUNT * kinds) / total, np.nan)
-    out = np.empty(len(keys))
-    out[order] = np.repeat(left, np.diff(first, append=len(keys)))
+    state = divergence >= gain
+    names, left = keys[order][first][state], (1 - (n - DISCOUNT * kinds) / total)[state]
+    out = []
+    for k, x in zip(asked, given, strict=True):
+        at = np.searchsorted(k, names)
+        here = np.append(k, ~k[-1:])[at] == names
+        out.append(np.concatenate([x[0] + at[here], left[here]]))
     return out
 
 
@@ -272,16 +292,16 @@ def _answer(asked: DataFrame, gain: float) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
         keys = [_unpack_keys(x) for x in table.column("keys").to_pylist()]
-        ends = np.cumsum([len(k) for k in keys])[:-1]
-        numbers, every = table.column("numbers").to_pylist(), np.concatenate(keys)
+        numbers = table.column("numbers").to_pylist()
         if table.column("kind")[0].as_py() == "count":
-            out = _count_answers(every, np.concatenate([_array(x, np.int64) for x in numbers]))
+            ends = np.cumsum([len(k) for k in keys])[:-1]
+            parts = np.split(_count_answers(np.concatenate(keys), np.concatenate([_array(x, np.int64) for x in numbers])), ends)
         else:
-            out = _state_answers(every, np.concatenate([_array(x, float).reshape(5, -1) for x in numbers], axis=1), gain)
-        data = pa.array([_packed(x) for x in np.split(out, ends)], pa.binary())
+            parts = _state_answers(keys, [_array(x, float) for x in numbers], gain)
+        data = pa.array([_packed(x) for x in parts], pa.binary())
         return table.select(["kind", "depth", "bucket", "chunk"]).append_column("data", data)
 
-    return checkpointed(asked.groupBy("kind", "depth", "bucket").applyInArrow(run, ANSWERED))
+    return checkpointed(asked.groupBy("kind", "depth", "bucket").applyInArrow(lean_group(run), ANSWERED))
 
 
 @contextlib.contextmanager
@@ -297,12 +317,12 @@ def _shuffles_removed(spark):
 
 
 def _with_answers(chunk: pa.Table, answers: pa.Table) -> tuple[dict, dict]:
-    """The packed chunk, and the answers by kind and depth in the order of the keys."""
+    """The packed chunk, and the answers by kind and depth in the order of the buckets."""
     row = {n: chunk.column(n)[0].as_py() for n in ("held", "body", "words")}
     parts: dict = {}
     for a in sorted(answers.to_pylist(), key=lambda a: (a["kind"], a["depth"], a["bucket"])):
         parts.setdefault((a["kind"], a["depth"]), []).append(_array(a["data"], float if a["kind"] == "state" else np.int64))
-    got = {k: np.concatenate(v) for k, v in parts.items()}
+    got = {k: np.concatenate([x.reshape(2, -1) for x in v], axis=1) if k[0] == "state" else np.concatenate(v) for k, v in parts.items()}
     return row, got
 
 
@@ -314,8 +334,8 @@ def _text(row: dict, got: dict, levels: int, states: int, cut: float, total: int
         text.counted(level, np.abs(got.get(("count", depth), np.zeros(0, np.int64))))
     for depth in range(1, states + 1):
         left = np.full(len(text.keys[depth - 1]), np.nan)
-        asked = _asked_contexts(text, depth)
-        left[asked] = got.get(("state", depth), np.zeros(0))
+        places, mass = got.get(("state", depth), np.zeros((2, 0)))
+        left[_asked_contexts(text, depth)[places.astype(np.int64)]] = mass
         text.stated(depth, left)
     return text
 
@@ -326,26 +346,35 @@ def _asked_contexts(text: ChunkText, depth: int) -> np.ndarray:
     return asked[np.argsort(text.keys[depth - 1][asked])] if depth == 1 else asked
 
 
-def _questions(text: ChunkText, got: dict, depth: int):
-    """(kind, depth, keys, numbers by key) that a chunk asks after `depth` levels of counts."""
+def _questions(text: ChunkText, got: dict, depth: int, n_buckets: int):
+    """(kind, depth, bucket, packed keys, packed numbers) that a chunk asks after `depth` levels of counts."""
     if depth:
         asked = _asked_contexts(text, depth)
-        numbers = np.zeros((5, len(text.keys[depth - 1])))
-        numbers[0] = text.counts[depth - 1]
         place = text.at[depth]
         spots = np.flatnonzero(place >= 0)
         mine = got.get(("count", depth), np.zeros(0, np.int64)) < 0
         one = np.full(len(mine), -1, np.int64)
         one[place[spots]] = spots  # some spot of each sequence
         one = one[mine]
-        n, below = text.counts[depth][place[one]], text.probs[one]
+        number = np.empty(len(text.keys[depth - 1]), np.int32)
+        number[asked] = np.arange(len(asked), dtype=np.int32)
         context = text.at[depth - 1][one - 1]
-        for k, x in enumerate((n * np.log(n / below), n, below, np.ones(len(one))), 1):
-            numbers[k] = np.bincount(context, weights=x, minlength=numbers.shape[1])
-        yield "state", depth, text.keys[depth - 1][asked], numbers[:, asked]
+        order = np.argsort(number[context], kind="stable")
+        one, context = one[order], context[order]
+        n, below = text.counts[depth][place[one]].astype(float), text.probs[one]
+        first = np.flatnonzero(np.diff(context, prepend=-1))
+        sums = [np.add.reduceat(x, first) for x in (n * np.log(n / below), n, below, np.ones(len(one)))] if len(one) else [np.zeros(0)] * 4
+        at, counts = number[context[first]], text.counts[depth - 1][context[first]]
+        keys = text.keys[depth - 1][asked]
+        for b, part in _in_buckets(keys, n_buckets):
+            here = slice(*np.searchsorted(at, [part.start, part.stop]))
+            added = np.concatenate([[part.start], at[here] - part.start, counts[here], *[x[here] for x in sums]]).astype(float)
+            yield "state", depth, b, _pack_keys(keys[part]), _packed(added)
     if depth < DEPTH:
         level = text.next_level()
-        yield "count", depth + 1, level.keys, np.bincount(level.place, weights=text.train[level.spots], minlength=len(level.keys)).astype(np.int64)
+        numbers = np.bincount(level.place[text.train[level.spots]], minlength=len(level.keys))
+        for b, part in _in_buckets(level.keys, n_buckets):
+            yield "count", depth + 1, b, _pack_keys(level.keys[part]), _packed(numbers[part])
 
 
 class SuffixTree:
@@ -399,7 +428,7 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
             row, known = _with_answers(chunk, answered)
             text = _text(row, known, depth, max(0, depth - 1), cut, total, unknown)
             number = chunk.column("chunk")[0].as_py()
-            rows = [(kind, d, b, number, _pack_keys(keys[part]), _packed(numbers[..., part])) for kind, d, keys, numbers in _questions(text, known, depth) for b, part in _in_buckets(keys, n_buckets)]
+            rows = [(kind, d, b, number, keys, numbers) for kind, d, b, keys, numbers in _questions(text, known, depth, n_buckets)]
             kinds_of = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
             return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds_of)], names=[x.split()[0] for x in ASKED.split(", ")])
 
@@ -407,7 +436,7 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
 
     with _shuffles_removed(spark):
         for depth in range(DEPTH + 1):
-            asked = answers.groupBy("chunk").cogroup(body.drop("ids").groupBy("chunk")).applyInArrow(ask(depth), ASKED)
+            asked = answers.groupBy("chunk").cogroup(body.drop("ids").groupBy("chunk")).applyInArrow(lean_cogroup(ask(depth)), ASKED)
             answers = answers.unionByName(_answer(asked, gain))
 
     id_type = chunks.schema["ids"].dataType.elementType
@@ -425,5 +454,5 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         columns = [ids, held, pa.array(text.sizes), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(ids), total, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
         return pa.Table.from_arrays(columns, names=[f.name for f in schema])
 
-    out = answers.groupBy("chunk").cogroup(body.groupBy("chunk")).applyInArrow(finish, schema)
+    out = answers.groupBy("chunk").cogroup(body.groupBy("chunk")).applyInArrow(lean_cogroup(finish), schema)
     return out.withColumnRenamed("id", id_col)

@@ -97,18 +97,30 @@ class Leader:
         self.bias -= BIAS_RATE * error / np.sqrt(1 + self.bias_squares)
 
 
+def _packed(slots: np.ndarray) -> bytes:
+    """Distinct slots as compressed differences, byte by byte as the high ones are mostly 0, after their number."""
+    gaps = np.diff(slots.astype(np.uint32), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T
+    return len(slots).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(gaps).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    gaps = np.frombuffer(pa.decompress(data[4:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(gaps.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def _made(rows: DataFrame, make) -> np.ndarray:
     """The array that make(rows) gives in a single task."""
 
     def run(batches):
-        held = ((np.frombuffer(slots.as_py(), np.int32), y.as_py()) for batch in batches for slots, y in zip(batch.column(0), batch.column(1), strict=True))
+        held = ((_unpacked(slots.as_py()), y.as_py()) for batch in batches for slots, y in zip(batch.column(0), batch.column(1), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([make(held).astype(np.float32).tobytes()], pa.binary())], ["made"])
 
     return np.frombuffer(rows.coalesce(1).mapInArrow(lean(run), "made binary").toArrow().column(0)[0].as_py(), np.float32)
 
 
 def fit(rows: DataFrame, n_rows: int, n_toxic: int) -> Model:
-    """rows: the distinct slots (packed, int32) of a text and its label, in one partition and a fixed order."""
+    """rows: the distinct slots (packed) of a text and its label, in one partition and a fixed order."""
     size = 1 << SLOT_BITS
     if not 0 < n_toxic < n_rows:
         share = (n_toxic + 1) / (n_rows + 2) if n_rows else 1 / 3
@@ -149,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                slots = np.unique(gram_slots(batch.column(0)[row].as_py())).astype(np.int32).tobytes()
+                slots = _packed(np.unique(gram_slots(batch.column(0)[row].as_py())))
                 y = int(batch.column(1)[row].as_py() > 0)
                 yield pa.RecordBatch.from_arrays([pa.array([slots], pa.binary()), pa.array([y], pa.int32()), batch.column(2).slice(row, 1)], ["slots", "y", "order"])
 
