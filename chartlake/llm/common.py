@@ -158,8 +158,8 @@ def give_back() -> None:
 
 # Vectorised hashing of words and shingles (numpy, 64 bits).
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -181,7 +181,7 @@ def keys64(n: int, salt: int) -> np.ndarray:
 def word_hashes(raw: bytes) -> np.ndarray:
     """One 64-bit hash for each word of lower-cased UTF-8 bytes, words being runs without ASCII white space."""
     data = np.frombuffer(raw, np.uint8)
-    at = np.flatnonzero(~_SPACE[data])
+    at = np.flatnonzero(~SPACE[data])
     if not len(at):
         return np.empty(0, np.uint64)
     first = np.flatnonzero(np.diff(at, prepend=-2) > 1)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, keys64, lean, lean_cogroup, lean_group, mix64, word_hashes
+from .common import SPACE, checkpointed, keys64, lean, lean_cogroup, lean_group, mix64, word_hashes
 
 DEPTH, MIN_COUNT, GAIN, DISCOUNT = 3, 2, 12.0, 0.5
 #: No share of the training tokens is asked of a sequence, as that would ask for more in larger corpora.
@@ -39,8 +39,9 @@ MIN_PROB = 0.0
 #: A bucket of keys is answered in one task; there are as many as chunks, but not fewer than this.
 BUCKETS = 64
 CHUNK_BYTES = 16_000_000
-WORDS_AT_ONCE = 300_000
+BYTES_AT_ONCE = 2_000_000
 END = b"\n"  # cannot be part of a word
+END_KEY = keys64(1, 43)[0]
 
 
 def _pack(data) -> bytes:
@@ -52,65 +53,76 @@ def _unpack(data: bytes) -> bytes:
     return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
+class _Words:
+    """A chunk's texts as they come: their words' bytes one after another, lengths and numbers of words."""
+
+    def __init__(self):
+        self.ids, self.held, self.texts, self.size, self.waiting = [], [], [], 0, 0
+        self.letters, self.lengths, self.per_text = [], [], []
+
+    def add(self, id_, held: bool, raw: bytes | None) -> None:
+        raw = raw or b""
+        self.ids.append(id_), self.held.append(held), self.texts.append(raw)
+        self.size += len(raw) + 64
+        self.waiting += len(raw)
+        if self.waiting >= BYTES_AT_ONCE:
+            self._split()
+
+    def _split(self) -> None:
+        data = np.frombuffer(b"\n".join([x.lower() for x in self.texts]) + b"\n", np.uint8)
+        word = ~SPACE[data]
+        edges = np.flatnonzero(np.diff(word, prepend=False))  # the last byte is a space
+        starts = edges[::2]
+        ends = np.cumsum([len(x) + 1 for x in self.texts])
+        self.letters.append(data[word]), self.lengths.append(edges[1::2] - starts)
+        self.per_text.append(np.diff(np.searchsorted(starts, ends), prepend=0))
+        self.texts, self.waiting = [], 0
+
+    def row(self) -> list:
+        """ids, held, body, names, words, train of to_chunks."""
+        self._split()
+        offsets = np.concatenate([np.zeros(1, np.int64), *self.lengths]).cumsum()
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(self.letters))]).dictionary_encode()
+        sizes = np.concatenate(self.per_text).astype(np.int32) + np.int32(1)
+        words = [*coded.dictionary.to_pylist(), b""]  # the end is the empty word here
+        keys = np.append(word_hashes(END.join(words)), END_KEY)
+        order = np.argsort(keys, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        tokens, inner = np.full(int(sizes.sum()), place[-1]), np.ones(int(sizes.sum()), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        tokens[inner] = place[coded.indices.to_numpy()]
+        train = np.bincount(tokens[np.repeat(~np.array(self.held, bool), sizes)], minlength=len(keys))
+        body = np.concatenate([sizes, tokens]).view(np.uint8).reshape(-1, 4).T.tobytes()  # byte by byte
+        return [self.ids, self.held, _pack(body), _pack_keys(keys[order]), _pack(END.join([words[i] for i in order])), _pack_counts(train)]
+
+
 def to_chunks(docs: DataFrame, id_col: str, text_col: str, held_out: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per chunk: ids, held-out marks, packed token sequences, vocabulary and its training counts.
+    """One row per chunk: ids, held-out marks, packed token sequences, the vocabulary's keys, words and training counts.
 
-    Place 0 of every vocabulary is the end.
+    The vocabulary, with the end, is in the order of its keys.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("binary").alias("raw"))
     id_type = rows.schema["id"].dataType
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("body", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("train", T.BinaryType())])
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("body", T.BinaryType()), T.StructField("names", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("train", T.BinaryType())])
 
     def run(batches):
-        part, number, kind = TaskContext.get().partitionId(), 0, None
-        ids, held, sizes, lists, words, size = [], [], [], [], [], 0
-        vocabulary = {END: 0}
-
-        def numbered():
-            """Words and ends so far become places in the vocabulary."""
-            coded = pa.array(words, pa.binary()).dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            places = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in names), np.int32, len(names))
-            lists.append(places[coded.indices.to_numpy()])
-            words.clear()
-
-        def row():
-            numbered()
-            tokens = np.concatenate(lists)
-            body = np.concatenate([np.array(sizes, np.int32), tokens])
-            train = np.bincount(tokens[np.repeat(~np.array(held, bool), sizes)], minlength=len(vocabulary))
-            values = [(part << 24) + number, ids, held, _pack(body.tobytes()), _pack(b"\n".join(w for w in vocabulary if w != END)), _pack(train.tobytes())]
-            kinds = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [f.name for f in schema])
-
+        part, number, chunk = TaskContext.get().partitionId(), 0, _Words()
+        names = [f.name for f in schema]
         for batch in batches:
             kind = batch.schema.field(0).type
+            kinds = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), *[pa.binary()] * 4]
             for i in range(batch.num_rows):
-                raw = batch.column(2)[i].as_py() or b""
-                own = raw.lower().split()
-                ids.append(batch.column(0)[i].as_py()), held.append(batch.column(1)[i].as_py())
-                words += own
-                words.append(END)
-                sizes.append(len(own) + 1)
-                size += len(raw) + 64
-                if len(words) >= WORDS_AT_ONCE:
-                    numbered()
-                if size >= chunk_bytes:
-                    yield row()
-                    number += 1
-                    ids, held, sizes, lists, words, size = [], [], [], [], [], 0
-                    vocabulary = {END: 0}
-        if ids:
-            yield row()
+                chunk.add(*(c[i].as_py() for c in batch.columns))
+                if chunk.size >= chunk_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([(part << 24) + number, *chunk.row()], kinds, strict=True)], names)
+                    number, chunk = number + 1, _Words()
+        if chunk.ids:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([(part << 24) + number, *chunk.row()], kinds, strict=True)], names)
 
     return rows.mapInArrow(lean(run), schema)
 
 
-def _vocabulary(packed: bytes) -> list[bytes]:
-    raw = _unpack(packed)
-    return [END, *(raw.split(b"\n") if raw else [])]
-
-
 def _pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, byte by byte, as their high bytes are mostly 0."""
     return _pack(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
@@ -121,9 +133,16 @@ def _unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(parts.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _word_keys(raw: bytes) -> np.ndarray:
-    """Keys of the words of a vocabulary, the first being the end."""
-    return np.concatenate([keys64(1, 43), word_hashes(raw)])
+def _pack_counts(values: np.ndarray) -> bytes:
+    """Mostly small whole numbers, with a sign, byte by byte."""
+    folded = (np.abs(values) * 2 + (values < 0)).astype(np.uint64)
+    return _pack(folded.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    parts = np.frombuffer(_unpack(data), np.uint8).reshape(8, -1)
+    folded = np.ascontiguousarray(parts.T).view(np.uint64).ravel()
+    return np.where(folded & np.uint64(1), -1, 1) * (folded >> np.uint64(1)).astype(np.int64)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -151,20 +170,19 @@ class ChunkText:
     """The tokens of a chunk with what was answered so far.
 
     at[d] has, by token, the place of the sequence of depth d that ends there, or -1 if it is not repeated; counts[d] the
-    counts by place. Places of depth 0 are those of the vocabulary, of others the order of the keys.
+    counts by place. Places are in the order of the keys.
     """
 
     def __init__(self, row: dict, counts: np.ndarray, cut: float, total: int, unknown: float):
-        lists = np.frombuffer(_unpack(row["body"]), np.int32)
+        lists = np.ascontiguousarray(np.frombuffer(_unpack(row["body"]), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
         n_docs = len(row["held"])
         self.sizes = lists[:n_docs].astype(np.int64)
         self.places = lists[n_docs:]
         self.doc = np.repeat(np.arange(n_docs, dtype=np.int32), self.sizes)
         self.inside = np.arange(len(self.places), dtype=np.int32) - np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
         self.train = ~np.array(row["held"], bool)[self.doc]
-        self.names = _word_keys(_unpack(row["words"]))
-        by_key, counts = counts, np.empty(len(self.names), np.int64)
-        counts[np.argsort(self.names, kind="stable")] = by_key
+        self.names = _unpack_keys(row["names"])
+        self.followed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.counts, self.keys = [counts], [self.names]
         self.at = [np.where(counts[self.places] >= MIN_COUNT, self.places, np.int32(-1))]
         self.ends = self.names[self.places]  # key of the sequence of the current depth that ends at a token
@@ -189,9 +207,12 @@ class ChunkText:
 
     def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """The spots that follow a repeated context of `depth` words, and its place at depth - 1."""
-        spots = np.flatnonzero(self.inside >= depth)
-        context = self.at[depth - 1][spots - 1]
-        return spots[context >= 0], context[context >= 0]
+        if depth not in self.followed:
+            context = np.append(np.int32(-1), self.at[depth - 1][:-1])
+            context[self.inside < depth] = -1
+            spots = np.flatnonzero(context >= 0).astype(np.int32)
+            self.followed[depth] = spots, context[spots]
+        return self.followed[depth]
 
     def stated(self, depth: int, left: np.ndarray) -> None:
         """Probabilities in the states of a depth; left has the mass by context, or NaN if it is no state."""
@@ -223,26 +244,23 @@ def word_answers(chunks: DataFrame, n_buckets: int) -> DataFrame:
 
     def ask(batches):
         for batch in batches:
-            for chunk, words, train in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                names, keys, counts = _vocabulary(words), _word_keys(_unpack(words)), _array(train, np.int64)
-                names[0] = b""  # the end, as words are written with an end between them
-                order = np.argsort(keys, kind="stable")
-                for b, part in _in_buckets(keys[order], n_buckets):
-                    rows = order[part]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk]), pa.array([_pack(END.join([names[i] for i in rows]))], pa.binary()), pa.array([_packed(counts[rows])], pa.binary())], ["bucket", "chunk", "words", "n"])
+            for row in batch.to_pylist():
+                words, counts = _unpack(row["words"]).split(END), _unpack_counts(row["train"])
+                for b, part in _in_buckets(_unpack_keys(row["names"]), n_buckets):
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["chunk"]]), pa.array([_pack(END.join(words[part]))], pa.binary()), pa.array([_pack_counts(counts[part])], pa.binary())], ["bucket", "chunk", "words", "n"])
 
     def answer(table: pa.Table) -> pa.Table:
         lists = [_unpack(x).split(END) for x in table.column("words").to_pylist()]
         coded = pa.array([w for ws in lists for w in ws], pa.binary()).dictionary_encode()
         codes, sums = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), np.int64)
-        np.add.at(sums, codes, np.concatenate([_array(x, np.int64) for x in table.column("n").to_pylist()]))
+        np.add.at(sums, codes, np.concatenate([_unpack_counts(x) for x in table.column("n").to_pylist()]))
         ends, rows = np.cumsum([len(ws) for ws in lists])[:-1], len(lists)
         stats = [int(x) for x in (sums.sum(), (sums > 0).sum(), (sums == 1).sum(), (sums == 2).sum())]
-        columns = [pa.array(["count"] * rows), pa.array([0] * rows, pa.int32()), table.column("bucket"), table.column("chunk"), pa.array([_packed(x) for x in np.split(sums[codes], ends)], pa.binary())]
+        columns = [pa.array(["count"] * rows), pa.array([0] * rows, pa.int32()), table.column("bucket"), table.column("chunk"), pa.array([_pack_counts(x) for x in np.split(sums[codes], ends)], pa.binary())]
         columns += [pa.array([x, *[0] * (rows - 1)], pa.int64()) for x in stats]
         return pa.Table.from_arrays(columns, names=["kind", "depth", "bucket", "chunk", "data", "n", "v", "n1", "n2"])
 
-    asked = chunks.select("chunk", "words", "train").mapInArrow(lean(ask), schema)
+    asked = chunks.select("chunk", "names", "words", "train").mapInArrow(lean(ask), schema)
     return checkpointed(asked.groupBy("bucket").applyInArrow(lean_group(answer), f"{ANSWERED}, n long, v long, n1 long, n2 long"))
 
 
@@ -295,11 +313,11 @@ def _answer(asked: DataFrame, gain: float) -> DataFrame:
         numbers = table.column("numbers").to_pylist()
         if table.column("kind")[0].as_py() == "count":
             ends = np.cumsum([len(k) for k in keys])[:-1]
-            parts = np.split(_count_answers(np.concatenate(keys), np.concatenate([_array(x, np.int64) for x in numbers])), ends)
+            parts = np.split(_count_answers(np.concatenate(keys), np.concatenate([_unpack_counts(x) for x in numbers])), ends)
+            data = [_pack_counts(x) for x in parts]
         else:
-            parts = _state_answers(keys, [_array(x, float) for x in numbers], gain)
-        data = pa.array([_packed(x) for x in parts], pa.binary())
-        return table.select(["kind", "depth", "bucket", "chunk"]).append_column("data", data)
+            data = [_packed(x) for x in _state_answers(keys, [_array(x, float) for x in numbers], gain)]
+        return table.select(["kind", "depth", "bucket", "chunk"]).append_column("data", pa.array(data, pa.binary()))
 
     return checkpointed(asked.groupBy("kind", "depth", "bucket").applyInArrow(lean_group(run), ANSWERED))
 
@@ -318,10 +336,10 @@ def _shuffles_removed(spark):
 
 def _with_answers(chunk: pa.Table, answers: pa.Table) -> tuple[dict, dict]:
     """The packed chunk, and the answers by kind and depth in the order of the buckets."""
-    row = {n: chunk.column(n)[0].as_py() for n in ("held", "body", "words")}
+    row = {n: chunk.column(n)[0].as_py() for n in ("held", "body", "names")}
     parts: dict = {}
     for a in sorted(answers.to_pylist(), key=lambda a: (a["kind"], a["depth"], a["bucket"])):
-        parts.setdefault((a["kind"], a["depth"]), []).append(_array(a["data"], float if a["kind"] == "state" else np.int64))
+        parts.setdefault((a["kind"], a["depth"]), []).append(_array(a["data"], float) if a["kind"] == "state" else _unpack_counts(a["data"]))
     got = {k: np.concatenate([x.reshape(2, -1) for x in v], axis=1) if k[0] == "state" else np.concatenate(v) for k, v in parts.items()}
     return row, got
 
@@ -342,8 +360,9 @@ def _text(row: dict, got: dict, levels: int, states: int, cut: float, total: int
 
 def _asked_contexts(text: ChunkText, depth: int) -> np.ndarray:
     """Places of the contexts that a chunk asks for, by their keys."""
-    asked = np.flatnonzero(np.bincount(text.contexts(depth)[1], minlength=len(text.keys[depth - 1])))
-    return asked[np.argsort(text.keys[depth - 1][asked])] if depth == 1 else asked
+    asked = np.zeros(len(text.keys[depth - 1]), bool)
+    asked[text.contexts(depth)[1]] = True
+    return np.flatnonzero(asked)
 
 
 def _questions(text: ChunkText, got: dict, depth: int, n_buckets: int):
@@ -374,7 +393,7 @@ def _questions(text: ChunkText, got: dict, depth: int, n_buckets: int):
         level = text.next_level()
         numbers = np.bincount(level.place[text.train[level.spots]], minlength=len(level.keys))
         for b, part in _in_buckets(level.keys, n_buckets):
-            yield "count", depth + 1, b, _pack_keys(level.keys[part]), _packed(numbers[part])
+            yield "count", depth + 1, b, _pack_keys(level.keys[part]), _pack_counts(numbers[part])
 
 
 class SuffixTree:
@@ -419,7 +438,7 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     cut = ((got["n1"] or 0) + 1) / ((got["n1"] or 0) + 2 * (got["n2"] or 0) + 2)  # absolute discount at the root
     unknown = cut * kinds / total if total else 1.0
     norm = math.log10(total + kinds + 1)
-    body = chunks.select("chunk", "ids", "held", "body", "words")
+    body = chunks.select("chunk", "ids", "held", "body", "names")
 
     answers = words.select("kind", "depth", "bucket", "chunk", "data")
 
