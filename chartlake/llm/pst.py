@@ -11,8 +11,7 @@ Corpus statistics cover all training texts and grow with them; none comes to the
 read once: they become chunks of bounded size with their own vocabulary. Level by level, as every part of a repeated
 sequence is repeated, each chunk asks for the counts of its distinct sequences, then for the states among its distinct
 contexts; questions are 64-bit keys, dealt in buckets of the key's range, and answers go back to the chunk. So a frequent
-word or sequence costs one key per chunk. Words are counted as such; two sequences
-of one key would be taken for one (2^-64 a pair).
+word or sequence costs one key per chunk. Two words or two sequences of one key would be taken for one (2^-64 a pair).
 
 Null and empty texts have the end as their only token. Null ids are training rows. Repeated rows each get a row.
 Without training texts every token is unknown, which is then certain. Empty tables give empty results; other columns
@@ -79,13 +78,12 @@ class _Words:
         self.texts, self.waiting = [], 0
 
     def row(self) -> list:
-        """ids, held, body, names, words, train of to_chunks."""
+        """ids, held, body, names, train of to_chunks."""
         self._split()
         offsets = np.concatenate([np.zeros(1, np.int64), *self.lengths]).cumsum()
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(self.letters))]).dictionary_encode()
         sizes = np.concatenate(self.per_text).astype(np.int32) + np.int32(1)
-        words = [*coded.dictionary.to_pylist(), b""]  # the end is the empty word here
-        keys = np.append(word_hashes(END.join(words)), END_KEY)
+        keys = np.append(word_hashes(END.join(coded.dictionary.to_pylist())), END_KEY)
         order = np.argsort(keys, kind="stable")
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
@@ -94,24 +92,24 @@ class _Words:
         tokens[inner] = place[coded.indices.to_numpy()]
         train = np.bincount(tokens[np.repeat(~np.array(self.held, bool), sizes)], minlength=len(keys))
         body = np.concatenate([sizes, tokens]).view(np.uint8).reshape(-1, 4).T.tobytes()  # byte by byte
-        return [self.ids, self.held, _pack(body), _pack_keys(keys[order]), _pack(END.join([words[i] for i in order])), _pack_counts(train)]
+        return [self.ids, self.held, _pack(body), _pack_keys(keys[order]), _pack_counts(train)]
 
 
 def to_chunks(docs: DataFrame, id_col: str, text_col: str, held_out: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per chunk: ids, held-out marks, packed token sequences, the vocabulary's keys, words and training counts.
+    """One row per chunk: ids, held-out marks, packed token sequences, the vocabulary's keys and training counts.
 
     The vocabulary, with the end, is in the order of its keys.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("binary").alias("raw"))
     id_type = rows.schema["id"].dataType
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("body", T.BinaryType()), T.StructField("names", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("train", T.BinaryType())])
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("body", T.BinaryType()), T.StructField("names", T.BinaryType()), T.StructField("train", T.BinaryType())])
 
     def run(batches):
         part, number, chunk = TaskContext.get().partitionId(), 0, _Words()
         names = [f.name for f in schema]
         for batch in batches:
             kind = batch.schema.field(0).type
-            kinds = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), *[pa.binary()] * 4]
+            kinds = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), *[pa.binary()] * 3]
             for i in range(batch.num_rows):
                 chunk.add(*(c[i].as_py() for c in batch.columns))
                 if chunk.size >= chunk_bytes:
@@ -234,63 +232,55 @@ def _in_buckets(keys: np.ndarray, n_buckets: int):
 
 
 ASKED = "kind string, depth int, bucket int, chunk long, keys binary, numbers binary"
-ANSWERED = "kind string, depth int, bucket int, chunk long, data binary"
+TOTALS = ("n", "v", "n1", "n2")
+ANSWERED = f"kind string, depth int, bucket int, chunk long, data binary, {', '.join(f'{x} long' for x in TOTALS)}"
+#: Contexts are asked for by their keys without so many low bits; the answer has the whole keys of the states.
+HIGH = np.uint64(24)
 
 
-def word_answers(chunks: DataFrame, n_buckets: int) -> DataFrame:
-    """The counts of each chunk's words in all training texts; n, v, n1 and n2 of a bucket's first row add up its words:
-    tokens, kinds, and kinds that occur once and twice."""
-    schema = "bucket int, chunk long, words binary, n binary"
+def _asked_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in ASKED.split(", ")])
+
+
+def _words_asked(chunks: DataFrame, n_buckets: int) -> DataFrame:
+    """The question for the counts of each chunk's words, as for sequences of depth 0."""
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                words, counts = _unpack(row["words"]).split(END), _unpack_counts(row["train"])
-                for b, part in _in_buckets(_unpack_keys(row["names"]), n_buckets):
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["chunk"]]), pa.array([_pack(END.join(words[part]))], pa.binary()), pa.array([_pack_counts(counts[part])], pa.binary())], ["bucket", "chunk", "words", "n"])
-
-    def answer(table: pa.Table) -> pa.Table:
-        lists = [_unpack(x).split(END) for x in table.column("words").to_pylist()]
-        coded = pa.array([w for ws in lists for w in ws], pa.binary()).dictionary_encode()
-        codes, sums = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), np.int64)
-        np.add.at(sums, codes, np.concatenate([_unpack_counts(x) for x in table.column("n").to_pylist()]))
-        ends, rows = np.cumsum([len(ws) for ws in lists])[:-1], len(lists)
-        stats = [int(x) for x in (sums.sum(), (sums > 0).sum(), (sums == 1).sum(), (sums == 2).sum())]
-        columns = [pa.array(["count"] * rows), pa.array([0] * rows, pa.int32()), table.column("bucket"), table.column("chunk"), pa.array([_pack_counts(x) for x in np.split(sums[codes], ends)], pa.binary())]
-        columns += [pa.array([x, *[0] * (rows - 1)], pa.int64()) for x in stats]
-        return pa.Table.from_arrays(columns, names=["kind", "depth", "bucket", "chunk", "data", "n", "v", "n1", "n2"])
-
-    asked = chunks.select("chunk", "names", "words", "train").mapInArrow(lean(ask), schema)
-    return checkpointed(asked.groupBy("bucket").applyInArrow(lean_group(answer), f"{ANSWERED}, n long, v long, n1 long, n2 long"))
-
-
-def _count_answers(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """By asked key the count in all chunks (0: below MIN_COUNT), negative for one of the chunks that ask."""
+                counts, keys = _unpack_counts(row["train"]), _unpack_keys(row["names"])
+                yield _asked_batch([("count", 0, b, row["chunk"], _pack_keys(keys[part]), _pack_counts(counts[part])) for b, part in _in_buckets(keys, n_buckets)])
+
+    return chunks.select("chunk", "names", "train").mapInArrow(lean(ask), ASKED)
+
+
+def _count_answers(keys: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, list[int]]:
+    """By asked key the count in all chunks (0: below least), negative for one of the chunks that ask, and totals:
+    sum, kinds, and kinds that occur once and twice."""
     order = np.argsort(keys, kind="stable")
     first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order][:1]) != 0)
     sums = np.add.reduceat(n[order], first)
-    sums[sums < MIN_COUNT] = 0
+    sums[sums < least] = 0
     out = np.empty(len(keys), np.int64)
     signed = np.repeat(sums, np.diff(first, append=len(keys)))
     signed[first] *= -1
     out[order] = signed
-    return out
+    return out, [int(x) for x in (sums.sum(), (sums > 0).sum(), (sums == 1).sum(), (sums == 2).sum())]
 
 
 def _state_answers(asked: list[np.ndarray], given: list[np.ndarray], gain: float) -> list[np.ndarray]:
-    """For each chunk the places of the states among all contexts that it asks for, and the mass that each leaves.
+    """For each chunk the keys of the states that it may ask for, and the mass that each leaves (as 64-bit integers).
 
-    asked has the sorted contexts of each chunk; given the place of the first of them among all that the chunk asks for,
-    then what it adds to some of them: their place here, count, and sums over the sequences that they begin and that
-    the chunk speaks for: n log(n / below), n, below and 1.
+    asked has the sorted high bits of each chunk's contexts; given what each chunk adds to some contexts: key, count, and
+    sums over the sequences that they begin and that the chunk speaks for: n log(n / below), n, below and 1.
     """
-    parts = [x[1:].reshape(6, -1) for x in given]
-    keys = np.concatenate([k[p[0].astype(np.int64)] for k, p in zip(asked, parts, strict=True)])
-    added = np.concatenate(parts, axis=1)[1:]
+    parts = np.concatenate([x.reshape(6, -1) for x in given], axis=1)
+    keys, added = parts[0], parts[1:].view(float)
     order = np.argsort(keys, kind="stable")
     first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order][:1]) != 0)
     if not len(first):
-        return [np.zeros(0)] * len(asked)
+        return [np.zeros(0, np.uint64)] * len(asked)
     total = added[0][order][first]
     logs, n, below, kinds = (np.add.reduceat(x[order], first) for x in added[1:])
     rest, rest_below = np.maximum(0.0, 1 - n / total), np.maximum(1e-12, 1 - below)
@@ -299,25 +289,29 @@ def _state_answers(asked: list[np.ndarray], given: list[np.ndarray], gain: float
     state = divergence >= gain
     names, left = keys[order][first][state], (1 - (n - DISCOUNT * kinds) / total)[state]
     out = []
-    for k, x in zip(asked, given, strict=True):
-        at = np.searchsorted(k, names)
-        here = np.append(k, ~k[-1:])[at] == names
-        out.append(np.concatenate([x[0] + at[here], left[here]]))
+    for high in asked:
+        here = np.append(high, ~high[-1:])[np.searchsorted(high, names >> HIGH)] == names >> HIGH
+        out.append(np.concatenate([names[here], left[here].view(np.uint64)]))
     return out
 
 
 def _answer(asked: DataFrame, gain: float) -> DataFrame:
+    """The answers; n, v, n1 and n2 of a bucket's first row are the totals of its words or sequences."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
         keys = [_unpack_keys(x) for x in table.column("keys").to_pylist()]
-        numbers = table.column("numbers").to_pylist()
+        numbers, totals = table.column("numbers").to_pylist(), [0] * 4
         if table.column("kind")[0].as_py() == "count":
-            ends = np.cumsum([len(k) for k in keys])[:-1]
-            parts = np.split(_count_answers(np.concatenate(keys), np.concatenate([_unpack_counts(x) for x in numbers])), ends)
-            data = [_pack_counts(x) for x in parts]
+            least = MIN_COUNT if table.column("depth")[0].as_py() else 1
+            counts, totals = _count_answers(np.concatenate(keys), np.concatenate([_unpack_counts(x) for x in numbers]), least)
+            data = [_pack_counts(x) for x in np.split(counts, np.cumsum([len(k) for k in keys])[:-1])]
         else:
-            data = [_packed(x) for x in _state_answers(keys, [_array(x, float) for x in numbers], gain)]
-        return table.select(["kind", "depth", "bucket", "chunk"]).append_column("data", pa.array(data, pa.binary()))
+            data = [_packed(x) for x in _state_answers(keys, [_array(x, np.uint64) for x in numbers], gain)]
+        table = table.select(["kind", "depth", "bucket", "chunk"]).append_column("data", pa.array(data, pa.binary()))
+        for name, x in zip(TOTALS, totals, strict=True):
+            table = table.append_column(name, pa.array([x, *[0] * (len(data) - 1)], pa.int64()))
+        return table
 
     return checkpointed(asked.groupBy("kind", "depth", "bucket").applyInArrow(lean_group(run), ANSWERED))
 
@@ -338,22 +332,24 @@ def _with_answers(chunk: pa.Table, answers: pa.Table) -> tuple[dict, dict]:
     """The packed chunk, and the answers by kind and depth in the order of the buckets."""
     row = {n: chunk.column(n)[0].as_py() for n in ("held", "body", "names")}
     parts: dict = {}
-    for a in sorted(answers.to_pylist(), key=lambda a: (a["kind"], a["depth"], a["bucket"])):
-        parts.setdefault((a["kind"], a["depth"]), []).append(_array(a["data"], float) if a["kind"] == "state" else _unpack_counts(a["data"]))
+    for a in sorted(answers.select(["kind", "depth", "bucket", "data"]).to_pylist(), key=lambda a: (a["kind"], a["depth"], a["bucket"])):
+        parts.setdefault((a["kind"], a["depth"]), []).append(_array(a["data"], np.uint64) if a["kind"] == "state" else _unpack_counts(a["data"]))
     got = {k: np.concatenate([x.reshape(2, -1) for x in v], axis=1) if k[0] == "state" else np.concatenate(v) for k, v in parts.items()}
     return row, got
 
 
 def _text(row: dict, got: dict, levels: int, states: int, cut: float, total: int, unknown: float) -> ChunkText:
     """The text with `levels` levels of counts and the probabilities of `states` levels of states."""
-    text = ChunkText(row, got["count", 0], cut, total, unknown)
+    text = ChunkText(row, np.abs(got["count", 0]), cut, total, unknown)
     for depth in range(1, levels + 1):
         level = text.next_level()
         text.counted(level, np.abs(got.get(("count", depth), np.zeros(0, np.int64))))
     for depth in range(1, states + 1):
         left = np.full(len(text.keys[depth - 1]), np.nan)
-        places, mass = got.get(("state", depth), np.zeros((2, 0)))
-        left[_asked_contexts(text, depth)[places.astype(np.int64)]] = mass
+        names, mass = got.get(("state", depth), np.zeros((2, 0), np.uint64))
+        place = np.searchsorted(text.keys[depth - 1], names)
+        here = np.append(text.keys[depth - 1], np.uint64(0))[place] == names
+        left[place[here]] = mass[here].view(float)
         text.stated(depth, left)
     return text
 
@@ -375,20 +371,19 @@ def _questions(text: ChunkText, got: dict, depth: int, n_buckets: int):
         one = np.full(len(mine), -1, np.int64)
         one[place[spots]] = spots  # some spot of each sequence
         one = one[mine]
-        number = np.empty(len(text.keys[depth - 1]), np.int32)
-        number[asked] = np.arange(len(asked), dtype=np.int32)
         context = text.at[depth - 1][one - 1]
-        order = np.argsort(number[context], kind="stable")
+        order = np.argsort(context, kind="stable")
         one, context = one[order], context[order]
         n, below = text.counts[depth][place[one]].astype(float), text.probs[one]
         first = np.flatnonzero(np.diff(context, prepend=-1))
         sums = [np.add.reduceat(x, first) for x in (n * np.log(n / below), n, below, np.ones(len(one)))] if len(one) else [np.zeros(0)] * 4
-        at, counts = number[context[first]], text.counts[depth - 1][context[first]]
+        context = context[first]
+        names, counts = text.keys[depth - 1][context], text.counts[depth - 1][context].astype(float)
         keys = text.keys[depth - 1][asked]
         for b, part in _in_buckets(keys, n_buckets):
-            here = slice(*np.searchsorted(at, [part.start, part.stop]))
-            added = np.concatenate([[part.start], at[here] - part.start, counts[here], *[x[here] for x in sums]]).astype(float)
-            yield "state", depth, b, _pack_keys(keys[part]), _packed(added)
+            here = slice(*np.searchsorted(context, [asked[part.start], asked[part.stop - 1] + 1]))
+            added = np.concatenate([names[here], *[x[here].view(np.uint64) for x in (counts, *sums)]])
+            yield "state", depth, b, _pack_keys(np.unique(keys[part] >> HIGH)), _packed(added)
     if depth < DEPTH:
         level = text.next_level()
         numbers = np.bincount(level.place[text.train[level.spots]], minlength=len(level.keys))
@@ -432,24 +427,21 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     with _shuffles_removed(spark):
         chunks = checkpointed(to_chunks(docs, id_col, text_col, held_out, chunk_bytes))
         n_buckets = max(BUCKETS, chunks.count())
-        words = word_answers(chunks, n_buckets)
-    got = words.agg(*[F.sum(x).alias(x) for x in ("n", "v", "n1", "n2")]).first()
+        answers = _answer(_words_asked(chunks, n_buckets), gain)
+    got = answers.agg(*[F.sum(x).alias(x) for x in TOTALS]).first()
     total, kinds = got["n"] or 0, got["v"] or 0
     cut = ((got["n1"] or 0) + 1) / ((got["n1"] or 0) + 2 * (got["n2"] or 0) + 2)  # absolute discount at the root
     unknown = cut * kinds / total if total else 1.0
     norm = math.log10(total + kinds + 1)
     body = chunks.select("chunk", "ids", "held", "body", "names")
 
-    answers = words.select("kind", "depth", "bucket", "chunk", "data")
-
     def ask(depth: int):
         def run(answered: pa.Table, chunk: pa.Table) -> pa.Table:
             row, known = _with_answers(chunk, answered)
             text = _text(row, known, depth, max(0, depth - 1), cut, total, unknown)
             number = chunk.column("chunk")[0].as_py()
             rows = [(kind, d, b, number, keys, numbers) for kind, d, b, keys, numbers in _questions(text, known, depth, n_buckets)]
-            kinds_of = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds_of)], names=[x.split()[0] for x in ASKED.split(", ")])
+            return pa.Table.from_batches([_asked_batch(rows)])
 
         return run
 
