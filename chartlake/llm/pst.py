@@ -235,7 +235,7 @@ ASKED = "kind string, depth int, bucket int, chunk long, keys binary, numbers bi
 TOTALS = ("n", "v", "n1", "n2")
 ANSWERED = f"kind string, depth int, bucket int, chunk long, data binary, {', '.join(f'{x} long' for x in TOTALS)}"
 #: Contexts are asked for by their keys without so many low bits; the answer has the whole keys of the states.
-HIGH = np.uint64(24)
+HIGH, LOW = np.uint64(24), np.uint64((1 << 24) - 1)
 
 
 def _asked_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -270,28 +270,33 @@ def _count_answers(keys: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndar
 
 
 def _state_answers(asked: list[np.ndarray], given: list[np.ndarray], gain: float) -> list[np.ndarray]:
-    """For each chunk the keys of the states that it may ask for, and the mass that each leaves (as 64-bit integers).
+    """For each chunk the states that it may ask for: place among its contexts, low bits of the key, and number and kinds
+    of the repeated sequences that the state begins.
 
-    asked has the sorted high bits of each chunk's contexts; given what each chunk adds to some contexts: key, count, and
-    sums over the sequences that they begin and that the chunk speaks for: n log(n / below), n, below and 1.
+    asked has the sorted high bits of each chunk's contexts; given the place of the first of them among all that the
+    chunk asks for, then what it adds to some contexts: key, count, and sums over the sequences that they begin and that
+    the chunk speaks for: n log(n / below), n, below and 1.
     """
-    parts = np.concatenate([x.reshape(6, -1) for x in given], axis=1)
+    parts = np.concatenate([x[1:].reshape(6, -1) for x in given], axis=1)
     keys, added = parts[0], parts[1:].view(float)
     order = np.argsort(keys, kind="stable")
     first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order][:1]) != 0)
     if not len(first):
-        return [np.zeros(0, np.uint64)] * len(asked)
+        return [np.zeros(0, np.int64)] * len(asked)
     total = added[0][order][first]
     logs, n, below, kinds = (np.add.reduceat(x[order], first) for x in added[1:])
     rest, rest_below = np.maximum(0.0, 1 - n / total), np.maximum(1e-12, 1 - below)
     with np.errstate(divide="ignore", invalid="ignore"):
         divergence = logs - n * np.log(total) + np.where(rest > 0, total * rest * np.log(rest / rest_below), 0.0)
     state = divergence >= gain
-    names, left = keys[order][first][state], (1 - (n - DISCOUNT * kinds) / total)[state]
+    names, n, kinds = keys[order][first][state], n[state].astype(np.int64), kinds[state].astype(np.int64)
+    high, low = names >> HIGH, (names & LOW).astype(np.int64)
     out = []
-    for high in asked:
-        here = np.append(high, ~high[-1:])[np.searchsorted(high, names >> HIGH)] == names >> HIGH
-        out.append(np.concatenate([names[here], left[here].view(np.uint64)]))
+    for own, x in zip(asked, given, strict=True):
+        at = np.searchsorted(own, high)
+        here = np.append(own, ~own[-1:])[at] == high
+        places = np.diff(at[here] + int(x[0]), prepend=0)
+        out.append(np.concatenate([places, low[here], n[here], kinds[here]]))
     return out
 
 
@@ -307,7 +312,7 @@ def _answer(asked: DataFrame, gain: float) -> DataFrame:
             counts, totals = _count_answers(np.concatenate(keys), np.concatenate([_unpack_counts(x) for x in numbers]), least)
             data = [_pack_counts(x) for x in np.split(counts, np.cumsum([len(k) for k in keys])[:-1])]
         else:
-            data = [_packed(x) for x in _state_answers(keys, [_array(x, np.uint64) for x in numbers], gain)]
+            data = [_pack_counts(x) for x in _state_answers(keys, [_array(x, np.uint64) for x in numbers], gain)]
         table = table.select(["kind", "depth", "bucket", "chunk"]).append_column("data", pa.array(data, pa.binary()))
         for name, x in zip(TOTALS, totals, strict=True):
             table = table.append_column(name, pa.array([x, *[0] * (len(data) - 1)], pa.int64()))
@@ -333,8 +338,12 @@ def _with_answers(chunk: pa.Table, answers: pa.Table) -> tuple[dict, dict]:
     row = {n: chunk.column(n)[0].as_py() for n in ("held", "body", "names")}
     parts: dict = {}
     for a in sorted(answers.select(["kind", "depth", "bucket", "data"]).to_pylist(), key=lambda a: (a["kind"], a["depth"], a["bucket"])):
-        parts.setdefault((a["kind"], a["depth"]), []).append(_array(a["data"], np.uint64) if a["kind"] == "state" else _unpack_counts(a["data"]))
-    got = {k: np.concatenate([x.reshape(2, -1) for x in v], axis=1) if k[0] == "state" else np.concatenate(v) for k, v in parts.items()}
+        data = _unpack_counts(a["data"])
+        if a["kind"] == "state":
+            data = data.reshape(4, -1)
+            data[0] = np.cumsum(data[0])
+        parts.setdefault((a["kind"], a["depth"]), []).append(data)
+    got = {k: np.concatenate(v, axis=-1) for k, v in parts.items()}
     return row, got
 
 
@@ -346,10 +355,13 @@ def _text(row: dict, got: dict, levels: int, states: int, cut: float, total: int
         text.counted(level, np.abs(got.get(("count", depth), np.zeros(0, np.int64))))
     for depth in range(1, states + 1):
         left = np.full(len(text.keys[depth - 1]), np.nan)
-        names, mass = got.get(("state", depth), np.zeros((2, 0), np.uint64))
+        places, low, n, kinds = got.get(("state", depth), np.zeros((4, 0), np.int64))
+        asked = text.keys[depth - 1][_asked_contexts(text, depth)]
+        names = asked[places] & ~LOW | low.astype(np.uint64)  # another context may have the same high bits
         place = np.searchsorted(text.keys[depth - 1], names)
         here = np.append(text.keys[depth - 1], np.uint64(0))[place] == names
-        left[place[here]] = mass[here].view(float)
+        place = place[here]
+        left[place] = 1 - (n[here] - DISCOUNT * kinds[here]) / text.counts[depth - 1][place]
         text.stated(depth, left)
     return text
 
@@ -382,8 +394,8 @@ def _questions(text: ChunkText, got: dict, depth: int, n_buckets: int):
         keys = text.keys[depth - 1][asked]
         for b, part in _in_buckets(keys, n_buckets):
             here = slice(*np.searchsorted(context, [asked[part.start], asked[part.stop - 1] + 1]))
-            added = np.concatenate([names[here], *[x[here].view(np.uint64) for x in (counts, *sums)]])
-            yield "state", depth, b, _pack_keys(np.unique(keys[part] >> HIGH)), _packed(added)
+            added = np.concatenate([np.array([part.start], np.uint64), names[here], *[x[here].view(np.uint64) for x in (counts, *sums)]])
+            yield "state", depth, b, _pack_keys(keys[part] >> HIGH), _packed(added)
     if depth < DEPTH:
         level = text.next_level()
         numbers = np.bincount(level.place[text.train[level.spots]], minlength=len(level.keys))
