@@ -1,14 +1,22 @@
 """HTML extraction by two-pass block rules.
 
-Markup is cut into blocks of text. First pass: blocks in containers that hold no article text (menus, headers,
-footers, sidebars, adverts, notices, forms, comments, ...) are boilerplate; of the others, link density, length and
-stop-word density decide, and short or doubtful ones stay open. Second pass: an open block takes the label of the
-nearest decided neighbours; where these disagree at equal distance a heading goes with what follows, and anything else,
-or where there are none, is content inside an <article> or <main> element and boilerplate outside. Neighbours are sought inside the same element first.
-
-Character references are decoded, white space inside a block becomes one space, blocks join by \\n; nothing is cut.
-Null, empty or text-less pages give an empty text. Broken markup never fails: unclosed elements end with their
-parents, an unfinished tag at the end is dropped. Repeated rows each get their text; other columns are kept as they are.
+Markup is cut into blocks of text. First pass: link density, a copyright sign at the start, length and stop-word density
+make a block boilerplate or content; short and doubtful ones stay open. Where the page's text is in no language of the
+stop-word list (or not in Latin letters), length and links alone decide. Second pass: an open block takes the label of
+the nearest decided neighbours; where these disagree at equal distance a heading goes with what follows, and anything
+else, or where there are none, is content inside an <article> or <main> element and boilerplate outside, unless nothing
+on the page is content. Neighbours are sought inside the same element first.
+
+Elements that are no article text by their name (scripts, buttons, ...) are dropped. Containers that usually hold none
+(menus, footers, sidebars, forms, by name or by the words of class, id and role) are judged by what they hold: one that
+has most of the page's content, while no <article> or <main> has text outside such containers, is layout and does not
+count, if it holds such an element or two long content blocks or there is no other text; one marked by a vague part of a longer word ("search-engine-history") counts only if it has no long
+content block. Blocks in the others are boilerplate.
+
+Character references are decoded, white space inside a block becomes one space, blocks join by \\n; nothing is cut and
+pages of any length are read whole. Null, empty or text-less pages give an empty text. Broken markup never fails:
+unclosed elements end with their parents, an unfinished tag at the end is dropped. Repeated rows each get their text;
+other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -34,7 +42,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noframes noembed xmp template".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "caption", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
-NO_TEXT = frozenset("head script style noscript iframe template svg math object canvas audio video select datalist button textarea label fieldset form nav aside footer header menu dialog map".split())
+NO_TEXT = frozenset("head script style noscript iframe template svg math object canvas audio video select datalist button textarea label dialog map".split())
+FURNITURE = frozenset("fieldset form nav aside footer header menu".split())
 CONTENT = frozenset(["article", "main"])
 #: Words of class, id and role values that mark what is not article text.
 MARKS = frozenset(
@@ -42,6 +51,12 @@ MARKS = frozenset(
     "navigation newsletter notice notices pager pagination popup promo promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription "
     "tagcloud toolbar toc widget widgets contentinfo complementary search alert".split()
 )
+#: Of these, what readers write.
+READERS = frozenset("comment comments disqus replies reply respond".split())
+#: Of these, what begins other words too.
+VAGUE = frozenset("alert banner header notice notices related reply respond search share sharing social toc".split())
+#: First parts of a word that say what a layout has or lacks.
+ABOUT = frozenset("has have no non not with without is hide hides show".split())
 #: Frequent words of four languages.
 STOP_WORDS = frozenset(
     "a about all also an and are as at be been but by can for from had has have he her his i if in into is it its more no not of on one or our out she so such than that the their them then there these they this to up "
@@ -56,46 +71,63 @@ _MARKED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=>/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _PARTS = re.compile(r"[a-z]+|\d+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_COPYRIGHT = re.compile(r"\W{0,3}(?:©|\(c\)\s|copyright\b)", re.I)
 
 
 class Block:
-    __slots__ = ("text", "linked", "region", "label", "heading")
+    __slots__ = ("text", "linked", "region", "label", "heading", "boxes")
+
+    def __init__(self, text: str, linked: int, region: int, label: int | None, heading: bool, boxes: tuple):
+        self.text, self.linked, self.region, self.label, self.heading, self.boxes = text, linked, region, label, heading, boxes
+
+
+class Box:
+    """A container that usually holds no article text; weak if only the first part of a longer word says so."""
 
-    def __init__(self, text: str, linked: int, region: int, label: int | None, heading: bool):
-        self.text, self.linked, self.region, self.label, self.heading = text, linked, region, label, heading
+    __slots__ = ("weak", "readers")
 
+    def __init__(self, weak: bool, readers: bool):
+        self.weak, self.readers = weak, readers
 
-def _is_marked(attributes: str) -> bool:
-    if "=" not in attributes and "hidden" not in attributes.lower():
-        return False
-    if _HIDDEN.search(attributes):
-        return True
+
+def _mark(attributes: str) -> Box | None:
+    if "=" not in attributes:
+        return None
+    weak = None
     for groups in _MARKED.findall(attributes):
-        if not MARKS.isdisjoint(_PARTS.findall("".join(groups).lower())):
-            return True
-    return False
+        for word in "".join(groups).lower().split():
+            parts = _PARTS.findall(word)
+            if not parts or len(parts) > 1 and parts[0] in ABOUT:
+                continue
+            found = MARKS.intersection(parts)
+            if found:
+                box = Box(found <= VAGUE and parts[-1] not in MARKS and len(parts) > 2, not READERS.isdisjoint(found))
+                if not box.weak:
+                    return box
+                weak = box
+    return weak
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks in page order; label 0 where a container rules them out, else None; region 0 is outside <article> and <main>."""
+    """Blocks in page order, without those of dropped elements; region 0 is outside <article> and <main>."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, ruled out, region
+    stack: list[tuple[str, bool, int, tuple]] = []  # name, dropped, region, boxes
     parts: list[str] = []
     linked = anchors = regions = 0
-    ruled, region, breaks = False, 0, 0
+    dropped, region, breaks, boxes = False, 0, 0, ()
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
-        if text:
-            out.append(Block(text, linked, region, 0 if ruled else None, any(x[0] in HEADINGS for x in stack)))
+        if text and not dropped:
+            out.append(Block(text, linked, region, None, any(x[0] in HEADINGS for x in stack), boxes))
         parts.clear()
         linked = 0
 
     def leave(keep: int) -> None:
-        nonlocal ruled, region, anchors
+        nonlocal dropped, region, boxes, anchors
         del stack[keep:]
-        ruled, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        dropped, region, boxes = stack[-1][1:] if stack else (False, 0, ())
         anchors = sum(x[0] == "a" for x in stack)
 
     def add(raw: str) -> None:
@@ -169,13 +201,17 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if stack[k][0] in BLOCKS:
                     break
+        dropped = dropped or name in NO_TEXT or bool(_HIDDEN.search(attributes))
+        box = None if name in ("body", "html", "article", "main") else _mark(attributes)
         # a heading group inside the article is part of it
-        out_of_text = name in NO_TEXT and not (name == "header" and region) or name not in ("body", "html", "article", "main") and _is_marked(attributes)
-        ruled = ruled or out_of_text
-        if name in CONTENT and not ruled:
+        if name in FURNITURE and not (name == "header" and region and not box):
+            box = Box(False, bool(box and box.readers))
+        if box:
+            boxes = (*boxes, box)
+        if name in CONTENT and not dropped:
             regions += 1
             region = regions
-        stack.append((name, ruled, region))
+        stack.append((name, dropped, region, boxes))
         anchors += name == "a"
     flush()
     return out
@@ -189,22 +225,70 @@ def stop_density(text: str) -> float:
     return hits / len(words)
 
 
+def _latin(text: str) -> bool:
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c < "\u0250" for c in letters) >= len(letters)
+
+
+def first_pass(blocks: list[Block]) -> list[int | None]:
+    """1 (content), 0 (boilerplate) or None (open) by each block's own text."""
+    densities = [stop_density(b.text) if len(b.text) >= SHORT and _latin(b.text) else None for b in blocks]
+    known = any(d is not None and d >= SPARSE for d in densities)  # the page is in a language of the list
+    out: list[int | None] = []
+    for b, density in zip(blocks, densities, strict=True):
+        size, label = len(b.text), None
+        if b.linked > LINKS * (size - b.text.count(" ")) or not b.region and _COPYRIGHT.match(b.text):
+            label = 0
+        elif density is None and size >= SHORT // 2 and not _latin(b.text):
+            label = 1
+        elif density is not None and not known:
+            label = 1 if size >= LONG else None
+        elif density is not None:
+            if density >= DENSE or size >= LONG and density >= SPARSE:
+                label = 1
+            elif size >= LONG and not b.region and density < SPARSE:
+                label = 0
+        out.append(label)
+    return out
+
+
+def furniture(blocks: list[Block], first: list[int | None]) -> set[Box]:
+    """The boxes that count: those which do not hold the page's content."""
+    held: dict[Box, int] = {}
+    long_ones: dict[Box, int] = {}
+    regions: set[Box] = set()
+    total = 0
+    others = [b for b, label in zip(blocks, first, strict=True) if not b.boxes and label != 0]
+    free = any(b.region for b in others)
+    for b, label in zip(blocks, first, strict=True):
+        size = len(b.text) if label == 1 else 0
+        total += size
+        for box in b.boxes:
+            held[box], long_ones[box] = held.get(box, 0) + size, long_ones.get(box, 0) + (size >= LONG)
+            if b.region:
+                regions.add(box)
+
+    def layout(box: Box) -> bool:
+        if box.weak and long_ones[box]:
+            return True
+        if free or not held[box] or others and box not in regions and long_ones[box] < 2:
+            return False
+        return held[box] == total if box.readers else 2 * held[box] > total
+
+    return {box for box in held if not layout(box)}
+
+
 def classify(blocks: list[Block]) -> None:
     """Sets every label to 1 (content) or 0."""
-    first = []
-    for b in blocks:
-        if b.label is None:
-            size = len(b.text)
-            solid = size - b.text.count(" ")
-            if b.linked > LINKS * solid:
-                b.label = 0
-            elif size >= SHORT:
-                density = stop_density(b.text)
-                if density >= DENSE or size >= LONG and density >= SPARSE:
-                    b.label = 1
-                elif size >= LONG and not b.region and density < SPARSE:
-                    b.label = 0
-        first.append(b.label)
+    first = first_pass(blocks)
+    shut = furniture(blocks, first)
+    first = [0 if not shut.isdisjoint(b.boxes) else label for b, label in zip(blocks, first, strict=True)]
+    # beside an article that has content, what is short takes its label from its neighbours
+    if any(label == 1 and b.region for b, label in zip(blocks, first, strict=True)):
+        first = [None if label == 1 and not b.region and len(b.text) < LONG else label for b, label in zip(blocks, first, strict=True)]
+    nothing = 1 not in first
+    for b, label in zip(blocks, first, strict=True):
+        b.label = label
     n = len(blocks)
     before: list[tuple[int, int] | None] = [None] * n
     after: list[tuple[int, int] | None] = [None] * n
@@ -219,9 +303,9 @@ def classify(blocks: list[Block]) -> None:
         if b.label is None:
             near = [x for x in (before[i], after[i]) if x]
             if not near or len(near) == 2 and near[0][0] == near[1][0] and near[0][1] != near[1][1]:
-                b.label = near[1][1] if b.heading and len(near) == 2 else int(b.region > 0)
+                b.label = near[1][1] if b.heading and len(near) == 2 else int(b.region > 0 or nothing)
             else:
-                b.label = min(near)[1]
+                b.label = int(nothing or min(near)[1])
 
 
 def main_text(page: str | None) -> str:

@@ -1,10 +1,14 @@
 """MPEG audio columns and HTML extraction."""
 
 import hashlib
+import re
 import random
 import struct
 import zlib
 
+from collections import Counter
+
+import pyarrow.parquet as pq
 import pytest
 
 from chartlake.llm import audio, html_extract
@@ -94,6 +98,40 @@ def test_broken(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG = f"{ARTICLE} {ARTICLE}"
+JAPANESE = "東京は日本の首都であり、人口が多く、経済と文化の中心として知られている。" * 8
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<form><div>{LONG}</div><article><p>{LONG}</p></article><aside>{ARTICLE}</aside></form>", LONG),
+    (f"<div class='layout has-sidebar'><article><p>{LONG}</p></article><div class=sidebar>{ARTICLE}</div></div>", LONG),
+    (f"<div class='no-sidebar'><main><p>{LONG}</p></main></div>", LONG),
+    (f"<article><p>{ARTICLE}</p><div class='search-engine-history'><p>{LONG}</p></div></article>", f"{ARTICLE}\n{LONG}"),
+    (f"<div id='widget-page'><p>{LONG}</p><p>{LONG}</p></div><div>{ARTICLE}</div>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{ARTICLE}</p></article><div id=comments><article><p>{LONG}</p></article><p>{LONG}</p></div>", ARTICLE),
+    (f"<div><p>{LONG}</p></div><section class='comment-list'><p>{LONG}</p><p>{LONG}</p></section>", LONG),
+    (f"<p>{JAPANESE}</p>", JAPANESE), ("<p>Yes it is so.</p>", "Yes it is so."), (f"<nav>{ARTICLE}</nav><p>Yes it is so.</p>", "Yes it is so."),
+])
+def test_containers_are_judged_by_what_they_hold(page, text):
+    if page.startswith("<form>"):  # a page-wide form is layout; text beside the article is not part of it unless it is long
+        page = page.replace(f"<div>{LONG}</div>", "<div>Menu of it</div>")
+    if page.startswith("<div id='widget-page'>"):
+        page = page.replace(f"<div>{ARTICLE}</div>", "<div><a href=x>more of it</a></div>")
+    assert html_extract.main_text(page) == text
+
+
+def test_rules_without_names(sf):
+    """Without class, id and role values the rules find nearly the same words; with plain div elements most of them."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist()
+
+    def f1(a, b):
+        a, b = Counter(a.split()), Counter(b.split())
+        return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+    for least, change in ((0.98, lambda h: re.sub(r'((?:class|id|role)=)"[^"]*"', r'\1""', h)), (0.9, lambda h: re.sub(r"<(/?)(?:nav|article|footer|aside|header|section|main)\b", r"<\1div", re.sub(r'(?:class|id|role)="[^"]*"', "", h)))):
+        assert sum(f1(html_extract.main_text(change(h)), html_extract.main_text(h)) for h in pages) / len(pages) >= least
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, None), (3, "u", "<article>" + "word " * 300_000, "x"), (3, "u", "<article>" + "<div>" * 5000 + "deep", "x")], "page_id long, url string, html string, text string")
     rows = html_extract.extract_text(df).collect()
