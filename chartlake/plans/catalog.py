@@ -316,9 +316,29 @@ def _anchor_query(spark: SparkSession, sf: str, **how) -> DataFrame:
     return _out(search.anchor_search(search.assign_anchors(points(spark, sf), anchors), held, query_vector(spark, sf), 10, **how), "vec_id", "distance")
 
 
-@_register(_PROBE.format(t="list_distance(v, qv)") + " SELECT vec_id, round(list_distance(v, qv), 6) AS distance FROM cand ORDER BY list_distance(v, qv), vec_id LIMIT 10")
+@_register(f"{_P} SELECT vec_id, round(list_distance(v, qv), 6) AS distance FROM p, q ORDER BY list_distance(v, qv), vec_id LIMIT 10")
 def anchor_search_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return _anchor_query(spark, sf)
+    """The exact neighbours by the index, whose cells the triangle inequality rules out."""
+    anchors = _anchors(spark, sf)
+    held = [(r[0], list(r[1])) for r in anchors.collect()]
+    return _out(search.anchor_knn(search.assign_anchors(points(spark, sf), anchors), held, query_vector(spark, sf), 10), "vec_id", "distance")
+
+
+_RECALL = f"{_ANCHORS}, qs AS (SELECT vec_id AS query_id, v AS w FROM p WHERE vec_id % 20 = 0), tr AS (SELECT query_id, vec_id FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(w, v), vec_id) AS r FROM qs, p) WHERE r <= 10), rk AS (SELECT query_id, anchor_id, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(w, base), anchor_id) AS probes FROM qs, a), h AS (SELECT probes, count(*) AS hits FROM tr JOIN n USING (vec_id) JOIN rk USING (query_id, anchor_id) GROUP BY probes), pr AS (SELECT probes, sum(coalesce(hits, 0)) OVER (ORDER BY probes) / (SELECT sum(hits) FROM h) AS recall FROM (SELECT DISTINCT probes FROM rk) LEFT JOIN h USING (probes))"
+
+
+@_register(f"{_RECALL} SELECT probes::INT AS probes, round(recall, 6) AS recall FROM pr")
+def anchor_probe_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of the index against brute force by number of probes, over the rows whose id 20 divides."""
+    p = points(spark, sf)
+    return _out(search.probe_recall(p, _anchors(spark, sf), _queries_of(p)), "probes", "recall", rounded="recall")
+
+
+@_register(f"{_RECALL} SELECT min(probes)::INT AS probes, round(min(recall), 6) AS recall FROM pr WHERE recall >= 0.9 - 1e-12")
+def anchor_search_probes(spark: SparkSession, sf: str) -> DataFrame:
+    """The number of probes to search with, by measured recall of at least 0.9."""
+    measured = search.probe_recall(points(spark, sf), _anchors(spark, sf), _queries_of(points(spark, sf)))
+    return _out(measured.where(F.col("probes") == search.probes_for(measured)), "probes", "recall", rounded="recall")
 
 
 @_register(_PROBE.format(t=_TANGENT) + " SELECT vec_id, round(t + 0.5 * qd * qd, 6) AS distance FROM cand ORDER BY t + 0.5 * qd * qd, vec_id LIMIT 10")

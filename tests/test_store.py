@@ -305,3 +305,58 @@ def test_batch_distances_in_blocks(spark, monkeypatch):
 def test_chart_ties(spark):
     two = spark.createDataFrame([(1, 0, 0.5, 1), (1, 3, 0.5, 2), (2, 3, 0.1, 1), (2, 0, 1.1, 2), (3, 4, 0.0, 1)], "vec_id int, chart_id int, residual double, rank int")
     assert [(r["i"], r["j"], round(r["w"], 6)) for r in atlas.chart_ties(two).collect()] == [(0, 3, round(1 + float(np.exp(-1.0)), 6))]
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e7])
+def test_far_from_the_origin(spark, offset):
+    """Exact neighbours and anchors whatever the offset of the data."""
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(1500, 8)) + offset
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "vec_id long, vector array<double>")
+    d = np.sqrt(((data[:, None, :] - data[None, ::30, :]) ** 2).sum(-1))
+    queries = points.where("vec_id % 30 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in search.knn_batch(points, queries, 7).collect()}
+    assert all(got[30 * j, k + 1] == i for j in range(50) for k, i in enumerate(np.lexsort((np.arange(1500), d[:, j]))[:7]))
+    anchors = points.where("vec_id % 30 = 0").select(F.col("vec_id").alias("anchor_id"), F.col("vector").alias("base"))
+    cells = {r["vec_id"]: r["anchor_id"] for r in search.assign_anchors(points, anchors).collect()}
+    assert all(cells[i] == 30 * int(np.argmin(d[i])) for i in range(1500))
+
+
+def test_batch_neighbours_with_ties_and_names(spark):
+    """Many equal rows, names as ids, more queries than a slice and no row of one's own."""
+    rng = np.random.default_rng(6)
+    data = rng.integers(0, 3, size=(1300, 3)).astype(float)
+    points = spark.createDataFrame([(f"n{i:05d}", x.tolist()) for i, x in enumerate(data)] + [("none", None)], "vec_id string, vector array<double>").repartition(3)
+    for metric, norm in (("euclidean", lambda x: np.sqrt((x**2).sum(-1))), ("manhattan", lambda x: np.abs(x).sum(-1))):
+        near = search.knn_batch(points, points.select(F.col("vec_id").alias("query_id"), "vector"), 4, metric, drop_self=True).collect()
+        got = {(r["query_id"], r["rank"]): r["vec_id"] for r in near}
+        for j in range(0, 1300, 97):
+            order = [i for i in np.lexsort((np.arange(1300), norm(data - data[j]))) if i != j][:4]
+            assert [got[f"n{j:05d}", k + 1] for k in range(4)] == [f"n{i:05d}" for i in order]
+
+
+def test_index_recall(spark):
+    """With the probes that the measurement asks for, nine in ten true neighbours are found; the bounded search finds all."""
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(30, 6))[rng.integers(0, 30, 2000)] * 3 + rng.normal(size=(2000, 6))
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "vec_id long, vector array<double>")
+    anchors = points.where("vec_id % 50 = 0").select(F.col("vec_id").alias("anchor_id"), F.col("vector").alias("base"))
+    assigned, held = search.assign_anchors(points, anchors).cache(), [(r[0], list(r[1])) for r in anchors.collect()]
+    measured = search.probe_recall(points, anchors, points.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector"))
+    probes = search.probes_for(measured)
+    assert probes < 40 and measured.count() == 40
+    hits = 0
+    for j in range(7, 2000, 200):
+        truth = set(np.argsort(np.linalg.norm(data - data[j], axis=1))[:10].tolist())
+        assert {r["vec_id"] for r in search.anchor_knn(assigned, held, data[j].tolist(), 10).collect()} == truth
+        hits += len(truth & {r["vec_id"] for r in search.anchor_search(assigned, held, data[j].tolist(), 10, probes).collect()})
+    assert hits >= 85
+    assigned.unpersist()
+
+
+def test_sides_are_checked_in_bytes(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [[1.0] * 8] * 8) for i in range(4)], "id int, m array<array<double>>")
+    assert len(search.small_side(rows)) == 4
+    monkeypatch.setattr(search, "MAX_SIDE_BYTES", 1000)
+    with pytest.raises(ValueError):
+        search.small_side(rows)
