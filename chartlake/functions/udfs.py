@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import geometry as G
+from . import vectors as V
 
 
 def _vectorised(kernel, returns: str, arity: int = 2):
@@ -53,6 +54,51 @@ def geodesic_distance(metric: str, a: Column, b: Column) -> Column:
     return _vectorised(partial(G.geodesic_distance, G.METRICS[metric]), "double")(a, b)
 
 
+def chord(metric: str, a: Column, b: Column) -> Column:
+    return _vectorised(partial(G.chord, G.METRICS[metric]), "double")(a, b)
+
+
+def geodesic_path(metric: str, a: Column, b: Column, steps: int) -> Column:
+    """The points of the path one after another."""
+    return _vectorised(lambda x, y: G.geodesic_path(G.METRICS[metric], x, y, steps).reshape(len(x), -1), "array<double>")(a, b)
+
+
+def exp_adaptive(metric: str, point: Column, velocity: Column) -> Column:
+    """End of the geodesic by adaptive steps, then its arc length."""
+
+    def run(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        end, _, arc = G.solve_adaptive(G.METRICS[metric], x, v)
+        return np.concatenate([end, arc[:, None]], axis=1)
+
+    return _vectorised(run, "array<double>")(point, velocity)
+
+
+def mean_curvature(metric: str, point: Column) -> Column:
+    return _vectorised(lambda x: np.array([G.mean_curvature(G.METRICS[metric], p) for p in x]), "array<double>", 1)(point)
+
+
+def named(metric: str):
+    """The distance of that name for two columns: 'geodesic:sphere', 'curvature:sphere', 'chord:sphere' (any metric of
+    geometry.METRICS), 'wasserstein' (weights on a line), 'log_euclidean' (square matrices as flattened rows), or a
+    closed form of vectors.METRICS."""
+    kind, _, space = metric.partition(":")
+    curved = {"geodesic": geodesic_distance, "curvature": curvature_corrected, "chord": chord}
+    if space:
+        if kind not in curved or space not in G.METRICS:
+            raise ValueError(f"unknown metric {metric!r}")
+        return lambda a, b: curved[kind](space, a, b)
+    if metric == "wasserstein":
+        return wasserstein
+    if metric == "log_euclidean":
+
+        def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            dim = int(round(x.shape[1] ** 0.5))
+            return np.array([G.log_euclidean(m.reshape(dim, dim), n.reshape(dim, dim)) for m, n in zip(x, y, strict=True)])
+
+        return _vectorised(distance, "double")
+    return V.distance(metric)
+
+
 def curvature_corrected(metric: str, a: Column, b: Column) -> Column:
     return _vectorised(partial(G.curvature_corrected, G.METRICS[metric]), "double")(a, b)
 

@@ -97,16 +97,19 @@ def find_chart(points: DataFrame, boxes: DataFrame, centroids: DataFrame, group:
 # Fits: sums are aggregated by Spark, only D x D matrices reach the driver.
 
 
+#: Numbers that grouped_moments brings to the driver at most.
+MOST_CELLS = 4_000_000
 Moments = tuple[int, np.ndarray, np.ndarray, np.ndarray]
 
 
 def grouped_moments(points: DataFrame, group: Column, dim: int, vec: str = "vector", other: str | None = None, dim_other: int | None = None) -> dict:
     """group -> (n, mean, mean of other, sum of other_i * vec_j); other defaults to vec.
 
-    Tasks sum whole batches by matrix products, Spark adds the cells up; a few thousand numbers per group come back.
+    Tasks sum whole batches by matrix products, Spark adds the cells up; a few thousand numbers per group come back, of
+    at most MOST_CELLS in all. Rows without a group are left out.
     """
     other, m = other or vec, dim_other or dim
-    rows = points.where(F.col(vec).isNotNull() & F.col(other).isNotNull()).select(group.alias("g"), F.col(vec).alias("x"), F.col(other).alias("y"))
+    rows = points.where(F.col(vec).isNotNull() & F.col(other).isNotNull() & group.isNotNull()).select(group.alias("g"), F.col(vec).alias("x"), F.col(other).alias("y"))
     width = 1 + dim + m + m * dim
 
     def run(batches):
@@ -114,16 +117,22 @@ def grouped_moments(points: DataFrame, group: Column, dim: int, vec: str = "vect
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            keys = np.array(batch.column(0).to_pylist(), dtype=object)
+            coded = batch.column(0).dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
             x, y = (np.array(batch.column(i).to_pylist(), float) for i in (1, 2))
-            for k in set(keys.tolist()):
-                at = np.array([q == k for q in keys])
-                sums[k] += np.concatenate([[at.sum()], x[at].sum(0), y[at].sum(0), (y[at].T @ x[at]).ravel()])
+            order = np.argsort(codes, kind="stable")
+            ends = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+            for k, (lo, hi) in zip(coded.dictionary.to_pylist(), zip(ends, ends[1:], strict=False), strict=True):
+                at = order[lo:hi]
+                sums[k] += np.concatenate([[len(at)], x[at].sum(0), y[at].sum(0), (y[at].T @ x[at]).ravel()])
         for k, values in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * width, kind), pa.array(np.arange(width, dtype=np.int32)), pa.array(values)], ["g", "cell", "s"])
 
     kind = rows.schema["g"].dataType.simpleString()
-    cells = rows.mapInArrow(run, f"g {kind}, cell int, s double").groupBy("g", "cell").agg(F.sum("s").alias("s")).collect()
+    cells = rows.mapInArrow(run, f"g {kind}, cell int, s double").groupBy("g", "cell").agg(F.sum("s").alias("s"))
+    cells = cells.limit(MOST_CELLS + 1).collect()
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"the moments of all groups are more than {MOST_CELLS} numbers")
     found: dict = defaultdict(lambda: np.zeros(width))
     for r in cells:
         found[r["g"]][r["cell"]] = r["s"]

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from . import search
+from .lineage import numbered
 
 
 def neighbour_distances(points: DataFrame, k: int, id_col: str = "vec_id", vec: str = "vector") -> DataFrame:
@@ -55,12 +55,16 @@ def nn_statistics(near: DataFrame) -> DataFrame:
 
 
 def latency_summary(rows: DataFrame, kind: str, value: str) -> DataFrame:
-    """Per kind: count, sum, mean, median, p95 = sorted[floor(0.95 n)], min, max and rows per unit of time."""
-    order = Window.partitionBy(kind).orderBy(value)
-    numbered = rows.where(F.col(value).isNotNull()).select(kind, value, (F.row_number().over(order) - 1).alias("r"), F.count("*").over(Window.partitionBy(kind)).alias("c"))
-    v = F.col(value)
-    return numbered.groupBy(kind).agg(
-        F.count("*").alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.max(F.when(F.col("r") == F.least(F.floor(F.col("c") * 0.95), F.col("c") - 1), v)).alias("p95"), F.min(v).alias("least"), F.max(v).alias("most"), (F.count("*") / F.sum(v)).alias("rate")
+    """Per kind: count, sum, mean, median, p95 and p99 = sorted[floor(share * n)], min, max and rows per unit of time."""
+    placed = numbered(rows.where(F.col(value).isNotNull()).select(kind, value), kind, [F.col(value)])
+    v, r, n = F.col(value), F.col("r"), F.col("r_of")
+
+    def at(share: float) -> Column:
+        return F.max(F.when(r == F.least(F.floor(n * share), n - 1), v))
+
+    middle = (F.max(F.when(r == F.floor((n - 1) / 2), v)) + F.max(F.when(r == F.ceil((n - 1) / 2), v))) / 2
+    return placed.groupBy(kind).agg(
+        F.count("*").alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), middle.alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.min(v).alias("least"), F.max(v).alias("most"), (F.count("*") / F.sum(v)).alias("rate")
     )
 
 
@@ -68,12 +72,25 @@ def local_pca(points: DataFrame, k: int = 20, id_col: str = "vec_id", vec: str =
     """(query_id, mean, eigenvalues, residual share beyond the first two) of every point's neighbourhood."""
     near = neighbour_distances(points, k, id_col, vec).select("query_id", id_col).join(points.select(id_col, vec), id_col)
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(rows[vec].tolist(), float)
-        values = np.linalg.eigvalsh(np.cov(x, rowvar=False, bias=True))[::-1].clip(0)
-        return pd.DataFrame([{"query_id": rows["query_id"].iloc[0], "mean": x.mean(0).tolist(), "eigenvalues": values.tolist(), "rest": float(values[2:].sum() / max(values.sum(), 1e-300))}])
-
-    return near.groupBy("query_id").applyInPandas(fit, "query_id long, mean array<double>, eigenvalues array<double>, rest double")
+    # a point has k neighbours, so the groups are small; batches of them go through one matrix call
+    local = near.groupBy("query_id").agg(F.collect_list(vec).alias("x"))
+    kind = points.schema[id_col].dataType.simpleString()
+
+    def fit(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                out = []
+                for rows in part.column(1).to_pylist():
+                    x = np.array(rows, float)
+                    values = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2 / len(x)
+                    values = np.concatenate([values, np.zeros(max(0, x.shape[1] - len(values)))])
+                    out.append((x.mean(0).tolist(), values.tolist(), float(values[2:].sum() / max(values.sum(), 1e-300))))
+                if out:
+                    mean, values, rest = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(mean, pa.list_(pa.float64())), pa.array(values, pa.list_(pa.float64())), pa.array(rest, pa.float64())], ["query_id", "mean", "eigenvalues", "rest"])
+
+    return local.mapInArrow(fit, f"query_id {kind}, mean array<double>, eigenvalues array<double>, rest double")
 
 
 def dim_local_pca(local: DataFrame, share: float = 0.95) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from . import search
@@ -28,20 +28,38 @@ def inverse_quadratic(r: Column, sigma: Column) -> Column:
     return 1.0 / (1.0 + (r / sigma) * (r / sigma))
 
 
-def rbf_metric(points: DataFrame, anchors: DataFrame, near: int = 5, id_col: str = "vec_id", vec: str = "vector") -> DataFrame:
-    """(id, g): diagonal of the metric interpolated from the nearest anchors (anchor_no, coords, g, weight, sigma).
+def rbf_metric(points: DataFrame, anchors: DataFrame, near: int = 5, id_col: str = "vec_id", vec: str = "vector", full: bool = False) -> DataFrame:
+    """(id, g): the metric interpolated from the nearest anchors (anchor_no, coords, g, weight, sigma); no shuffle.
 
-    Weights are weight * exp(-(r / sigma)^2 / 2); where they sum to less than 1e-30 the metric is the identity.
+    g is a diagonal, or with full a matrix as flattened rows. Weights are weight * exp(-(r / sigma)^2 / 2); where they
+    sum to at most 1e-30, or without anchors, the metric is the identity.
     """
-    pairs = points.select(id_col, vec).crossJoin(search.checked(anchors)).withColumn("r", V.euclidean(F.col(vec), F.col("coords")))
-    order = Window.partitionBy(id_col).orderBy("r", "anchor_no")
-    close = pairs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= near)
-    close = close.withColumn("w", F.col("weight") * gaussian(F.col("r"), F.col("sigma")))
-    parts = close.select(id_col, "w", F.posexplode("g").alias("axis", "x"))
-    sums = parts.groupBy(id_col, "axis").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("x")).alias("swx"))
-    cell = F.when(F.col("sw") > 1e-30, F.col("swx") / F.col("sw")).otherwise(1.0)
-    rows = sums.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("axis", cell.alias("x")))).alias("g"))
-    return rows.select(id_col, F.transform("g", lambda c: c["x"]).alias("g"))
+    held = sorted(search.small_side(anchors.select("anchor_no", "coords", "g", "weight", "sigma")), key=lambda r: r["anchor_no"])
+    rows = points.where(F.col(vec).isNotNull()).select(id_col, vec)
+    if not held:
+        n = F.size(vec)
+        cells = F.sequence(F.lit(0), (n * n if full else n) - 1)
+        return rows.select(id_col, F.transform(cells, lambda i: F.when((i % (n + 1) == 0) if full else F.lit(True), 1.0).otherwise(0.0)).alias("g"))
+    arrays = [np.array([r[c] for r in held], float) for c in ("coords", "g", "weight", "sigma")]
+    sent, near = points.sparkSession.sparkContext.broadcast(arrays), min(near, len(held))
+
+    def run(batches):
+        coords, g, weight, sigma = sent.value
+        one = np.eye(coords.shape[1]).ravel() if full else np.ones(g.shape[1])
+        size = max(1, 4_000_000 // coords.size)
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                x = np.array(part.column(1).to_pylist(), float)
+                r = np.sqrt(((x[:, None, :] - coords[None, :, :]) ** 2).sum(-1))
+                close = np.argsort(r, axis=1, kind="stable")[:, :near]  # ties: the lower anchor
+                w = weight[close] * np.exp(-0.5 * (np.take_along_axis(r, close, 1) / sigma[close]) ** 2)
+                total = w.sum(1, keepdims=True)
+                out = np.where(total > 1e-30, (w[:, :, None] * g[close]).sum(1) / np.maximum(total, 1e-300), one[None, :])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out.tolist(), pa.list_(pa.float64()))], [id_col, "g"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"{id_col} {kind}, g array<double>")
 
 
 def anchor_sigmas(coords: Sequence[Sequence[float]], nth: int = 3, floor: float = 1e-6) -> list[float]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from .lineage import numbered
 
 def _along():
     return Window.partitionBy("path_id").orderBy("step")
@@ -88,5 +89,7 @@ def centroid_drift(rows: DataFrame, step: str, vec: str, dim: int) -> DataFrame:
     """(step, centroid, drift): mean vector of each time step and its distance from the previous step's."""
     means = rows.groupBy(step).agg(*[F.avg(F.get(F.col(vec), F.lit(i))).alias(f"c{i}") for i in range(dim)])
     means = means.select(step, F.array(*[f"c{i}" for i in range(dim)]).alias("centroid"))
-    before = F.lag("centroid").over(Window.orderBy(step))  # one row per time step
-    return means.withColumn("drift", F.coalesce(V.euclidean(F.col("centroid"), before), F.lit(0.0)))
+    placed = numbered(means, None, [F.col(step)]).drop("r_of")
+    before = placed.select((F.col("r") + 1).alias("r"), F.col("centroid").alias("__before"))
+    means = placed.join(before, "r", "left").drop("r")
+    return means.withColumn("drift", F.coalesce(V.euclidean(F.col("centroid"), F.col("__before")), F.lit(0.0))).drop("__before")

@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import search
+from .lineage import checkpointed
 
 #: Vectors that are iterated together, and products between two Rayleigh-Ritz steps.
 BLOCK, POWERS = 8, 4
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder of spark.checkpoint.dir; only where that is unset (local tests), one of our own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or Path(tempfile.mkdtemp(prefix="checkpoints-")).as_uri())
-    done = df.checkpoint(eager=True)._jdf
-    # without the size estimate that a checkpoint hands on: joins multiply it, so it gets twice the digits each round
-    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(done.toJavaRDD(), done.schema()), df.sparkSession)
-
-
 def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 24) -> DataFrame:
     """(id, community) by rounds of local moves of modularity gain, then the same on the graph of communities.
 

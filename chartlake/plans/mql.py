@@ -19,8 +19,9 @@ from enum import Enum
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import udfs
 from ..functions import vectors as V
-from ..operators import search
+from ..operators import curved, search
 
 
 class QueryType(Enum):
@@ -322,7 +323,11 @@ class Engine:
 
     def _select(self, q: Query) -> DataFrame:
         rows = self._points(q)
-        if q.point is not None:
+        if q.point is not None and q.metric.startswith("geodesic:") and q.limit and not q.order_by and q.operator in ("<", "<="):
+            # two stages: the exact distance is only solved for the nearest by the chord
+            rows = curved.knn(rows, q.point, q.limit, q.metric.partition(":")[2], id_col=self.id, vec=q.column)
+            rows = rows if q.epsilon is None else rows.where(self._holds(q, F.col("distance")))
+        elif q.point is not None:
             rows = search.with_distance(rows, V.literal(q.point), q.metric, q.column)
             if q.epsilon is not None:
                 rows = rows.where(self._holds(q, F.col("distance")))
@@ -358,7 +363,7 @@ class Engine:
             raise QueryError("a cross-modal query needs a point (NEAR [..] or the builder)")
         moved = self._map(q.modality, q.target_modality)(V.literal(q.point))
         rows = self._points(q).where(F.col("modality") == q.target_modality)
-        return search.top_k(rows.withColumn("distance", V.distance(q.metric)(F.col(q.column), moved)), q.k, id_col=self.id)
+        return search.top_k(rows.withColumn("distance", udfs.named(q.metric)(F.col(q.column), moved)), q.k, id_col=self.id)
 
     def _transport(self, q: Query) -> DataFrame:
         one = self.spark.range(1).select(F.lit(0).cast("long").alias(self.id), F.lit(0.0).alias("distance"))
