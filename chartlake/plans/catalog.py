@@ -19,6 +19,8 @@ from . import mql
 DIM, AMBIENT = 8, 64
 DIAGONAL = tuple(1.0 + (i % 4) / 4 for i in range(AMBIENT))
 ROTATION = tuple(tuple(1.0 if j == (i + 1) % DIM else 0.0 for j in range(DIM)) for i in range(DIM))
+#: The same with one axis turned round, so that it is a rotation without reflection.
+PROPER = tuple(tuple(-x for x in row) if i == DIM - 1 else row for i, row in enumerate(ROTATION))
 SHIFT = tuple(0.01 * i for i in range(DIM))
 EDGES = tuple((i, (3 * i + 1) % 10) for i in range(10) if i != (3 * i + 1) % 10)
 RADII = (1.1, 1.2, 1.3, 1.4)
@@ -58,6 +60,11 @@ def _local(dim: int = DIM, vec: str = "vector"):
     return F.slice(F.col(vec), 1, dim)
 
 
+def _neat(col: str, digits: int):
+    """Rounded, and without negative zeros."""
+    return F.transform(col, lambda x: F.round(x, digits) + F.lit(0.0)).alias(col)
+
+
 def _out(df: DataFrame, *cols: str, rounded: str = "distance") -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if c in rounded.split() else F.col(c) for c in cols])
 
@@ -221,11 +228,12 @@ def sinkhorn_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("i").alias("a"), F.col("j").alias("b"), udfs.sinkhorn(F.col("a"), F.col("b")).alias("cost"), udfs.wasserstein(F.col("a"), F.col("b")).alias("w2"))
 
 
-@_register()
+@_register(f"{_P}, m AS (SELECT vec_id, 1 + abs(v[1]) AS a, v[2] / 4 AS b, 1 + abs(v[3]) AS c FROM p), e AS (SELECT vec_id, (a + c) / 2 AS t, sqrt(((a - c) / 2) ** 2 + b * b) AS r FROM m) SELECT vec_id, round(sqrt(ln(t + r) ** 2 + ln(t - r) ** 2), 6) AS distance FROM e")
 def log_euclidean_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Distance of a 2 x 2 matrix to the identity, by its name in the query language."""
     spd = F.array(1 + F.abs(F.get("vector", F.lit(0))), F.get("vector", F.lit(1)) / 4, F.get("vector", F.lit(1)) / 4, 1 + F.abs(F.get("vector", F.lit(2))))
-    rows = points(spark, sf).select("vec_id", spd.alias("m"))
-    return rows.select("vec_id", udfs.log_euclidean(F.col("m"), F.array(*[F.lit(x) for x in (1.0, 0.0, 0.0, 1.0)]), 2).alias("distance"))
+    engine = mql.Engine(spark, {"points": points(spark, sf).select("vec_id", spd.alias("vector"))})
+    return _out(engine.sql("SELECT vec_id, distance FROM points USING METRIC log_euclidean WHERE geodesic_distance(vector, [1, 0, 0, 1]) < 100"), "vec_id", "distance")
 
 
 # Charts and anchors (C, S13-S15, T).
@@ -361,10 +369,18 @@ def anomaly_residual(spark: SparkSession, sf: str) -> DataFrame:
     return _out(search.coverage(points(spark, sf), _anchors(spark, sf), 32, 1.0).where("not covered"), "vec_id", "error", rounded="error")
 
 
-@_register()
+def _fps_sql(n: int) -> str:
+    """Each round adds the point farthest from those chosen so far (ties: lowest id)."""
+    parts = [f"{_P}, c0 AS (SELECT 0 AS ordinal, vec_id, v AS b FROM p WHERE vec_id = 0), m0 AS (SELECT p.vec_id, v, list_distance(v, b) AS g FROM p, c0)"]
+    for k in range(1, n):
+        parts.append(f"c{k} AS (SELECT {k} AS ordinal, vec_id, v AS b FROM m{k - 1} ORDER BY g DESC, vec_id LIMIT 1), m{k} AS (SELECT m.vec_id, v, least(g, list_distance(v, b)) AS g FROM m{k - 1} m, c{k})")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT ordinal::INT AS ordinal, vec_id, list_transform(b, lambda x: round(x, 6) + 0) AS base FROM c{k}" for k in range(n))
+
+
+@_register(_fps_sql(8))
 def fps_anchors(spark: SparkSession, sf: str) -> DataFrame:
     chosen = search.farthest_points(points(spark, sf), 8, 0)
-    return spark.createDataFrame([(i, int(a), v) for i, (a, v) in enumerate(chosen)], "ordinal int, vec_id long, base array<double>")
+    return spark.createDataFrame([(i, int(a), [round(x, 6) + 0.0 for x in v]) for i, (a, v) in enumerate(chosen)], "ordinal int, vec_id long, base array<double>")
 
 
 @_register()
@@ -385,16 +401,18 @@ def auto_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(atlas.auto_transitions(atlas.pca_atlas(points(spark, sf), "label", DIM, AMBIENT)), atlas.TRANSITIONS)
 
 
-@_register()
+@_register(f"{_CHARTS} SELECT a.chart_id AS a, b.chart_id AS b, round(1 / (1 + list_distance(a.o[9:64], b.o[9:64])), 6) AS score FROM c a JOIN c b ON a.chart_id < b.chart_id")
 def chart_overlap_scores(spark: SparkSession, sf: str) -> DataFrame:
     charts = label_charts(spark, sf)
-    return spark.createDataFrame([(a[0], b[0], atlas.overlap_score(a, b)) for a in charts for b in charts if a[0] < b[0]], "a int, b int, score double")
+    return spark.createDataFrame([(a[0], b[0], round(atlas.overlap_score(a, b), 6)) for a in charts for b in charts if a[0] < b[0]], "a int, b int, score double")
 
 
-@_register()
+@_register(f"{_P}, o AS (SELECT list(m ORDER BY i) AS o FROM (SELECT i, avg(v[i]) AS m FROM p, range(1, 65) t(i) GROUP BY i)), r AS (SELECT list_distance(v[9:64], o[9:64]) AS r FROM p, o) SELECT count(*) AS n, round(avg(r), 6) AS mean_residual, round(avg((r < 0.9)::INT), 6) AS share_below, 1.0::DOUBLE AS condition FROM r")
 def chart_quality(spark: SparkSession, sf: str) -> DataFrame:
-    chart, _ = atlas.pca_chart(points(spark, sf), 0, DIM, AMBIENT)
-    return atlas.chart_quality(points(spark, sf), chart, 0.9)
+    """Of the chart at the mean of all points along the first axes."""
+    origin = points(spark, sf).agg(F.array(*[F.avg(F.get("vector", F.lit(i))) for i in range(AMBIENT)])).first()[0]
+    chart = (0, list(origin), [[1.0 if j == i else 0.0 for j in range(AMBIENT)] for i in range(DIM)])
+    return _out(atlas.chart_quality(points(spark, sf), chart, 0.9), "n", "mean_residual", "share_below", "condition", rounded="mean_residual share_below condition")
 
 
 # Graph (G).
@@ -436,12 +454,14 @@ def affine_transition_apply(spark: SparkSession, sf: str) -> DataFrame:
     return points(spark, sf).select("vec_id", F.transform(moved, lambda x: F.round(x, 6)).alias("moved"))
 
 
-@_register()
+@_register("SELECT kind, m::DOUBLE[][] AS matrix, b::DOUBLE[] AS bias FROM (VALUES ('affine', {0}, {1}), ('rotation', {2}, {3})) t(kind, m, b)".format(_list(ROTATION), _list(SHIFT), _list(PROPER), _list(SHIFT)))
 def affine_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Recovers the transition of affine_transition_apply from pairs, and the best rotation."""
-    pairs = points(spark, sf).select(_local().alias("x"), V.affine(V.matrix_literal(ROTATION), V.literal(SHIFT), _local()).alias("y"))
-    (m, b), (r, t) = atlas.affine_fit(pairs, DIM), atlas.procrustes_fit(pairs, DIM)
-    return spark.createDataFrame([("affine", m.tolist(), b.tolist()), ("rotation", r.tolist(), t.tolist())], "kind string, matrix array<array<double>>, bias array<double>")
+    """Recovers an affine map from pairs, and the best rotation from pairs that one moved."""
+    def moved(matrix):
+        return points(spark, sf).select(_local().alias("x"), V.affine(V.matrix_literal(matrix), V.literal(SHIFT), _local()).alias("y"))
+
+    fits = (("affine", *atlas.affine_fit(moved(ROTATION), DIM)), ("rotation", *atlas.procrustes_fit(moved(PROPER), DIM)))
+    return spark.createDataFrame([(kind, (np.round(m, 6) + 0.0).tolist(), (np.round(b, 6) + 0.0).tolist()) for kind, m, b in fits], "kind string, matrix array<array<double>>, bias array<double>")
 
 
 _EDGE_SQL = ", ".join(f"({a}, {b})" for a, b in EDGES)
@@ -469,11 +489,13 @@ def transport_cost_heatmap(spark: SparkSession, sf: str) -> DataFrame:
     return _out(atlas.transport_costs(local, spark.createDataFrame(_steps(), atlas.TRANSITIONS)), "src", "tgt", "cost", rounded="cost")
 
 
-@_register("SELECT * FROM (VALUES (0, 1, 2, 0.0::DOUBLE), (1, 2, 3, 0.0::DOUBLE), (0, 1, 3, 0.0::DOUBLE), (0, 2, 3, 0.0::DOUBLE)) t(a, b, c, error)")
+@_register("SELECT a, b, c, round(e, 6) AS error FROM (VALUES (0, 1, 2, 0.3), (0, 1, 3, 0.4), (0, 2, 3, {0}), (1, 2, 3, 0.0)) t(a, b, c, e)".format((0.3**2 + 0.4**2) ** 0.5))
 def cocycle_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Composed transitions satisfy the cocycle condition, so every error is 0."""
-    steps = _steps()
-    more = [(a, b, *(x.tolist() for x in atlas.compose(steps, list(range(a, b + 1))))) for a, b in ((0, 2), (1, 3), (0, 3))]
+    """Composed transitions of which two direct ones are off by 0.3 and 0.4 along axes that the last map keeps apart."""
+    steps, more = _steps(), []
+    for a, b, axis, off in ((0, 2, 1, 0.3), (1, 3, 0, 0.0), (0, 3, 4, 0.4)):
+        matrix, bias = atlas.compose(steps, list(range(a, b + 1)))
+        more.append((a, b, matrix.tolist(), (bias + off * np.eye(DIM)[axis]).tolist()))
     found = atlas.cocycle_errors(spark.createDataFrame(steps + more, atlas.TRANSITIONS))
     return found.select("a", "b", "c", F.round("error", 6).alias("error"))
 
@@ -526,11 +548,11 @@ def standard_scale(spark: SparkSession, sf: str) -> DataFrame:
     return atlas.standardised(local, DIM).select("vec_id", F.transform("vector", lambda x: F.round(x, 5)).alias("scaled"))
 
 
-@_register()
+@_register(f"{_P}, m AS (SELECT 1 + v[1] AS a, v[2] AS b, 0.05 + v[3] AS c FROM p), e AS (SELECT (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS lo, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS hi FROM m) SELECT count(*) AS n, count(*) FILTER (lo > 0) AS n_spd, round(max(hi / lo) FILTER (lo > 0), 3) AS condition FROM e")
 def spd_report(spark: SparkSession, sf: str) -> DataFrame:
     cell = [F.get("vector", F.lit(i)) for i in range(3)]
     rows = points(spark, sf).select(F.array(1 + cell[0], cell[1], cell[1], 0.05 + cell[2]).alias("g"))
-    return metrics.spd_report(rows, 2)
+    return metrics.spd_report(rows, 2).select("n", F.col("n_spd").cast("long").alias("n_spd"), F.round("condition", 3).alias("condition"))
 
 
 # Paths and transport (E, P).
@@ -594,47 +616,74 @@ def _sphere_points(spark: SparkSession, sf: str) -> DataFrame:
     return points(spark, sf).select("vec_id", F.array(1.2 + x[0], x[1]).alias("a"), F.array(1.6 + x[2], 0.8 + x[3]).alias("b"))
 
 
-@_register()
+_SPHERE = f"{_P}, e AS (SELECT vec_id, 1.2 + v[1] AS t1, v[2] AS f1, 1.6 + v[3] AS t2, 0.8 + v[4] AS f2 FROM p), arc AS (SELECT *, acos(greatest(-1, least(1, cos(t1) * cos(t2) + sin(t1) * sin(t2) * cos(f1 - f2)))) AS d FROM e)"
+_SHOT = f"{_SPHERE}, s AS (SELECT vec_id, sqrt(0.09 + 0.16 * sin(t1) ** 2) AS s, sin(t1) * cos(f1) AS x, sin(t1) * sin(f1) AS y, cos(t1) AS z, 0.3 * cos(t1) * cos(f1) - 0.4 * sin(t1) * sin(f1) AS ux, 0.3 * cos(t1) * sin(f1) + 0.4 * sin(t1) * cos(f1) AS uy, -0.3 * sin(t1) AS uz FROM e), n AS (SELECT vec_id, s, cos(s) * x + sin(s) / s * ux AS x, cos(s) * y + sin(s) / s * uy AS y, cos(s) * z + sin(s) / s * uz AS z FROM s)"
+
+
+@_register(f"{_SHOT} SELECT vec_id, [round(acos(z), 5) + 0, round(atan2(y, x), 5) + 0] AS end FROM n")
 def ivp_rk4_sphere(spark: SparkSession, sf: str) -> DataFrame:
-    return _sphere_points(spark, sf).select("vec_id", udfs.exp_map("sphere", F.col("a"), F.array(F.lit(0.3), F.lit(0.4))).alias("end"))
+    rows = _sphere_points(spark, sf).select("vec_id", udfs.exp_map("sphere", F.col("a"), F.array(F.lit(0.3), F.lit(0.4))).alias("end"))
+    return rows.select("vec_id", _neat("end", 5))
 
 
-@_register()
+@_register(f"{_SPHERE}, m AS (SELECT *, sqrt((t2 - t1) ** 2 + sin((t1 + t2) / 2) ** 2 * (f2 - f1) ** 2) AS l FROM arc) SELECT vec_id, round(d, 5) AS distance, round(d, 5) AS great_circle, round(l * greatest(0.5, 1 - l * l / 12), 4) AS corrected FROM m")
 def bvp_sphere_distance(spark: SparkSession, sf: str) -> DataFrame:
-    """Next to it the great-circle distance, which it must equal."""
+    """Next to it the great-circle distance, which it must equal, and the straight length corrected for curvature."""
     a, b = F.col("a"), F.col("b")
     arc = F.acos(F.cos(a[0]) * F.cos(b[0]) + F.sin(a[0]) * F.sin(b[0]) * F.cos(a[1] - b[1]))
-    return _sphere_points(spark, sf).select("vec_id", udfs.geodesic_distance("sphere", a, b).alias("distance"), arc.alias("great_circle"), udfs.curvature_corrected("sphere", a, b).alias("corrected"))
+    rows = _sphere_points(spark, sf).select("vec_id", udfs.geodesic_distance("sphere", a, b).alias("distance"), arc.alias("great_circle"), udfs.curvature_corrected("sphere", a, b).alias("corrected"))
+    return rows.select("vec_id", F.round("distance", 5).alias("distance"), F.round("great_circle", 5).alias("great_circle"), F.round("corrected", 4).alias("corrected"))
 
 
-@_register()
+@_register(f"{_SPHERE} SELECT vec_id, list_transform([0, 0, 0, -sin(t1) * cos(t1), 0, cos(t1) / sin(t1), cos(t1) / sin(t1), 0], lambda x: round(x, 5) + 0) AS gamma FROM e")
 def christoffel_sphere(spark: SparkSession, sf: str) -> DataFrame:
-    return _sphere_points(spark, sf).select("vec_id", udfs.christoffel("sphere", F.col("a")).alias("gamma"), (-F.sin(F.col("a")[0]) * F.cos(F.col("a")[0])).alias("expected_011"))
+    return _sphere_points(spark, sf).select("vec_id", udfs.christoffel("sphere", F.col("a")).alias("gamma")).select("vec_id", _neat("gamma", 5))
 
 
-@_register()
+@_register(f"{_P} SELECT vec_id, 2.0::DOUBLE AS scalar FROM p")
 def scalar_curvature_sphere(spark: SparkSession, sf: str) -> DataFrame:
-    return _sphere_points(spark, sf).select("vec_id", udfs.scalar_curvature("sphere", F.col("a")).alias("scalar"))
+    """Rounded to what differences of differences hold."""
+    return _sphere_points(spark, sf).select("vec_id", F.round(udfs.scalar_curvature("sphere", F.col("a")), 2).alias("scalar"))
 
 
-@_register()
+@_register(f"{_P}, h AS (SELECT vec_id, v[1] AS x1, 1 + abs(v[2]) AS y1, v[3] AS x2, 1 + abs(v[4]) AS y2 FROM p), c AS (SELECT *, (x2 * x2 + y2 * y2 - x1 * x1 - y1 * y1) / (2 * (x2 - x1)) AS c, acosh(1 + ((x2 - x1) ** 2 + (y2 - y1) ** 2) / (2 * y1 * y2)) AS d FROM h WHERE x1 <> x2) SELECT vec_id, list_transform([y1, c - x1], lambda t: round(t * d * y1 * sign(x2 - x1) / sqrt((x1 - c) ** 2 + y1 * y1), 5) + 0) AS velocity FROM c")
 def log_map_half_plane(spark: SparkSession, sf: str) -> DataFrame:
     x = [F.get("vector", F.lit(i)) for i in range(4)]
     rows = points(spark, sf).select("vec_id", F.array(x[0], 1.0 + F.abs(x[1])).alias("a"), F.array(x[2], 1.0 + F.abs(x[3])).alias("b"))
-    return rows.select("vec_id", udfs.log_map("half_plane", F.col("a"), F.col("b")).alias("velocity"))
+    return rows.select("vec_id", udfs.log_map("half_plane", F.col("a"), F.col("b")).alias("velocity")).select("vec_id", _neat("velocity", 5))
 
 
-@_register()
+def _slope(v0: str, v1: str, share: str) -> str:
+    """dv/dt of a vector carried along the straight coordinate line, with the sphere's Christoffel symbols in closed form."""
+    angle = f"(t1 + (n + {share}) / 32.0::DOUBLE * dt)"
+    return f"sin{angle} * cos{angle} * df * {v1}, -cos{angle} / sin{angle} * (dt * {v1} + df * {v0})"
+
+
+def _carried_sql() -> str:
+    inner = "SELECT * FROM r WHERE n < 32"
+    for k, (share, step) in enumerate((("0", None), ("0.5", 1 / 64), ("0.5", 1 / 64), ("1", 1 / 32)), 1):
+        v0, v1 = ("v0", "v1") if step is None else (f"(v0 + {step!r} * k{k - 1}[1])", f"(v1 + {step!r} * k{k - 1}[2])")
+        inner = f"SELECT *, [{_slope(v0, v1, share)}] AS k{k} FROM ({inner})"
+    new = [f"v{c} + (k1[{c + 1}] + 2 * k2[{c + 1}] + 2 * k3[{c + 1}] + k4[{c + 1}]) / 192.0::DOUBLE" for c in (0, 1)]
+    start = _SPHERE.replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"{start}, r AS (SELECT vec_id, 0 AS n, t1, t2 - t1 AS dt, f2 - f1 AS df, 1.0::DOUBLE AS v0, 0.0::DOUBLE AS v1 FROM e UNION ALL SELECT vec_id, n + 1, t1, dt, df, {new[0]}, {new[1]} FROM ({inner})) SELECT vec_id, [round(v0, 5) + 0, round(v1, 5) + 0] AS vector FROM r WHERE n = 32"
+
+
+_CARRIED = _carried_sql()
+
+
+@_register(_CARRIED)
 def parallel_transport_sphere(spark: SparkSession, sf: str) -> DataFrame:
-    return _sphere_points(spark, sf).select("vec_id", udfs.transported("sphere", F.col("a"), F.col("b"), F.array(F.lit(1.0), F.lit(0.0))).alias("vector"))
+    rows = _sphere_points(spark, sf).select("vec_id", udfs.transported("sphere", F.col("a"), F.col("b"), F.array(F.lit(1.0), F.lit(0.0))).alias("vector"))
+    return rows.select("vec_id", _neat("vector", 5))
 
 
-@_register()
+@_register("WITH g AS (SELECT a.i / 4.0::DOUBLE AS x, b.i / 4.0::DOUBLE AS y FROM range(-4, 5) a(i), range(-4, 5) b(i)), u AS (SELECT x, y, x * x + y * y AS u FROM g), f AS (SELECT *, 1 + 8 * u * (u - 1) ** 2 AS f, 8 * (u - 1) * (3 * u - 1) AS f1, 8 * (6 * u - 4) AS f2 FROM u) SELECT x, y, round(-4 / f * (f1 / f + u * (f2 / f - (f1 / f) ** 2)), 2) + 0 AS scalar FROM f")
 def curvature_field(spark: SparkSession, sf: str) -> DataFrame:
     """Scalar curvature on a grid of the wells metric."""
     axis = F.explode(F.transform(F.sequence(F.lit(-4), F.lit(4)), lambda i: i / 4.0))
     grid = spark.range(1).select(axis.alias("x")).select("x", axis.alias("y"))
-    return grid.select("x", "y", udfs.scalar_curvature("wells", F.array("x", "y")).alias("scalar"))
+    return grid.select("x", "y", (F.round(udfs.scalar_curvature("wells", F.array("x", "y")), 2) + F.lit(0.0)).alias("scalar"))
 
 
 @_register(f"{_P} SELECT vec_id, list_concat(v[1:8], [0.0, 0.0]) AS vector FROM (SELECT vec_id, list_transform(v, lambda x: round(x, 6) + 0) AS v FROM p)")
@@ -760,9 +809,12 @@ def modality_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").groupBy(F.col("label").alias("modality")).agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
 
 
-@_register()
+@_register(f"{_P}, n AS (SELECT * FROM (SELECT a.vec_id AS q, b.vec_id AS j, b.v, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS r FROM p a JOIN p b ON a.vec_id <> b.vec_id) WHERE r <= 20), m AS (SELECT q, list(x ORDER BY i) AS m FROM (SELECT q, i, avg(v[i]) AS x FROM n, range(1, 65) t(i) GROUP BY q, i) GROUP BY q), c AS (SELECT q, j, list_transform(range(1, 65), lambda i: v[i] - m[i]) AS x FROM n JOIN m USING (q)), g AS (SELECT a.q, sum(CASE WHEN a.j = b.j THEN list_dot_product(a.x, b.x) ELSE 0 END) / 20 AS total, sum(list_dot_product(a.x, b.x) ** 2) / 400 AS squares FROM c a JOIN c b ON a.q = b.q GROUP BY a.q) SELECT q AS query_id, list_transform(m[1:8], lambda x: round(x, 6) + 0) AS mean, round(total, 6) AS total, round(squares, 6) AS squares FROM g JOIN m USING (q)")
 def local_pca(spark: SparkSession, sf: str) -> DataFrame:
-    return learning.local_pca(points(spark, sf))
+    """Of the spectra their sum and sum of squares, which are the covariance's trace and squared norm."""
+    e = F.col("eigenvalues")
+    rows = learning.local_pca(points(spark, sf)).withColumn("mean", F.slice("mean", 1, DIM))
+    return rows.select("query_id", _neat("mean", 6), F.round(V.total(e), 6).alias("total"), F.round(V.dot(e, e), 6).alias("squares"))
 
 
 @_register()
@@ -842,10 +894,14 @@ def distance_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return points(spark, sf).select("vec_id", F.when(straight <= 1e-15, 1.0).otherwise(F.round(V.conformal(F.col("vector"), q) / straight, 6)).alias("ratio"))
 
 
-@_register()
+@_register(f"{_P} SELECT vec_id, 5::BIGINT AS n, 5::BIGINT AS inside, 5::BIGINT AS apart FROM p")
 def geodesic_ball_samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Five points of the ball of radius 0.3 around every point of the sphere."""
-    return tangent.ball_samples(_sphere_points(spark, sf).withColumnRenamed("a", "point"), "sphere", 0.3, 5, 2)
+    """Five points of the ball of radius 0.3 around every point of the sphere: how many lie inside and how many differ."""
+    centres = _sphere_points(spark, sf)
+    rows = tangent.ball_samples(centres.withColumnRenamed("a", "point"), "sphere", 0.3, 5, 2).join(centres, "vec_id")
+    a, b = F.col("a"), F.col("point")
+    arc = F.acos(F.cos(a[0]) * F.cos(b[0]) + F.sin(a[0]) * F.sin(b[0]) * F.cos(a[1] - b[1]))
+    return rows.groupBy("vec_id").agg(F.count("*").alias("n"), F.sum((arc <= 0.3 + 1e-6).cast("long")).alias("inside"), F.countDistinct("point").alias("apart"))
 
 
 @_register()
@@ -854,3 +910,6 @@ def atlas_quality(spark: SparkSession, sf: str) -> DataFrame:
     registry = tangent.Registry(charts, atlas.auto_transitions(charts))
     found = tangent.quality(atlas.locate(points(spark, sf), registry.tables(spark)["charts"]), chart_overlap_points(spark, sf), registry, 0.9)
     return spark.createDataFrame([(found["points"], float(found["coverage"]), float(found["overlap"]), found["charts"], found["transitions"], len(found["isolated"]))], "points long, coverage double, overlap double, charts int, transitions int, isolated int")
+
+
+from . import catalog_more  # noqa: E402, F401  registers further queries
