@@ -4,10 +4,11 @@ encode() stores bytes as a variable-bitrate MPEG-1 Layer III file: an ID3v2 tag,
 byte count and seek table, then protected frames whose granules are silent and whose ancillary part carries the
 payload, and an ID3v1 tag. parse() takes any such stream as it comes: it skips tags, resynchronises on frame headers
 (a header counts only if another or the stream's end follows where its length says), reads Xing, Info and VBRI
-tables, verifies the CRC-16 of protected frames, and gives the exact duration in samples and the offset of each frame.
+tables with their seek entries, verifies the CRC-16 of protected frames of all three layers, and gives the exact
+duration in samples and the offset of each frame. Frames of free format say no length and are skipped as noise.
 
-A null text is stored like an empty one; a null media value gives a null result. Damaged bytes are skipped and
-counted, never an error. Equal bytes give equal files. Repeated rows and other columns are kept as they are;
+A null text is stored like an empty one; a null media value gives a null result; texts of any length are stored whole,
+one at a time. Empty tables give empty results. Damaged bytes are skipped and counted, never an error. Equal bytes give equal files. Repeated rows and other columns are kept as they are;
 columns named like an added one are replaced.
 """
 
@@ -37,6 +38,15 @@ BITRATES = {  # kbit/s by (MPEG-1?, layer) and header index 1..14
 SAMPLE_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}  # by version bits
 SIDE_INFO = {(True, False): 32, (True, True): 17, (False, False): 17, (False, True): 9}  # by (MPEG-1?, mono?)
 
+#: Layer II: bits of each subband's allocation as (bits, subbands) runs, by table.
+ALLOCATION = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "low": ((4, 4), (3, 7), (2, 19)),  # MPEG-2 and 2.5
+}
+
 RATE, SIDE, HEAD = 48000, 17, 4 + 2 + 17
 TOC = 100
 
@@ -64,7 +74,45 @@ def header(word: bytes) -> dict | None:
     kbps, hertz = BITRATES[one, layer][index - 1], SAMPLE_RATES[version][rate]
     samples = 384 if layer == 1 else 1152 if layer == 2 or one else 576
     length = (12 * kbps * 1000 // hertz + padding) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hertz + padding
-    return {"version": version, "layer": layer, "rate": hertz, "kbps": kbps, "samples": samples, "length": length, "protected": not bits >> 16 & 1, "side": SIDE_INFO[one, mono] if layer == 3 else 0}
+    # intensity stereo shares the allocation of the subbands from here on
+    bound = 4 * ((bits >> 4 & 3) + 1) if bits >> 6 & 3 == 1 else 32
+    return {"version": version, "layer": layer, "rate": hertz, "kbps": kbps, "samples": samples, "length": length, "protected": not bits >> 16 & 1, "side": SIDE_INFO[one, mono] if layer == 3 else 0, "channels": 1 if mono else 2, "bound": bound}
+
+
+def _crc_bits(value: int, n: int) -> int:
+    """The same checksum over n bits."""
+    crc = 0xFFFF
+    for k in range(n - 1, -1, -1):
+        crc = crc << 1 ^ (0x8005 if (crc >> 15 ^ value >> k) & 1 else 0)
+        crc &= 0xFFFF
+    return crc
+
+
+def allocation_bits(h: dict) -> list[int]:
+    """Layer II: the width of each subband's allocation."""
+    each = h["kbps"] // h["channels"]
+    table = "low" if h["version"] != 3 else ("d" if h["rate"] == 32000 else "c") if each <= 48 else "a" if each <= 80 or h["rate"] == 48000 else "b"
+    return [bits for bits, n in ALLOCATION[table] for _ in range(n)]
+
+
+def frame_crc(data: bytes, at: int, h: dict) -> tuple[int, int]:
+    """The checksum that the frame at `at` carries, and that of what it protects: the header's last bytes, then Layer
+    III's side information, Layer I's allocation, or Layer II's allocation and scale factor selection."""
+    said = int.from_bytes(data[at + 4 : at + 6], "big")
+    if h["layer"] == 3:
+        return said, crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h["side"]])
+    body = data[at + 6 : at + 6 + 96]
+    stream, width = int.from_bytes(body, "big"), 8 * len(body)
+    widths, n = [4] * 32 if h["layer"] == 1 else allocation_bits(h), 0
+    selections = 0
+    for subband, bits in enumerate(widths):
+        shared = h["channels"] == 2 and subband >= h["bound"]
+        for _ in range(1 if shared else h["channels"]):
+            n += bits
+            if n <= width and stream >> (width - n) & ((1 << bits) - 1):
+                selections += h["channels"] if shared else 1
+    n = min(width, n + 2 * selections * (h["layer"] == 2))
+    return said, _crc_bits(int.from_bytes(data[at + 2 : at + 4], "big") << n | stream >> (width - n), 16 + n)
 
 
 def _frame(index: int, protected: bool) -> tuple[bytes, int]:
@@ -133,7 +181,7 @@ def _tag(data: bytes, at: int) -> tuple[int, dict[str, str]]:
 
 
 def _table(data: bytes, at: int, h: dict) -> dict | None:
-    """The variable-bitrate table that the frame at `at` holds."""
+    """The variable-bitrate table that the frame at `at` holds; toc has Xing's 256ths of the file, or VBRI's entry lengths."""
     for skip in (4, 6):
         i = at + skip + h["side"]
         if data[i : i + 4] in (b"Xing", b"Info") and len(data) >= i + 8:
@@ -142,12 +190,17 @@ def _table(data: bytes, at: int, h: dict) -> dict | None:
                 if flags & bit and len(data) >= j + 4:
                     out[key], j = struct.unpack_from(">I", data, j)[0], j + 4
             if flags & 4 and len(data) >= j + TOC:
-                out["toc"] = data[j : j + TOC]
+                out["toc"] = list(data[j : j + TOC])
             return out
     i = at + 36
     if data[i : i + 4] == b"VBRI" and len(data) >= i + 18:
         size, frames = struct.unpack_from(">II", data, i + 10)
-        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": None}
+        out = {"kind": "VBRI", "frames": frames, "bytes": size, "toc": None}
+        if len(data) >= i + 26:
+            entries, scale, width, _ = struct.unpack_from(">HHHH", data, i + 18)
+            if 0 < width <= 4 and len(data) >= i + 26 + entries * width:
+                out["toc"] = [scale * int.from_bytes(data[j : j + width], "big") for j in range(i + 26, i + 26 + entries * width, width)]
+        return out
     return None
 
 
@@ -179,10 +232,8 @@ def parse(data: bytes) -> dict:
             continue
         body = at + 4
         if h["protected"]:
-            if h["layer"] == 3:
-                checked += 1
-                bad += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h["side"]]) != int.from_bytes(data[at + 4 : at + 6], "big")
-            body += 2
+            said, computed = frame_crc(data, at, h)
+            checked, bad, body = checked + 1, bad + (said != computed), body + 2
         offsets.append(at)
         spans.append((body + h["side"], after))
         samples += h["samples"]
@@ -237,6 +288,7 @@ AUDIO = [
     T.StructField("frame_offsets", T.ArrayType(T.LongType())),
     T.StructField("table_kind", T.StringType()),
     T.StructField("table_frames", T.LongType()),
+    T.StructField("table_toc", T.ArrayType(T.LongType())),
     T.StructField("variable", T.BooleanType()),
     T.StructField("crc_checked", T.LongType()),
     T.StructField("crc_bad", T.LongType()),
@@ -247,7 +299,7 @@ AUDIO = [
 
 def read_audio(df: DataFrame, media_col: str = "media") -> DataFrame:
     """df with what parse() finds in each media value."""
-    kinds = [pa.binary(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string())]
+    kinds = [pa.binary(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string())]
 
     def row(data: bytes | None) -> tuple:
         if data is None:
@@ -255,7 +307,7 @@ def read_audio(df: DataFrame, media_col: str = "media") -> DataFrame:
         found = parse(data)
         payload, n_bytes, intact = carried(data, found)
         table = found["table"] or {}
-        return (payload, n_bytes, intact, found["rate"], found["samples"], found["offsets"], table.get("kind"), table.get("frames"), found["vbr"], found["crc_checked"], found["crc_bad"], found["skipped"], list(found["tags"].items()))
+        return (payload, n_bytes, intact, found["rate"], found["samples"], found["offsets"], table.get("kind"), table.get("frames"), table.get("toc"), found["vbr"], found["crc_checked"], found["crc_bad"], found["skipped"], list(found["tags"].items()))
 
     def run(batches):
         for batch in batches:
@@ -279,5 +331,5 @@ def digests(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
     )
     return df.select(
         id_col, "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.length(media_col).cast("long").alias("media_bytes"),
-        F.sha2(F.col(media_col), 256).alias("media_sha256"), feature.alias("feature"), "intact", seconds.alias("duration_s"), F.size("frame_offsets").alias("n_frames"), "crc_bad", "skipped_bytes",
+        F.sha2(F.col(media_col), 256).alias("media_sha256"), feature.alias("feature"), "intact", seconds.alias("duration_s"), F.size("frame_offsets").alias("n_frames"), "frame_offsets", "table_toc", "crc_bad", "skipped_bytes",
     )

@@ -57,6 +57,52 @@ def test_other_layers_and_vbri():
     assert found["table"] == {"kind": "VBRI", "frames": 3, "bytes": 999, "toc": None} and len(found["offsets"]) == 3
 
 
+def crc_of_bits(bits):
+    crc = 0xFFFF
+    for b in bits:
+        top = crc >> 15 ^ int(b)
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return crc
+
+
+def layered(word, layer_bits, extra):
+    """A protected frame of Layer I or II: header, checksum of header and extra bits, extra bits, zeros."""
+    h = audio.header(word)
+    tail = extra + "0" * (-len(extra) % 8)
+    crc = crc_of_bits(f"{int.from_bytes(word[2:], 'big'):016b}" + extra[:layer_bits])
+    return (word + struct.pack(">H", crc) + bytes(int(tail[i : i + 8], 2) for i in range(0, len(tail), 8))).ljust(h["length"], b"\x00")
+
+
+def test_checksums_of_all_layers():
+    rng = random.Random(3)
+    one = struct.pack(">I", 0x7FF << 21 | 3 << 19 | 3 << 17 | 9 << 12 | 3 << 6)  # Layer I, 288 kbit/s, 44.1 kHz, mono
+    allocation = "".join(f"{rng.randrange(15):04b}" for _ in range(32))
+    good = layered(one, 128, allocation)
+    two = struct.pack(">I", 0x7FF << 21 | 3 << 19 | 2 << 17 | 8 << 12 | 1 << 10 | 1 << 6)  # Layer II, 128 kbit/s, 48 kHz, joint stereo, bound 4
+    h = audio.header(two)
+    assert (h["channels"], h["bound"], sum(audio.allocation_bits(h))) == (2, 4, 88)
+    widths = [b for k, b in enumerate(audio.allocation_bits(h)) for _ in range(2 if k < 4 else 1)]
+    values = [rng.randrange(3) for _ in widths]
+    chosen = sum((1 if k < 8 else 2) for k, v in enumerate(values) if v)
+    body = "".join(f"{v:0{w}b}" for v, w in zip(values, widths, strict=True)) + "".join(f"{rng.randrange(4):02b}" for _ in range(chosen))
+    second = layered(two, len(body), body)
+    for frame in (good, second):
+        found = audio.parse(frame * 4)
+        assert (found["crc_checked"], found["crc_bad"], len(found["offsets"])) == (4, 0, 4)
+        at = 7
+        hurt = frame[:at] + bytes([frame[at] ^ 1]) + frame[at + 1 :]
+        assert audio.parse(frame * 2 + hurt + frame)["crc_bad"] == 1
+
+
+def test_vbri_entries():
+    head, length = audio._frame(9, False)
+    table = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 9000, 12, 3, 10, 2, 4) + struct.pack(">HHH", 300, 301, 299)
+    frame = (head[:4] + bytes(32) + table).ljust(length, b"\x00")
+    sound, _ = audio._frame(9, True)
+    found = audio.parse(frame + sound.ljust(length, b"\x00") * 3)
+    assert found["table"] == {"kind": "VBRI", "frames": 12, "bytes": 9000, "toc": [3000, 3010, 2990]} and len(found["offsets"]) == 3
+
+
 def test_columns(awkward, make_docs):
     rows = audio.digests(audio.read_audio(audio.store_audio(awkward))).collect()
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in awkward.collect()}
