@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import udfs
 from ..functions import vectors as V
-from ..operators import atlas, learning, metrics, paths, search, spectral, store, tangent
+from ..operators import atlas, learning, lineage, metrics, paths, search, spectral, store, tangent
 from ..sources import files
 from . import mql
 
@@ -741,8 +740,7 @@ def get_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register(f"{_P} SELECT vec_id, label, list_transform(v, lambda x: round(x, 6) + 0) AS vector FROM p")
 def export_import_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="export-")
-    path, schema = f"{shared}/export-{uuid.uuid4().hex}", "vec_id long, label int, vector array<double>"
+    path, schema = f"{lineage.shared_folder(spark)}/export-{uuid.uuid4().hex}", "vec_id long, label int, vector array<double>"
     files.export(points(spark, sf), f"{path}/csv", "csv")
     files.export(files.load(spark, f"{path}/csv", schema, "csv"), f"{path}/json", "json")
     rows = files.load(spark, f"{path}/json", schema, "json")
