@@ -5,7 +5,8 @@ must contain as whole tokens) come with it; the index files it under the one tha
 under the empty token if it has none. The tokens of a URL fetch candidate rules, only those run their expression, and
 of the rules that match the one of highest rank wins.
 
-The rule list is the caller's and is limited to MAX_RULES, which bounds what executors get. A null URL, or one without
+The rule list is the caller's, or a table of host rules, and is limited to MAX_RULES, which bounds what executors get.
+URLs are judged whole, whatever their length. A null URL, or one without
 "://", has an empty host and path and matches no host rule. Repeated rows each get their verdict. Empty tables give
 empty results; other columns are kept, those named like an added one are replaced.
 """
@@ -13,6 +14,7 @@ empty results; other columns are kept, those named like an added one are replace
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -70,13 +72,36 @@ def url_tokens(host: Column, path: Column) -> Column:
 
 
 def build_index(rules: Sequence[Rule], counts: dict[str, int]) -> dict[str, list[Rule]]:
+    """Rules under their rarest token by the counts in URLs; of equally rare ones, under that of fewest rules."""
     index: dict[str, list[Rule]] = {}
+    shared = Counter(t for rule in rules for t in set(rule.tokens))
     for rule in rules:
-        token = min(rule.tokens, key=lambda t: (counts.get(t, 0), t)) if rule.tokens else ""
+        token = min(rule.tokens, key=lambda t: (counts.get(t, 0), shared[t], t)) if rule.tokens else ""
         index.setdefault(token, []).append(rule)
     return index
 
 
+def rules_of(table: DataFrame) -> list[Rule]:
+    """Host rules from a table (host, path, verdict), in a fixed order; null hosts are left out and null paths are "/"."""
+    rows = table.where(F.col("host").isNotNull()).select("host", F.coalesce("path", F.lit("/")).alias("path"), "verdict").distinct().limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    return [host_rule(*r) for r in sorted(rows)]
+
+
+def judge(index: dict[str, list[Rule]], compiled: dict[str, re.Pattern], host: str, path: str) -> Rule | None:
+    """The rule of highest rank among those that the URL's tokens fetch and whose expressions match."""
+    subject, best = f"{host}#{path}", None  # neither holds a #
+    for token in {*_TOKEN.findall(subject.lower()), ""}:
+        for rule in index.get(token, ()):
+            if rule.pattern not in compiled:
+                compiled[rule.pattern] = re.compile(rule.pattern)
+            key = (rule.rank, rule.name or "", rule.pattern)
+            if (best is None or key > (best.rank, best.name or "", best.pattern)) and compiled[rule.pattern].search(subject):
+                best = rule
+    return best
+
+
 def filter_urls(df: DataFrame, url_col: str = "url", rules: Sequence[Rule] = RULES, default: str = "allow") -> DataFrame:
     """df with host, path, rule (name of the rule that decided, or null) and verdict."""
     if len(rules) > MAX_RULES:
@@ -85,7 +110,8 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules: Sequence[Rule] = RUL
     named = df.withColumn("__url", F.col(url_col)).drop(*[c for c in ("host", "path", "rule", "verdict") if c != url_col])
     named = named.withColumn("host", host_of(url)).withColumn("path", path_of(url)).drop("__url")
     literal = sorted({t for rule in rules for t in rule.tokens})
-    seen = named.select(F.explode(F.array_intersect(url_tokens(F.col("host"), F.col("path")), F.array(*[F.lit(t) for t in literal]).cast("array<string>"))).alias("t"))
+    wanted = df.sparkSession.createDataFrame([(t,) for t in literal], "t string")
+    seen = named.select(F.explode(url_tokens(F.col("host"), F.col("path"))).alias("t")).join(F.broadcast(wanted), "t", "left_semi")  # MAX_RULES bounds them
     counts = {r["t"]: r["n"] for r in seen.groupBy("t").agg(F.count("*").alias("n")).collect()}  # a row for each rule token at most
     index = df.sparkSession.sparkContext.broadcast(build_index(rules, counts))
 
@@ -93,19 +119,12 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules: Sequence[Rule] = RUL
         compiled: dict[str, re.Pattern] = {}
         held = index.value
 
-        def match(pattern: str, subject: str) -> bool:
-            if pattern not in compiled:
-                compiled[pattern] = re.compile(pattern)
-            return compiled[pattern].search(subject) is not None
-
         for batch in batches:
             names = batch.schema.names
             hosts, paths = (batch.column(names.index(c)).to_pylist() for c in ("host", "path"))
             shown, verdicts = [], []
             for host, path in zip(hosts, paths, strict=True):
-                subject = f"{host}#{path}"  # neither holds a #
-                fetched = [r for t in {*_TOKEN.findall(subject.lower()), ""} for r in held.get(t, ())]
-                best = max((r for r in fetched if match(r.pattern, subject)), key=lambda r: (r.rank, r.name or "", r.pattern), default=None)
+                best = judge(held, compiled, host, path)
                 shown.append(best and best.name)
                 verdicts.append(best.verdict if best else default)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shown, pa.string()), pa.array(verdicts, pa.string())], [*names, "rule", "verdict"])

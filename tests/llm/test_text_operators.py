@@ -175,3 +175,33 @@ def test_url_index_uses_rarest_token():
     rule = url_filter.host_rule("example.org", "/es/", "block")
     index = url_filter.build_index([rule, url_filter.Rule("any", ".", "allow", (), 1)], {"example": 9, "org": 5, "es": 2})
     assert set(index) == {"es", ""}
+
+
+def test_only_fetched_rules_run(spark):
+    """Of five thousand rules from a table, a URL compiles and runs those under its own tokens only."""
+    table = spark.createDataFrame([(f"site{i}.example", f"/p{i % 7}/", "block" if i % 2 else "allow") for i in range(5000)] + [(None, "/", "block"), ("one.org", None, "block")], "host string, path string, verdict string")
+    rules = url_filter.rules_of(table)
+    index, compiled = url_filter.build_index(rules, {"example": 10**6}), {}
+    assert len(rules) == 5001
+    best = url_filter.judge(index, compiled, "www.site41.example", "/p6/x")
+    assert (best.name, best.verdict) == ("site41.example/p6/", "block") and len(compiled) == 1
+    assert url_filter.judge(index, compiled, "unknown.example", "/p6/") is None and len(compiled) < 3
+    urls = spark.createDataFrame([(1, "http://site41.example/p6/"), (2, "http://a.site40.example/p5/1"), (3, "http://site41.example/p5/"), (4, "http://one.org")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(urls, rules=rules).collect()}
+    assert got == {1: ("site41.example/p6/", "block"), 2: ("site40.example/p5/", "allow"), 3: (None, "allow"), 4: (None, "allow")}
+
+
+def test_license_recall_on_scattered_edits(make_docs):
+    """Every template of some length with edits all over it: what exact containment finds, the bands retrieve."""
+    rng, rows = random.Random(12), []
+    for name, body in license_scan.TEMPLATES.items():
+        t = license_words(body)
+        if len(t) < 20:
+            continue
+        for share in (0.0, 0.01, 0.02, 0.03, 0.04):
+            for _ in range(6):
+                words_ = [f"x{rng.randrange(99)}" if rng.random() < share else w for w in t]
+                rows.append((len(rows), prose(len(rows), 40) + " " + " ".join(words_) + " " + prose(len(rows) + 1, 40), name))
+    want = {(i, name) for i, text, _ in rows for name, _ in brute_licenses(text)}
+    got = {(r["doc_id"], m["name"]) for r in license_scan.scan_licenses(make_docs(rows)).collect() for m in r["licenses"]}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 150
