@@ -56,7 +56,8 @@ def most_flips(n: Column, m: Column, percent: int, sigmas: float = 4.5) -> Colum
     both = f * shared - sigmas * F.sqrt(f * (1 - f) * shared)
     differ = k + l - 2 * both
     odd = 0.5 * (1 - F.exp(-2 * differ / BITS))
-    return F.least(differ, BITS * odd + sigmas * F.sqrt(BITS * odd * (1 - odd))) + 1e-6
+    deviating = BITS * odd + sigmas * F.sqrt(BITS * odd * (1 - odd))
+    return F.when((n <= SAMPLE) & (m <= SAMPLE), differ).otherwise(F.least(differ, deviating)) + 1e-6
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
