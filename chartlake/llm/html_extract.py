@@ -71,6 +71,8 @@ _MARKED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=>/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _PARTS = re.compile(r"[a-z]+|\d+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_LETTERS = re.compile(r"[^\W\d_]")
+_BEYOND = re.compile("[\u0250-\U0010ffff]")
 _COPYRIGHT = re.compile(r"\W{0,3}(?:©|\(c\)\s|copyright\b)", re.I)
 
 
@@ -226,8 +228,9 @@ def stop_density(text: str) -> float:
 
 
 def _latin(text: str) -> bool:
-    letters = [c for c in text if c.isalpha()]
-    return 2 * sum(c < "\u0250" for c in letters) >= len(letters)
+    """Whether at least half of the letters are Latin."""
+    beyond = sum(c.isalpha() for c in _BEYOND.findall(text))
+    return not beyond or len(_LETTERS.findall(text)) >= 2 * beyond
 
 
 def first_pass(blocks: list[Block]) -> list[int | None]:
