@@ -121,26 +121,40 @@ def to_chunks(docs: DataFrame, id_col: str, text_col: str, held_out: Column, chu
     return rows.mapInArrow(lean(run), schema)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones, eight for each number."""
+    used = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    return b"".join([(values >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(used)]) + bytes((8 - used) * len(values))
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    parts = np.frombuffer(data, np.uint8).reshape(8, -1)
+    out = parts[0].astype(np.uint64)
+    for k in range(1, 8):
+        if parts[k].any():
+            out |= parts[k].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
 def _pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, byte by byte, as their high bytes are mostly 0."""
-    return _pack(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+    return _pack(_planes(np.diff(keys, prepend=np.uint64(0))))
 
 
 def _unpack_keys(data: bytes) -> np.ndarray:
-    parts = np.frombuffer(_unpack(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(parts.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_from_planes(_unpack(data)), dtype=np.uint64)
 
 
 def _pack_counts(values: np.ndarray) -> bytes:
     """Mostly small whole numbers, with a sign, byte by byte."""
     folded = (np.abs(values) * 2 + (values < 0)).astype(np.uint64)
-    return _pack(folded.view(np.uint8).reshape(-1, 8).T.tobytes())
+    return _pack(_planes(folded))
 
 
 def _unpack_counts(data: bytes) -> np.ndarray:
-    parts = np.frombuffer(_unpack(data), np.uint8).reshape(8, -1)
-    folded = np.ascontiguousarray(parts.T).view(np.uint64).ravel()
-    return np.where(folded & np.uint64(1), -1, 1) * (folded >> np.uint64(1)).astype(np.int64)
+    folded = _from_planes(_unpack(data))
+    sign = (folded & np.uint64(1)).view(np.int64)
+    return ((folded >> np.uint64(1)).view(np.int64) ^ -sign) + sign
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -151,12 +165,35 @@ def _array(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(_unpack(data), kind)
 
 
+def _key_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of the keys, and the keys in it.
+
+    Sorting the high bits with the place below them is quicker than sorting places. Where keys differ in lower bits alone
+    and come out in the wrong order, those of the same high bits are sorted once more.
+    """
+    bits = np.uint64(len(keys).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    order = keys & ~low
+    order |= np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order &= low
+    order = order.view(np.int64)
+    ordered = keys.take(order)
+    wrong = np.flatnonzero(ordered[1:] < ordered[:-1])
+    if len(wrong):
+        high = ordered & ~low
+        mixed = np.unique(high[wrong])
+        for lo, hi in zip(np.searchsorted(high, mixed), np.searchsorted(high, mixed, "right"), strict=True):
+            own = np.argsort(ordered[lo:hi], kind="stable")
+            order[lo:hi], ordered[lo:hi] = order[lo:hi][own], ordered[lo:hi][own]
+    return order, ordered
+
+
 class Level:
     """The distinct sequences of depth + 1 repeated words in a chunk, by the spots at which they end."""
 
     def __init__(self, spots: np.ndarray, keys: np.ndarray):
-        order = np.argsort(keys)
-        ordered = keys[order]
+        order, ordered = _key_order(keys)
         new = np.ones(len(keys), bool)
         new[1:] = ordered[1:] != ordered[:-1]
         self.spots, self.keys = spots, ordered[new]
@@ -172,7 +209,10 @@ class ChunkText:
     """
 
     def __init__(self, row: dict, counts: np.ndarray, cut: float, total: int, unknown: float):
-        lists = np.ascontiguousarray(np.frombuffer(_unpack(row["body"]), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+        planes = np.frombuffer(_unpack(row["body"]), np.uint8).reshape(4, -1)
+        lists = planes[0].astype(np.int32)
+        for k in range(1, 4):
+            lists |= planes[k].astype(np.int32) << np.int32(8 * k)
         n_docs = len(row["held"])
         self.sizes = lists[:n_docs].astype(np.int64)
         self.places = lists[n_docs:]
@@ -188,18 +228,19 @@ class ChunkText:
 
     def next_level(self) -> Level:
         """The sequences one deeper whose two parts are repeated."""
-        depth, last = len(self.at), self.at[-1]
-        spots = np.flatnonzero((self.inside >= depth) & (last >= 0))
-        spots = spots[last[spots - 1] >= 0]
-        first = self.names[self.places[spots - depth]]
-        keys = mix64(self.ends[spots] + mix64(first * keys64(DEPTH + 2, 41)[depth]))
+        depth, repeated = len(self.at), self.at[-1] >= 0
+        here = np.zeros(len(repeated), bool)
+        here[depth:] = repeated[depth:] & repeated[depth - 1 : -1] & (self.inside[depth:] >= depth)
+        spots = np.flatnonzero(here)
+        first = mix64(self.names * keys64(DEPTH + 2, 41)[depth])  # by word, as there are fewer words than spots
+        keys = mix64(self.ends[here] + first.take(self.places.take(spots - depth)))
         self.ends = np.zeros(len(self.ends), np.uint64)
         self.ends[spots] = keys
         return Level(spots, keys)
 
     def counted(self, level: Level, counts: np.ndarray) -> None:
         at = np.full(len(self.places), -1, np.int32)
-        here = counts[level.place] >= MIN_COUNT
+        here = (counts >= MIN_COUNT).take(level.place)
         at[level.spots[here]] = level.place[here]
         self.at.append(at), self.counts.append(counts), self.keys.append(level.keys)
 
@@ -215,12 +256,13 @@ class ChunkText:
     def stated(self, depth: int, left: np.ndarray) -> None:
         """Probabilities in the states of a depth; left has the mass by context, or NaN if it is no state."""
         spots, context = self.contexts(depth)
-        state = ~np.isnan(left[context])
+        state = (~np.isnan(left)).take(context)
         spots, context = spots[state], context[state]
-        self.probs[spots] *= left[context]
-        place = self.at[depth][spots]
-        spots, context, place = spots[place >= 0], context[place >= 0], place[place >= 0]
-        self.probs[spots] += (self.counts[depth][place] - DISCOUNT) / self.counts[depth - 1][context]
+        probs, place = self.probs.take(spots) * left.take(context), self.at[depth].take(spots)
+        here = place >= 0
+        context, place = context[here], place[here]
+        probs[here] += (self.counts[depth].take(place) - DISCOUNT) / self.counts[depth - 1].take(context)
+        self.probs[spots] = probs
 
 
 def _in_buckets(keys: np.ndarray, n_buckets: int):
@@ -258,8 +300,8 @@ def _words_asked(chunks: DataFrame, n_buckets: int) -> DataFrame:
 def _count_answers(keys: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, list[int]]:
     """By asked key the count in all chunks (0: below least), negative for one of the chunks that ask, and totals:
     sum, kinds, and kinds that occur once and twice."""
-    order = np.argsort(keys, kind="stable")
-    first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order][:1]) != 0)
+    order, ordered = _key_order(keys)
+    first = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]) != 0)
     sums = np.add.reduceat(n[order], first)
     sums[sums < least] = 0
     out = np.empty(len(keys), np.int64)

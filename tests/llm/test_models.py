@@ -17,6 +17,23 @@ from chartlake.llm.common import crc_mod, ranked
 
 from .conftest import prose
 
+
+def test_keys_that_differ_in_low_bits_alone_are_ordered():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 5000):
+        keys = (rng.integers(0, 40, n).astype(np.uint64) << np.uint64(50)) + rng.integers(0, 60, n).astype(np.uint64)
+        order, ordered = pst._key_order(keys)
+        assert order.tolist() == np.argsort(keys, kind="stable").tolist() and ordered.tolist() == sorted(keys.tolist())
+
+
+def test_packed_numbers_come_back():
+    numbers = np.array([0, 1, -1, 255, -256, 2**40, -(2**40)])
+    assert pst._unpack_counts(pst._pack_counts(numbers)).tolist() == numbers.tolist()
+    keys = np.array([0, 1, 2**63, 2**64 - 1], np.uint64)
+    for part in (keys, keys[:0]):
+        assert pst._unpack_keys(pst._pack_keys(part)).tolist() == part.tolist()
+
+
 def held_column():
     return crc_mod(F.col("doc_id"), 7) == 2
 
