@@ -112,6 +112,11 @@ def log_map(metric: str, a: Column, b: Column) -> Column:
     return _vectorised(lambda x, y: G.log_map(g, x, y)[0], "array<double>")(a, b)
 
 
+def acceleration(metric: str, point: Column, velocity: Column) -> Column:
+    """Coordinate acceleration of the geodesic through the point."""
+    return _vectorised(partial(G.acceleration, G.METRICS[metric]), "array<double>")(point, velocity)
+
+
 def christoffel(metric: str, point: Column) -> Column:
     """Flattened row by row."""
     return _vectorised(partial(G.christoffel, G.METRICS[metric]), "array<double>", 1)(point)

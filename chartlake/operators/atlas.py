@@ -66,12 +66,12 @@ def locate(points: DataFrame, charts: DataFrame, id_col: str = "vec_id", vec: st
     return rows.mapInArrow(run, f"{id_col} {kind}, chart_id int, residual double, rank int")
 
 
-def bounds(points: DataFrame, group: str, dim: int, vec: str = "vector") -> DataFrame:
-    """(group, lo, hi, volume): bounding box of the first dim coordinates of each group."""
+def bounds(points: DataFrame, group: str, dim: int, vec: str = "vector", members: bool = False) -> DataFrame:
+    """(group, lo, hi, volume): bounding box of the first dim coordinates of each group; with members their number n."""
     cells = [f(F.get(F.col(vec), F.lit(i))).alias(f"{n}{i}") for i in range(dim) for n, f in (("lo", F.min), ("hi", F.max))]
-    boxes = points.groupBy(group).agg(*cells)
+    boxes = points.groupBy(group).agg(*cells, F.count(vec).alias("n"))
     lo, hi = (F.array(*[f"{n}{i}" for i in range(dim)]) for n in ("lo", "hi"))
-    boxes = boxes.select(group, lo.alias("lo"), hi.alias("hi"))
+    boxes = boxes.select(group, lo.alias("lo"), hi.alias("hi"), *["n"] * members)
     sides = F.zip_with("hi", "lo", lambda a, b: a - b)
     return boxes.withColumn("volume", F.aggregate(sides, F.lit(1.0), lambda a, x: a * x))
 

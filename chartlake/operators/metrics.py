@@ -79,6 +79,29 @@ def diagonal_terms(weights: Column) -> tuple[Column, Column, Column, Column]:
     return inverse, F.exp(logdet), logdet, F.exp(0.5 * logdet)
 
 
+def evaluate(points: DataFrame, store: DataFrame, dim: int, by: str = "chart") -> DataFrame:
+    """points with the metric g of their chart (store: chart, g as rows), the identity where none is registered.
+
+    The store is a checked side and a broadcast; two metrics for one chart are an error.
+    """
+    twice = store.groupBy(by).count().where("count > 1").head(1)
+    if twice:
+        raise ValueError(f"two metrics for {twice[0][0]}")
+    held = search.checked(store.select(F.col(by).alias("__chart"), F.col("g").alias("__g")))
+    joined = points.join(held, F.col(by) == F.col("__chart"), "left")
+    return joined.withColumn("g", F.coalesce("__g", V.matrix_literal(np.eye(dim).tolist()))).drop("__chart", "__g")
+
+
+def lowered(v: Column, g: Sequence[Sequence[float]]) -> Column:
+    """The covector g v."""
+    return V.matvec(V.matrix_literal(g), v)
+
+
+def raised(w: Column, g: Sequence[Sequence[float]]) -> Column:
+    """The vector g^-1 w; a singular metric has a pseudo-inverse."""
+    return V.matvec(V.matrix_literal(np.linalg.pinv(np.array(g, float), hermitian=True).tolist()), w)
+
+
 def score_outer(points: DataFrame, dim: int, vec: str = "vector") -> DataFrame:
     """(i, j, value): mean of x_i x_j, the empirical Fisher matrix of score samples."""
     cells = [F.avg(F.get(F.col(vec), F.lit(i)) * F.get(F.col(vec), F.lit(j))) for i in range(dim) for j in range(dim)]

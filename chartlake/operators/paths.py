@@ -85,6 +85,12 @@ def schema_transport(v: Column, source_dim: int, target_dim: int, shift: Column
     return v if shift is None else V.plus(v, shift)
 
 
+def with_length_of(moved: Column, v: Column) -> Column:
+    """moved, scaled to the length of v (null: null); as it is where it has no length itself."""
+    size = V.norm(moved)
+    return F.when(size > 1e-12, F.when(v.isNotNull(), V.scaled(moved, V.norm(v) / size))).otherwise(moved)
+
+
 def centroid_drift(rows: DataFrame, step: str, vec: str, dim: int) -> DataFrame:
     """(step, centroid, drift): mean vector of each time step and its distance from the previous step's."""
     means = rows.groupBy(step).agg(*[F.avg(F.get(F.col(vec), F.lit(i))).alias(f"c{i}") for i in range(dim)])

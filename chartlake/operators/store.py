@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import search
+from .lineage import numbered
+
 
 def validated(points: DataFrame, dim: int | None = None, vec: str = "vector") -> DataFrame:
     """Points as they are; a null, empty or wrongly sized vector raises when rows are read."""
@@ -29,6 +32,17 @@ def with_new_ids(points: DataFrame, new: DataFrame, id_col: str = "point_id") ->
     return rows.withColumn(id_col, F.col("__row") + start).drop("__part", "__row")
 
 
+def with_modality_ids(points: DataFrame, new: DataFrame, order: list[Column], modality: str = "modality", id_col: str = "point_id") -> DataFrame:
+    """new with ids that continue the largest id of their own modality, in the given total order; a new one starts at 0.
+
+    Rows without modality are a modality too. No modality is numbered in one task; the largest ids are a checked side.
+    """
+    placed = numbered(new.drop(id_col), modality, order, "__at")
+    last = search.checked(points.groupBy(F.col(modality).alias("__of")).agg(F.max(id_col).alias("__last")))
+    joined = placed.join(last, F.col(modality).eqNullSafe(F.col("__of")), "left")
+    return joined.withColumn(id_col, F.coalesce(F.col("__last"), F.lit(-1)) + 1 + F.col("__at")).drop("__at", "__at_of", "__of", "__last")
+
+
 def latest(points: DataFrame, order: list[Column], id_col: str = "vec_id") -> DataFrame:
     """One row per id, the first in the given order (last write wins if it is descending by time)."""
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(*order))

@@ -107,7 +107,35 @@ def pruned_ball(points: DataFrame, boxes: DataFrame, query: list[float], radius:
     """
     q = V.literal(query)
     near = [r[group] for r in search.small_side(boxes.where(box_distance(q, F.col("lo"), F.col("hi")) <= radius).select(group))]
-    return search.ball(points.where(F.col(group).isin(near)), query, radius, vec=vec)
+    return search.ball(points.where(_of_groups(group, near)), query, radius, vec=vec)
+
+
+def _of_groups(group: str, names: list) -> Column:
+    """Members of the named groups; those without a group are one too."""
+    found = F.col(group).isin([x for x in names if x is not None])
+    return found | F.col(group).isNull() if None in names else found
+
+
+def pruned_knn(points: DataFrame, boxes: DataFrame, query: list[float], k: int, group: str, id_col: str = "vec_id", vec: str = "vector") -> DataFrame:
+    """Top k, reading only groups whose box (group, lo, hi, n members) can hold one of them.
+
+    The nearest boxes by their farthest corner that have k members together bound the kth distance; a box that begins
+    beyond it has none of the k. Exact for any number of members, also if there are fewer than k in all.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    q = V.literal(query)
+    corner = F.zip_with(V.minus(F.col("lo"), q), V.minus(F.col("hi"), q), lambda a, b: F.greatest(F.abs(a), F.abs(b)))
+    held = search.small_side(boxes.where("n > 0").select(group, "n", box_distance(q, F.col("lo"), F.col("hi")).alias("near"), V.norm(corner).alias("far")))
+    reach, members = float("inf"), 0
+    for r in sorted(held, key=lambda r: r["far"]):
+        members += r["n"]
+        if members >= k:
+            reach = r["far"] * (1 + 1e-9)  # more than the rounding of both bounds
+            break
+    near = [r[group] for r in held if r["near"] <= reach]
+    rows = points.where(_of_groups(group, near) & F.col(vec).isNotNull())
+    return search.top_k(rows.withColumn("distance", V.euclidean(F.col(vec), q)), k, id_col=id_col)
 
 
 def ball_samples(centres: DataFrame, metric: str, radius: float, n: int, dim: int, id_col: str = "vec_id", at: str = "point", seed: int = 42) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import udfs
 from ..functions import vectors as V
-from ..operators import curved, learning, lineage, metrics, search, store
+from ..operators import atlas, curved, learning, lineage, metrics, paths, search, store, tangent
 from ..sources import files
 from . import mql
-from .catalog import _ANCHORS, _MOVED, _P, _SHOT, _SPHERE, DIM, ROTATION, SHIFT, _anchors, _list, _local, _neat, _out, _register, _sampled, _sphere_points, points, query_vector, table
+from .catalog import AMBIENT, _ANCHORS, _MOVED, _P, _SHOT, _SPHERE, DIM, ROTATION, SHIFT, _anchors, _list, _local, _neat, _out, _register, _sampled, _sphere_points, points, query_vector, table
 
 # Curved search and paths.
 
@@ -252,3 +252,52 @@ def stored_tables(spark: SparkSession, sf: str) -> DataFrame:
 @_register("WITH n AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS c FROM events WHERE value IS NOT NULL) SELECT event_type, round(max(CASE WHEN r = least(floor(c * 0.99), c - 1) THEN value END), 6) AS p99 FROM n GROUP BY event_type")
 def latency_p99(spark: SparkSession, sf: str) -> DataFrame:
     return learning.latency_summary(table(spark, sf, "events"), "event_type", "value").select("event_type", F.round("p99", 6).alias("p99"))
+
+
+# Boxes, ids by modality, stored metrics, indices, lengths and accelerations.
+
+
+@_register(f"{_P} SELECT vec_id, round(list_distance(v, qv), 6) AS distance FROM p, q ORDER BY list_distance(v, qv), vec_id LIMIT 10")
+def knn_pruned_by_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return _out(tangent.pruned_knn(p, atlas.bounds(p, "label", AMBIENT, members=True), query_vector(spark, sf), 10, "label"), "vec_id", "distance")
+
+
+@_register("SELECT vec_id AS old_id, label, max(vec_id) OVER (PARTITION BY label) + row_number() OVER (PARTITION BY label ORDER BY vec_id) AS vec_id FROM embeddings")
+def inserted_by_modality(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row once more, with ids that continue its label's."""
+    p = points(spark, sf)
+    new = p.select(F.col("vec_id").alias("old_id"), "label", "vector")
+    return store.with_modality_ids(p, new, [F.col("old_id")], "label", "vec_id").select("old_id", "label", "vec_id")
+
+
+@_register(f"{_P} SELECT vec_id, round(sqrt(CASE WHEN label < 5 THEN label + 1 ELSE 1 END * (v[1] ** 2 + v[2] ** 2 + v[3] ** 2 + v[4] ** 2)), 6) AS norm FROM p")
+def metric_store_norms(spark: SparkSession, sf: str) -> DataFrame:
+    """Length of each point's first coordinates under its label's metric; labels from 5 on have none registered."""
+    p = points(spark, sf).select("vec_id", "label", _local(4).alias("vector"))
+    kind = p.schema["label"].dataType.simpleString()
+    held = spark.createDataFrame([(i, (np.eye(4) * (i + 1)).tolist()) for i in range(5)], f"label {kind}, g array<array<double>>")
+    return metrics.evaluate(p, held, 4, "label").select("vec_id", F.round(curved.tangent_norm(F.col("vector"), F.col("g")), 6).alias("norm"))
+
+
+_LOWERED = f"list_transform(range(1, 5), lambda i: list_sum(list_transform(range(1, 5), lambda j: {_list(_FULL)}[i][j] * v[j])))"
+
+
+@_register(f"{_P} SELECT vec_id, list_transform({_LOWERED}, lambda x: round(x, 5) + 0) AS low, list_transform(v[1:4], lambda x: round(x, 5) + 0) AS back FROM p")
+def indices_lowered_and_raised(spark: SparkSession, sf: str) -> DataFrame:
+    rows = points(spark, sf).select("vec_id", metrics.lowered(_local(4), _FULL).alias("low"))
+    return rows.withColumn("back", metrics.raised(F.col("low"), _FULL)).select("vec_id", _neat("low", 5), _neat("back", 5))
+
+
+@_register(f"{_P}, m AS (SELECT vec_id, v, {_LOWERED} AS w FROM p) SELECT vec_id, list_transform(w, lambda x: round(x * sqrt(list_dot_product(v[1:4], v[1:4])) / sqrt(list_dot_product(w, w)), 5) + 0) AS moved FROM m")
+def transport_keeping_length(spark: SparkSession, sf: str) -> DataFrame:
+    """Tangent vectors by the map's matrix, scaled to the length that they had."""
+    rows = points(spark, sf).select("vec_id", _local(4).alias("v"))
+    moved = paths.with_length_of(V.matvec(V.matrix_literal(_FULL), F.col("v")), F.col("v"))
+    return rows.select("vec_id", moved.alias("moved")).select("vec_id", _neat("moved", 5))
+
+
+@_register(f"{_SPHERE} SELECT vec_id, [round(sin(t1) * cos(t1) * 0.16, 5) + 0, round(-0.24 * cos(t1) / sin(t1), 5) + 0] AS a FROM e")
+def acceleration_sphere(spark: SparkSession, sf: str) -> DataFrame:
+    velocity = F.array(F.lit(0.3), F.lit(0.4))
+    return _sphere_points(spark, sf).select("vec_id", udfs.acceleration("sphere", F.col("a"), velocity).alias("a")).select("vec_id", _neat("a", 5))

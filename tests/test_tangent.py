@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chartlake.functions import geometry as G
 from chartlake.functions import vectors as V
-from chartlake.operators import atlas, tangent
+from chartlake.operators import atlas, metrics, paths, store, tangent
 
 
 def _plane(n, seed=1):
@@ -111,3 +111,48 @@ def test_induced_metric_and_time_transport():
     assert G.transport_in_time(G.sphere, times[:0], curve[:0], 0, 1, v) == pytest.approx(v)
     w = G.wasserstein_metric(np.array([[2.0, 0.0], [0.0, 8.0]]), np.array([1.0, 3.0]))
     np.testing.assert_allclose(w, np.diag([0.125, 0.75 / 8]))
+
+
+def test_pruned_knn_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 3)) + 6 * np.repeat(rng.normal(size=(6, 3)), 20, axis=0)
+    x[7] = x[3]  # a tie
+    data = [(i, None if i // 20 == 5 else i // 20, v.tolist()) for i, v in enumerate(x)] + [(500, 1, None), (501, 9, None)]
+    rows = spark.createDataFrame(data, "vec_id long, kind int, vector array<double>")
+    boxes = atlas.bounds(rows, "kind", 3, members=True)
+    for at, k in ((3, 1), (110, 7), (0, 25), (50, 500)):
+        distance = np.linalg.norm(x - x[at], axis=1)
+        want = sorted(range(120), key=lambda i: (distance[i], i))[:k]
+        got = tangent.pruned_knn(rows, boxes, x[at].tolist(), k, "kind").orderBy("distance", "vec_id").collect()
+        assert [r["vec_id"] for r in got] == want
+    assert tangent.pruned_knn(rows.where("false"), boxes.where("false"), [0.0] * 3, 2, "kind").collect() == []
+    near = tangent.pruned_ball(rows, boxes, x[110].tolist(), 1.5, "kind").collect()
+    assert {r["vec_id"] for r in near} == set(np.flatnonzero(np.linalg.norm(x - x[110], axis=1) <= 1.5).tolist())
+    with pytest.raises(ValueError):
+        tangent.pruned_knn(rows, boxes, [0.0] * 3, 0, "kind")
+
+
+def test_ids_by_modality(spark):
+    held = spark.createDataFrame([(4, "a"), (9, None), (2, "b")], "point_id long, modality string")
+    new = spark.createDataFrame([(i, m) for i, m in enumerate(["a", None, "c", "a", "c", None, "a"])], "seq int, modality string").repartition(3)
+    got = {r["seq"]: r["point_id"] for r in store.with_modality_ids(held, new, [F.col("seq")]).collect()}
+    assert got == {0: 5, 3: 6, 6: 7, 1: 10, 5: 11, 2: 0, 4: 1}
+    assert {r["point_id"] for r in store.with_modality_ids(held.where("false"), new.where("seq = 0"), [F.col("seq")]).collect()} == {0}
+    assert store.with_modality_ids(held, new.where("false"), [F.col("seq")]).collect() == []
+
+
+def test_stored_metrics_indices_and_lengths(spark):
+    rows = spark.createDataFrame([(1, "a", [3.0, 4.0]), (2, None, [0.0, 0.0]), (3, "z", None)], "vec_id long, chart string, vector array<double>")
+    g = [[2.0, 1.0], [1.0, 3.0]]
+    held = spark.createDataFrame([("a", g)], "chart string, g array<array<double>>")
+    got = {r["vec_id"]: r["g"] for r in metrics.evaluate(rows, held, 2).collect()}
+    assert got == {1: g, 2: [[1.0, 0.0], [0.0, 1.0]], 3: [[1.0, 0.0], [0.0, 1.0]]}
+    with pytest.raises(ValueError):
+        metrics.evaluate(rows, held.unionAll(held), 2)
+    low = rows.select("vec_id", metrics.lowered(F.col("vector"), g).alias("low"))
+    assert low.first()["low"] == [10.0, 15.0]
+    np.testing.assert_allclose(low.select(metrics.raised(F.col("low"), g).alias("up")).first()["up"], [3.0, 4.0])
+    sized = [r[0] for r in rows.select(paths.with_length_of(F.array(F.lit(0.0), F.lit(2.0)), F.col("vector"))).collect()]
+    assert sized[:2] == [[0.0, 5.0], [0.0, 0.0]] and sized[2] is None
+    still = rows.select(paths.with_length_of(F.array(F.lit(0.0), F.lit(0.0)), F.col("vector"))).first()[0]
+    assert still == [0.0, 0.0]
