@@ -66,6 +66,16 @@ def locate(points: DataFrame, charts: DataFrame, id_col: str = "vec_id", vec: st
     return rows.mapInArrow(run, f"{id_col} {kind}, chart_id int, residual double, rank int")
 
 
+def overlap_boxes(shared: DataFrame, points: DataFrame, dim: int, margin: float = 0.05, id_col: str = "vec_id", vec: str = "vector") -> DataFrame:
+    """(chart_a, chart_b, n, lo, hi): box of the points that two charts share (chart_a, chart_b, id), each side moved
+    outward by the margin times its width. A pair whose points have no vectors gives null corners."""
+    cells = [f(F.get(F.col(vec), F.lit(i))).alias(f"{n}{i}") for i in range(dim) for n, f in (("lo", F.min), ("hi", F.max))]
+    boxes = shared.join(points.select(id_col, vec), id_col).groupBy("chart_a", "chart_b").agg(F.count(vec).alias("n"), *cells)
+    wide = [margin * (F.col(f"hi{i}") - F.col(f"lo{i}")) for i in range(dim)]
+    lo, hi = F.array(*[F.col(f"lo{i}") - w for i, w in enumerate(wide)]), F.array(*[F.col(f"hi{i}") + w for i, w in enumerate(wide)])
+    return boxes.select("chart_a", "chart_b", "n", lo.alias("lo"), hi.alias("hi"))
+
+
 def bounds(points: DataFrame, group: str, dim: int, vec: str = "vector", members: bool = False) -> DataFrame:
     """(group, lo, hi, volume): bounding box of the first dim coordinates of each group; with members their number n."""
     cells = [f(F.get(F.col(vec), F.lit(i))).alias(f"{n}{i}") for i in range(dim) for n, f in (("lo", F.min), ("hi", F.max))]

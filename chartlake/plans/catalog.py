@@ -436,6 +436,13 @@ def overlap_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return o.groupBy("chart_a", "chart_b").agg(F.count("*").alias("n"), F.round(lo - 0.05 * (hi - lo), 6).alias("lo"), F.round(hi + 0.05 * (hi - lo), 6).alias("hi"))
 
 
+@_register(f"{_GRAPH}, c AS (SELECT chart_a, chart_b, i, count(*) AS n, min(v[i]) AS lo, max(v[i]) AS hi FROM o JOIN p USING (vec_id), range(1, 9) t(i) GROUP BY chart_a, chart_b, i) SELECT chart_a, chart_b, max(n) AS n, list(round(lo - 0.05 * (hi - lo), 6) + 0 ORDER BY i) AS lo, list(round(hi + 0.05 * (hi - lo), 6) + 0 ORDER BY i) AS hi FROM c GROUP BY chart_a, chart_b")
+def overlap_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over all local coordinates."""
+    boxes = atlas.overlap_boxes(chart_overlap_points(spark, sf), points(spark, sf), DIM)
+    return boxes.select("chart_a", "chart_b", "n", _neat("lo", 6), _neat("hi", 6))
+
+
 @_register()
 def graph_communities(spark: SparkSession, sf: str) -> DataFrame:
     """Louvain over the points' k-NN graph (chart_id); community has those of under 3 points merged by centroid."""

@@ -156,3 +156,11 @@ def test_stored_metrics_indices_and_lengths(spark):
     assert sized[:2] == [[0.0, 5.0], [0.0, 0.0]] and sized[2] is None
     still = rows.select(paths.with_length_of(F.array(F.lit(0.0), F.lit(0.0)), F.col("vector"))).first()[0]
     assert still == [0.0, 0.0]
+
+
+def test_overlap_boxes(spark):
+    rows = spark.createDataFrame([(1, [0.0, 1.0]), (2, [10.0, 3.0]), (3, None), (4, [5.0, 5.0])], "vec_id long, vector array<double>")
+    shared = spark.createDataFrame([(0, 1, 1), (0, 1, 2), (0, 1, 3), (1, 2, 3), (2, 3, 4)], "chart_a int, chart_b int, vec_id long")
+    got = {(r["chart_a"], r["chart_b"]): (r["n"], r["lo"], r["hi"]) for r in atlas.overlap_boxes(shared, rows, 2, 0.1).collect()}
+    assert got == {(0, 1): (2, [-1.0, 0.8], [11.0, 3.2]), (1, 2): (0, [None, None], [None, None]), (2, 3): (1, [5.0, 5.0], [5.0, 5.0])}
+    assert atlas.overlap_boxes(shared.where("false"), rows, 2).collect() == []
