@@ -7,7 +7,9 @@ hashes that only one sample holds. Where both samples are whole sets this count
 the test loses nothing; beyond that it allows 4.5 deviations. Within a bucket only pairs of different components whose
 sketches are close enough become candidates, best first, and each is confirmed on its full sets. Rounds go on, with
 ever more partners each, until no untested candidate between different components is left; so nothing is capped and
-pairs inside a component are never spelled out.
+pairs inside a component are never spelled out. A bucket of more than HOT texts is never joined with itself: its texts
+are compared block by block in tasks, and a round returns no more than each text's closest partners beyond those that
+it has tested, so the rows of a round grow with the texts and not with the square of a bucket.
 
 Nulls, empty texts and texts of white space alone have no shingles and are linked with nothing. What is linked are
 texts: repeated rows are copies of each other, and different texts of one id are judged apart. Texts whose rows all
@@ -19,15 +21,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import SMALL_IDS, checkpointed, if_small, keys64, lean, merged_labels, mix64, shingle_set, word_hashes
+from .common import SMALL_IDS, checkpointed, if_small, keys64, lean, lean_group, merged_labels, mix64, shingle_set, word_hashes
 
 BANDS, ROWS, SAMPLE, BITS, WORDS = 32, 4, 1024, 1024, 5
 LANES = BITS // 64
+#: Buckets of more texts are compared in blocks of about BLOCK texts each; of their pairs a round tests at most PARTNERS
+#: for each text on average, and MOST_PARTNERS for one text. What a round leaves, the next ones test.
+HOT, BLOCK, PARTNERS, MOST_PARTNERS = 64, 2048, 64, 4096
 
 
 def minima(shingles: np.ndarray, samples: int = BANDS * ROWS) -> np.ndarray:
@@ -60,6 +66,17 @@ def most_flips(n: Column, m: Column, percent: int, sigmas: float = 4.5) -> Colum
     return F.when((n <= SAMPLE) & (m <= SAMPLE), differ).otherwise(F.least(differ, deviating)) + 1e-6
 
 
+def flip_limits(n: np.ndarray, m: np.ndarray, percent: int, sigmas: float = 4.5) -> np.ndarray:
+    """most_flips for arrays."""
+    k, l = np.minimum(n, SAMPLE), np.minimum(m, SAMPLE)
+    f = np.minimum(k / n, l / m)
+    shared = (n + m) * (percent / (100 + percent))
+    differ = k + l - 2 * (f * shared - sigmas * np.sqrt(f * (1 - f) * shared))
+    odd = 0.5 * (1 - np.exp(-2 * differ / BITS))
+    deviating = BITS * odd + sigmas * np.sqrt(BITS * odd * (1 - odd))
+    return np.where((n <= SAMPLE) & (m <= SAMPLE), differ, np.minimum(differ, deviating)) + 1e-6
+
+
 def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
@@ -132,6 +149,73 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str,
     return pairs.join(left, "a").join(right, "b").select("lx", "ly", test.alias("linked"))
 
 
+def _lists(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Lists of one width as the unsigned rows of a matrix, one for each place in the lists."""
+    values = pa.concat_arrays(column.chunks).flatten().to_numpy(zero_copy_only=False)
+    return np.ascontiguousarray(values.reshape(-1, width).T).view(np.uint64)
+
+
+def closest(percent: int, partners: int):
+    """Function of two tables: for each left text of a bucket's block its closest right texts of other components.
+
+    Only pairs whose sketches are near, that come after the left text's mark (d, y) and that share no earlier band; so
+    a pair is found once, and each left text has at most `partners` rows.
+    """
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("lx", pa.int64()), ("ly", pa.int64()), ("d", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows and right.num_rows:
+            x, lx, xn, md, my = (left[c].to_numpy() for c in ("node", "label", "n", "mark", "mark_y"))
+            y, ly, yn = (right[c].to_numpy() for c in ("node", "label", "n"))
+            xs, ys, xb, yb = _lists(left["sketch"], LANES), _lists(right["sketch"], LANES), _lists(left["bands"], BANDS), _lists(right["bands"], BANDS)
+            own = int(np.argmax(_signed(xb[:, 0].copy()) == left["band"][0].as_py()))
+            for at in range(0, len(x), 128):
+                rows = slice(at, at + 128)
+                flips = np.zeros((len(x[rows]), len(y)), np.int32)
+                for p, q in zip(xs, ys, strict=True):
+                    flips += np.bitwise_count(p[rows, None] ^ q[None, :])
+                near = (lx[rows, None] != ly[None, :]) & (flips <= flip_limits(xn[rows, None], yn[None, :], percent))
+                i, j = np.nonzero(near)
+                d, i = flips[i, j] / (xn[rows][i] + yn[j]), i + at
+                keep = (d > md[i]) | ((d == md[i]) & (y[j] > my[i]))
+                for p, q in zip(xb[:own], yb[:own], strict=True):
+                    keep &= p[i] != q[j]
+                i, j, d = i[keep], j[keep], d[keep]
+                order = np.lexsort((y[j], d, i))
+                i, j, d = i[order], j[order], d[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < partners
+                parts.append((x[i[keep]], y[j[keep]], lx[i[keep]], ly[j[keep]], d[keep]))
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] or [[]] * len(schema)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _partners(hot: DataFrame, traits: DataFrame, labels: DataFrame, live: DataFrame, percent: int, partners: int) -> DataFrame:
+    """(x, y, lx, ly, d, __r): the `partners` closest candidates of each live text, in one order by distance and node.
+
+    hot is (band, node, blocks, outside); texts outside a bucket's largest component are compared with the whole bucket.
+    live is (node, mark, mark_y), the mark being the last candidate tested. What comes before it was tested or joined
+    already, and components only grow, so a text is done once it has fewer candidates than a round takes.
+    """
+    own = hot.join(traits, "node").join(labels, "node").join(live, "node", "left")
+    own = own.withColumn("__s", F.explode(F.sequence(F.lit(0), 2 * F.col("blocks") - 1))).withColumn("left", F.col("__s") >= F.col("blocks"))
+    mine, other = F.pmod("node", "blocks"), F.col("__s") % F.col("blocks")
+    own = own.where(~F.col("left") | (F.col("outside") & F.col("mark").isNotNull()))
+    own = own.withColumn("i", F.when(F.col("left"), mine).otherwise(other)).withColumn("j", F.when(F.col("left"), other).otherwise(mine))
+    own = own.select("band", "i", "j", "left", "node", "label", "n", "bands", "sketch", "mark", "mark_y")
+    run = closest(percent, partners)
+    found = lean_group(lambda rows: run(rows.filter(rows["left"]), rows.filter(pa.compute.invert(rows["left"]))))
+    pairs = own.groupBy("band", "i", "j").applyInArrow(found, "x long, y long, lx long, ly long, d double")
+    return pairs.withColumn("__r", F.row_number().over(Window.partitionBy("x").orderBy("d", "y"))).where(F.col("__r") <= partners)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b, lx, ly): each pair of texts once, with the labels in order."""
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("lx", "ly").alias("lx"), F.greatest("lx", "ly").alias("ly")).distinct()
+
+
 def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(id, hash, n_shingles, component, kept) of every row. Nodes are texts, named by a hash of their key."""
     signed = checkpointed(signatures(docs, id_col, text_col, words))
@@ -170,20 +254,30 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     # Buckets that still hold several components: texts of all but the largest one against the whole bucket.
     placed = members.select("band", "node").join(labels, "node")
     sizes = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    placed = checkpointed(placed.join(several.select("band", F.col("top.label").alias("main")), "band"))
-    left = placed.where("label <> main").select("band", F.col("node").alias("x"), F.col("label").alias("lx")).join(side("x", "p"), "x")
-    right = placed.select("band", F.col("node").alias("y"), F.col("label").alias("ly")).join(side("y", "q"), "y")
+    several = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("c"), F.count("*").alias("k")).where("k > 1")
+    placed = checkpointed(placed.join(several.select("band", F.col("top.label").alias("main"), "c"), "band"))
+    small, hot = placed.where(F.col("c") <= HOT), placed.where(F.col("c") > HOT)
+    left = small.where("label <> main").select("band", F.col("node").alias("x"), F.col("label").alias("lx")).join(side("x", "p"), "x")
+    right = small.select("band", F.col("node").alias("y"), F.col("label").alias("ly")).join(side("y", "q"), "y")
     close = left.join(right, "band").where((F.col("lx") != F.col("ly")) & near)
     close = close.groupBy("x", "y", "lx", "ly").agg(F.min(apart).alias("d"))
-    partners = 1
+    hot = hot.select("band", "node", F.ceil(F.col("c") / BLOCK).alias("blocks"), (F.col("label") != F.col("main")).alias("outside"))
+    traits = checkpointed(texts.join(hot.select("node").distinct(), "node", "left_semi").select("node", "n", "bands", "sketch"))
+    live = hot.where("outside").select("node", F.lit(-1.0).alias("mark"), F.lit(0).cast("long").alias("mark_y")).distinct()
+    nodes, partners = traits.count(), 1
     while True:
         order = Window.partitionBy("x", "ly").orderBy("d", "y")
         close = checkpointed(close.withColumn("__r", F.row_number().over(order)))
-        if not close.head(1):
+        waiting = live.count() if nodes else 0
+        if not waiting and not close.head(1):
             break
-        chosen = close.where(F.col("__r") <= partners).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("lx", "ly").alias("lx"), F.greatest("lx", "ly").alias("ly"))
-        labels = merge(labels, checkpointed(chosen.distinct()))
+        chosen = close.where(F.col("__r") <= partners).select("x", "y", "lx", "ly")
+        if waiting:
+            few = max(1, min(partners, PARTNERS * nodes // waiting, MOST_PARTNERS))
+            pairs = checkpointed(_partners(hot, traits, labels, live, percent, few))
+            chosen = chosen.union(pairs.select("x", "y", "lx", "ly"))
+            live = pairs.where(F.col("__r") == few).select(F.col("x").alias("node"), F.col("d").alias("mark"), F.col("y").alias("mark_y"))
+        labels = merge(labels, checkpointed(_ordered(chosen)))
         for end, name in (("x", "lx"), ("y", "ly")):
             close = close.drop(name).join(labels.toDF(end, name), end)
         close = close.where((F.col("__r") > partners) & (F.col("lx") != F.col("ly"))).drop("__r")
