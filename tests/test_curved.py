@@ -121,3 +121,19 @@ def test_evolve(spark):
     got = {r["vec_id"]: (r["vector"], r["modality"]) for r in curved.evolve(old, new, 2).collect()}
     assert got == {1: ([1.0, 2.0], 4), 2: ([5.0, 0.0], 5), 3: ([6.0, 7.0], 5)}
     assert V.distance("euclidean") and curved.evolve(old.where("false"), new, 2).first()["modality"] == 0
+
+
+def test_symbols_and_accelerations_to_rounding():
+    x = np.column_stack([RNG.uniform(0.7, 2.2, 200), RNG.uniform(0.5, 1.7, 200)])
+    t, y, gamma = x[:, 0], x[:, 1], G.christoffel(G.sphere, x)
+    np.testing.assert_allclose(gamma[:, 0, 1, 1], -np.sin(t) * np.cos(t), rtol=0, atol=1e-15)
+    np.testing.assert_allclose(gamma[:, 1, 0, 1], np.cos(t) / np.sin(t), rtol=0, atol=2e-15)
+    np.testing.assert_allclose(G.christoffel(G.half_plane, x)[:, 1], np.stack([np.stack([1 / y, 0 * y], 1), np.stack([0 * y, -1 / y], 1)], 1), rtol=0, atol=2e-15)
+    got = G.acceleration(G.sphere, x, np.broadcast_to([0.3, 0.4], x.shape))
+    np.testing.assert_allclose(got, np.column_stack([0.16 * np.sin(t) * np.cos(t), -0.24 * np.cos(t) / np.sin(t)]), rtol=0, atol=2e-15)
+    for name, g in G.METRICS.items():  # against differences, as metrics without a closed form have them
+        np.testing.assert_allclose(G.metric_gradient(g, x), G.metric_gradient(lambda p, g=g: g(p), x), rtol=1e-6, atol=1e-6, err_msg=name)
+    v = RNG.normal(size=(200, 3))
+    full = lambda p: np.eye(3) * (2 + p[..., :1, None] ** 2) + 0.1 * (p[..., :, None] * p[..., None, :])
+    x3 = RNG.normal(size=(200, 3))
+    np.testing.assert_allclose(G.acceleration(full, x3, v), -np.einsum("rijk,rj,rk->ri", G.christoffel(full, x3), v, v), rtol=1e-9, atol=1e-9)
