@@ -137,3 +137,17 @@ def test_symbols_and_accelerations_to_rounding():
     full = lambda p: np.eye(3) * (2 + p[..., :1, None] ** 2) + 0.1 * (p[..., :, None] * p[..., None, :])
     x3 = RNG.normal(size=(200, 3))
     np.testing.assert_allclose(G.acceleration(full, x3, v), -np.einsum("rijk,rj,rk->ri", G.christoffel(full, x3), v, v), rtol=1e-9, atol=1e-9)
+
+
+def test_adaptive_steps_to_rounding():
+    x = np.column_stack([RNG.uniform(0.8, 1.8, 300), RNG.uniform(-0.4, 0.4, 300)])
+    t, f = x.T
+    s = np.sqrt(0.09 + 0.16 * np.sin(t) ** 2)
+    at = np.stack([np.sin(t) * np.cos(f), np.sin(t) * np.sin(f), np.cos(t)], 1)
+    way = np.stack([0.3 * np.cos(t) * np.cos(f) - 0.4 * np.sin(t) * np.sin(f), 0.3 * np.cos(t) * np.sin(f) + 0.4 * np.sin(t) * np.cos(f), -0.3 * np.sin(t)], 1)
+    to = np.cos(s)[:, None] * at + (np.sin(s) / s)[:, None] * way
+    end, _, arc_length = G.solve_adaptive(G.sphere, x, np.broadcast_to([0.3, 0.4], x.shape))
+    np.testing.assert_allclose(end, np.column_stack([np.arccos(to[:, 2]), np.arctan2(to[:, 1], to[:, 0])]), rtol=0, atol=1e-14)
+    np.testing.assert_allclose(arc_length, s, rtol=0, atol=1e-14)
+    far, _, _ = G.solve_adaptive(G.flat, np.array([[1e6, -3e5]]), np.array([[1.0, 2.0]]))  # the tolerance is relative
+    np.testing.assert_allclose(far, [[1e6 + 1, -3e5 + 2]], rtol=1e-14)
