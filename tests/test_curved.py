@@ -151,3 +151,14 @@ def test_adaptive_steps_to_rounding():
     np.testing.assert_allclose(arc_length, s, rtol=0, atol=1e-14)
     far, _, _ = G.solve_adaptive(G.flat, np.array([[1e6, -3e5]]), np.array([[1.0, 2.0]]))  # the tolerance is relative
     np.testing.assert_allclose(far, [[1e6 + 1, -3e5 + 2]], rtol=1e-14)
+
+
+def test_log_maps_to_rounding():
+    x1, y1, x2, y2 = RNG.uniform(-0.5, 0.5, 300), RNG.uniform(1, 1.5, 300), RNG.uniform(-0.5, 0.5, 300), RNG.uniform(1, 1.5, 300)
+    c = (x2**2 + y2**2 - x1**2 - y1**2) / (2 * (x2 - x1))
+    d = np.arccosh(1 + ((x2 - x1) ** 2 + (y2 - y1) ** 2) / (2 * y1 * y2))
+    size = d * y1 * np.sign(x2 - x1) / np.hypot(x1 - c, y1)
+    v, done = G.log_map(G.half_plane, np.column_stack([x1, y1]), np.column_stack([x2, y2]))
+    assert done.all()
+    np.testing.assert_allclose(v, np.column_stack([y1 * size, (c - x1) * size]), rtol=0, atol=5e-13)
+    np.testing.assert_allclose(G.geodesic_distance(G.half_plane, np.column_stack([x1, y1]), np.column_stack([x2, y2])), d, rtol=0, atol=5e-13)
