@@ -162,3 +162,15 @@ def test_log_maps_to_rounding():
     assert done.all()
     np.testing.assert_allclose(v, np.column_stack([y1 * size, (c - x1) * size]), rtol=0, atol=5e-13)
     np.testing.assert_allclose(G.geodesic_distance(G.half_plane, np.column_stack([x1, y1]), np.column_stack([x2, y2])), d, rtol=0, atol=5e-13)
+
+
+def test_geodesic_paths_to_rounding():
+    a, b = (np.column_stack([RNG.uniform(1.0, 1.7, 40), RNG.uniform(lo, lo + 0.5, 40)]) for lo in (-0.4, 0.6))
+    d, t = arc(a, b)[:, None], np.arange(21) / 20
+    p, q = (np.stack([np.sin(x[:, 0]) * np.cos(x[:, 1]), np.sin(x[:, 0]) * np.sin(x[:, 1]), np.cos(x[:, 0])], 1)[:, None] for x in (a, b))
+    way = (np.sin((1 - t) * d) / np.sin(d))[..., None] * p + (np.sin(t * d) / np.sin(d))[..., None] * q
+    want = np.stack([np.arccos(way[..., 2]), np.arctan2(way[..., 1], way[..., 0])], -1)
+    np.testing.assert_allclose(G.geodesic_path(G.sphere, a, b), want, rtol=0, atol=2e-12)
+    middle, straight = (a + b) / 2, G.chord(G.sphere, a, b)
+    np.testing.assert_allclose(G.curvature_corrected(G.sphere, a, b), straight * np.maximum(0.5, 1 - straight**2 / 12), rtol=0, atol=1e-12)
+    np.testing.assert_allclose(G.scalar_curvature(G.half_plane, middle[:, ::-1] + [0.0, 1.0]), -2.0, rtol=0, atol=1e-9)
