@@ -360,3 +360,43 @@ def test_sides_are_checked_in_bytes(spark, monkeypatch):
     monkeypatch.setattr(search, "MAX_SIDE_BYTES", 1000)
     with pytest.raises(ValueError):
         search.small_side(rows)
+
+
+def _nearest(x, k):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :k]
+    return {(i, r + 1): (int(j), d[i, j]) for i in range(len(x)) for r, j in enumerate(order[i]) if np.isfinite(d[i, j])}
+
+
+@pytest.mark.parametrize("case", ["plain", "far", "two", "copies", "same"])
+def test_neighbours_of_all_points(spark, monkeypatch, case):
+    """Groups of points instead of blocks of queries: exact, and no more rows than k for each query and group."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 6))
+    if case == "far":
+        x = x + 1e7
+    if case == "two":
+        x[::2] += 1e6
+    if case == "copies":
+        x = np.round(x[:, :2] / 2)
+    if case == "same":
+        x[:400] = 1.0
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [float("nan")] * x.shape[1])], "vec_id long, vector array<double>").repartition(16)
+    queries = points.select(F.col("vec_id").alias("query_id"), "vector")
+    rows, taken = [], search._by_groups
+    monkeypatch.setattr(search, "GROUP", 400)
+    monkeypatch.setattr(search, "_by_groups", lambda *a: rows.append(taken(*a)) or rows[0])
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], pytest.approx(r["distance"], abs=1e-12)) for r in search.knn_batch(points, queries, 5, drop_self=True).collect()}
+    assert got == _nearest(x, 5) and len(rows) == 1
+    assert rows[0].count() <= 700 * 5 * (1 if case == "copies" else 2)
+
+
+def test_neighbours_by_name_and_few(spark):
+    rows = [(n, [float(i), 0.0]) for i, n in enumerate(["d", "a", "c", "b"])] + [("a", [9.0, 0.0])]  # a name that is there twice
+    points = spark.createDataFrame(rows, "vec_id string, vector array<double>")
+    queries = points.select(F.col("vec_id").alias("query_id"), "vector")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["distance"]) for r in search.knn_batch(points, queries, 9, drop_self=True).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "c"} == {("c", 1): ("a", 1.0), ("c", 2): ("b", 1.0), ("c", 3): ("d", 2.0), ("c", 4): ("a", 7.0)}
+    assert [got["a", r] for r in (1, 2, 3)] == [("c", 1.0), ("d", 1.0), ("b", 2.0)]
+    assert search.knn_batch(points.where("false"), queries, 3).collect() == []
