@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from .lineage import checkpointed
 
 #: Vectors that are iterated together, and products between two Rayleigh-Ritz steps.
 BLOCK, POWERS = 8, 4
+#: Edges that a task multiplies at once. A block and its products are held by the driver if they fit search.MAX_SIDE_BYTES.
+EDGES = 1 << 17
 
 
 def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 24) -> DataFrame:
@@ -110,13 +113,112 @@ def _combined(rows: DataFrame, matrix: np.ndarray) -> DataFrame:
 def diffusion_coordinates(edges: DataFrame, dims: int = 2, alpha: float = 0.5, tolerance: float = 1e-6, rounds: int = 80) -> DataFrame:
     """(id, coordinates): the diffusion map of a symmetric graph (see learning.spectral_map) by block power iteration.
 
-    BLOCK vectors and their products with the graph are tables; a Rayleigh-Ritz step on their space, of which only the
-    column products reach the driver, gives the next block, until the residuals are within the tolerance.
+    A Rayleigh-Ritz step on the space of BLOCK vectors and their products with the graph gives the next block, until the
+    residuals are within the tolerance. Up to search.MAX_SIDE_BYTES (838,860 points) the vectors are held by the driver
+    and sent to the tasks, which keep the edges; beyond that they are tables, whose column products alone reach the driver.
     """
     graph, root = _normalised(edges.where("i <> j"), alpha)
     start = [F.col("root")] + [F.xxhash64("id", F.lit(k)) / float(2**63) for k in range(BLOCK - 1)]
-    block = checkpointed(root.select("id", F.array(*start).alias("x")))
-    width = BLOCK
+    first = root.select("id", F.array(*start).alias("x"))
+    held = root.count() * 8 * BLOCK * (POWERS + 1) <= search.MAX_SIDE_BYTES
+    block, theta = (_iterated_held if held else _iterated)(graph, first, dims, tolerance, rounds)
+    axes = [F.col("x")[c] * float(theta[c]) / F.col("root") for c in range(1, min(dims + 1, len(theta)))]
+    out = checkpointed(block.join(root, "id").select("id", F.array(*axes).alias("coordinates")))
+    first = out.agg(*[F.max_by(F.col("coordinates")[c], F.struct(F.round(F.abs(F.col("coordinates")[c]), 9), -F.col("id"))).alias(f"c{c}") for c in range(len(axes))]).first()
+    signs = [1.0 if x is None or x >= 0 else -1.0 for x in first]
+    return out.select("id", F.array(*[F.col("coordinates")[c] * s for c, s in enumerate(signs)]).alias("coordinates"))
+
+
+def _ritz(gram: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(values, combinations of the first m columns, residuals) from the products of m columns and their images."""
+    width = len(gram) - m
+    g, a, aa = gram[:m, :m], gram[:m, width:], gram[width:, width:]  # columns; with their images; images
+    scale = 1 / np.sqrt(np.diag(g).clip(1e-300))
+    values, vectors = np.linalg.eigh(g * scale[:, None] * scale[None, :])
+    keep = values > 1e-11 * values.max()
+    white = scale[:, None] * vectors[:, keep] / np.sqrt(values[keep])
+    small = white.T @ a @ white
+    theta, y = np.linalg.eigh((small + small.T) / 2)
+    width = min(BLOCK, len(theta))
+    theta, y = theta[::-1][:width], (white @ y[:, ::-1][:, :width])
+    gaps = [float(np.sqrt(max(0.0, y[:, c] @ aa @ y[:, c] - 2 * theta[c] * (y[:, c] @ a @ y[:, c]) + theta[c] ** 2))) for c in range(width)]
+    return theta, y, gaps
+
+
+def _packed(graph: DataFrame, ids) -> DataFrame:
+    """The edges as (rows, starts, columns, values) in bytes, EDGES at once, rows and columns by their places in ids."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= EDGES:
+                yield one(held)
+                held, n = [], 0
+        if n:
+            yield one(held)
+
+    def one(held):
+        part = pa.Table.from_batches(held)
+        i, j = (pc.index_in(part.column(c), value_set=ids.value).to_numpy().astype(np.int32) for c in ("i", "j"))
+        order = np.lexsort((j, i))
+        rows, starts = np.unique(i[order], return_index=True)
+        cells = (rows, starts.astype(np.int64), j[order], part.column("s").to_numpy()[order])
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["rows", "starts", "columns", "cells"])
+
+    return checkpointed(graph.select("i", "j", "s").mapInArrow(run, "rows binary, starts binary, columns binary, cells binary"))
+
+
+def _iterated_held(graph: DataFrame, first: DataFrame, dims: int, tolerance: float, rounds: int) -> tuple[DataFrame, np.ndarray]:
+    context = graph.sparkSession.sparkContext
+    table = first.toArrow()
+    table = table.take(pc.sort_indices(table.column("id")))
+    names = table.column("id").combine_chunks()
+    x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, BLOCK)
+    ids = context.broadcast(names)
+    edges, theta = _packed(graph, ids), np.zeros(0)
+
+    def product(v: np.ndarray) -> np.ndarray:
+        sent = context.broadcast(v)
+
+        def run(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    starts, columns, cells = np.frombuffer(r["starts"], np.int64), np.frombuffer(r["columns"], np.int32), np.frombuffer(r["cells"])
+                    sums = np.add.reduceat(cells[:, None] * sent.value[columns], starts, axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array([r["rows"]], pa.binary()), pa.array([sums.tobytes()], pa.binary())], ["rows", "sums"])
+
+        out = np.zeros_like(v)
+        for part in edges.mapInArrow(run, "rows binary, sums binary").toArrow().to_batches():
+            for rows, sums in zip(part.column(0), part.column(1), strict=True):
+                out[np.frombuffer(rows.as_buffer(), np.int32)] += np.frombuffer(sums.as_buffer()).reshape(-1, v.shape[1])
+        sent.destroy()
+        return out
+
+    for _ in range(rounds):
+        blocks = [x]
+        for _ in range(POWERS):
+            blocks.append(product(blocks[-1]))
+        every = np.concatenate(blocks, axis=1)
+        m = x.shape[1] * POWERS
+        theta, y, gaps = _ritz(every.T @ every, m)
+        x = np.ascontiguousarray(every[:, :m] @ y)
+        if max(gaps[: dims + 1]) <= tolerance:
+            break
+    last = context.broadcast(x)
+
+    def rows(batches):
+        for batch in batches:
+            at = pc.index_in(batch.column(0), value_set=ids.value).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(last.value[at]), pa.list_(pa.float64()))], ["id", "x"])
+
+    kind = first.schema["id"].dataType.simpleString()
+    return first.select("id").mapInArrow(rows, f"id {kind}, x array<double>"), theta
+
+
+def _iterated(graph: DataFrame, first: DataFrame, dims: int, tolerance: float, rounds: int) -> tuple[DataFrame, np.ndarray]:
+    block, width, theta = checkpointed(first), BLOCK, np.zeros(0)
     for _ in range(rounds):
         all_x, last = block, block
         for p in range(POWERS):
@@ -128,21 +230,9 @@ def diffusion_coordinates(edges: DataFrame, dims: int = 2, alpha: float = 0.5, t
                 last = all_x.select("id", F.slice("x", width * (p + 1) + 1, width).alias("x"))
         gram = _products(all_x)
         m = width * POWERS
-        g, a, aa = gram[:m, :m], gram[:m, width:], gram[width:, width:]  # columns; with their images; images
-        scale = 1 / np.sqrt(np.diag(g).clip(1e-300))
-        values, vectors = np.linalg.eigh(g * scale[:, None] * scale[None, :])
-        keep = values > 1e-11 * values.max()
-        white = scale[:, None] * vectors[:, keep] / np.sqrt(values[keep])
-        small = white.T @ a @ white
-        theta, y = np.linalg.eigh((small + small.T) / 2)
-        width = min(BLOCK, len(theta))
-        theta, y = theta[::-1][:width], (white @ y[:, ::-1][:, :width])
-        gaps = [float(np.sqrt(max(0.0, y[:, c] @ aa @ y[:, c] - 2 * theta[c] * (y[:, c] @ a @ y[:, c]) + theta[c] ** 2))) for c in range(width)]
+        theta, y, gaps = _ritz(gram, m)
+        width = len(theta)
         block = checkpointed(_combined(all_x, np.vstack([y, np.zeros((len(gram) - m, width))])))
         if max(gaps[: dims + 1]) <= tolerance:
             break
-    axes = [F.col("x")[c] * float(theta[c]) / F.col("root") for c in range(1, min(dims + 1, width))]
-    out = checkpointed(block.join(root, "id").select("id", F.array(*axes).alias("coordinates")))
-    first = out.agg(*[F.max_by(F.col("coordinates")[c], F.struct(F.round(F.abs(F.col("coordinates")[c]), 9), -F.col("id"))).alias(f"c{c}") for c in range(len(axes))]).first()
-    signs = [1.0 if x is None or x >= 0 else -1.0 for x in first]
-    return out.select("id", F.array(*[F.col("coordinates")[c] * s for c, s in enumerate(signs)]).alias("coordinates"))
+    return block, theta

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from chartlake.operators import atlas, learning, spectral
+from chartlake.operators import atlas, learning, search, spectral
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +39,20 @@ def test_diffusion_map_equals_the_dense_one(spark):
     g, w = (np.array([x[i] for i in range(150)]) for x in (got, want))
     for c in range(2):
         assert min(np.abs(g[:, c] - w[:, c]).max(), np.abs(g[:, c] + w[:, c]).max()) < 1e-4 * np.abs(w).max()
+
+
+def test_held_vectors_equal_tables(spark, monkeypatch):
+    """Vectors that the driver holds give the coordinates that the tables give, with far fewer jobs."""
+    rng = np.random.default_rng(3)
+    pairs = {(i, i + 1) for i in range(59)} | {(int(a), int(b)) for a, b in rng.integers(0, 60, (90, 2)) if a < b}
+    edges = spark.createDataFrame([(f"n{x:02d}", f"n{y:02d}", 1.0 + (a * b) % 3) for a, b in sorted(pairs) for x, y in ((a, b), (b, a))], "i string, j string, w double")
+    edges = edges.select(F.substring("i", 2, 2).cast("long").alias("i"), F.substring("j", 2, 2).cast("long").alias("j"), "w")
+    made, keep = [], spectral.checkpointed
+    monkeypatch.setattr(spectral, "checkpointed", lambda df: made.append(1) or keep(df))
+    monkeypatch.setattr(spectral, "EDGES", 64)
+    held = {r["id"]: r["coordinates"] for r in spectral.diffusion_coordinates(edges).collect()}
+    assert len(made) <= 6
+    monkeypatch.setattr(search, "MAX_SIDE_BYTES", 1000)
+    tables = {r["id"]: r["coordinates"] for r in spectral.diffusion_coordinates(edges).collect()}
+    assert held.keys() == tables.keys()
+    np.testing.assert_allclose([held[i] for i in sorted(held)], [tables[i] for i in sorted(held)], atol=1e-4)
