@@ -400,3 +400,13 @@ def test_neighbours_by_name_and_few(spark):
     assert {k: v for k, v in got.items() if k[0] == "c"} == {("c", 1): ("a", 1.0), ("c", 2): ("b", 1.0), ("c", 3): ("d", 2.0), ("c", 4): ("a", 7.0)}
     assert [got["a", r] for r in (1, 2, 3)] == [("c", 1.0), ("d", 1.0), ("b", 2.0)]
     assert search.knn_batch(points.where("false"), queries, 3).collect() == []
+
+
+def test_mle_searches_once(points):
+    near = learning.neighbour_distances(points, 5)
+    out = learning.dim_mle(near, 5)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    by: dict = {}
+    for r in near.collect():
+        by.setdefault(r["query_id"], {})[r["rank"]] = r["distance"]
+    assert out.first()["dim"] == pytest.approx(1 / np.mean([math.log(d[5] / d[j]) for d in by.values() for j in range(1, 5)]))
